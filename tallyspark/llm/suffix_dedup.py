@@ -286,31 +286,60 @@ def _sort_bucket(width: int):
     return run
 
 
+#: Documents from which the splitters are drawn: at least so many, and so many a bucket.
+SAMPLE_DOCS, SAMPLE_PER_BUCKET = 1000, 20
+
+
+def _splitters(texts: DataFrame, n: int, width: int, gram: int) -> list[int]:
+    """n - 1 quantiles of the leading tokens of a bounded sample of documents; frequent tokens come several times."""
+    rows = max(1, texts.count())
+    share = min(1.0, max(SAMPLE_DOCS, SAMPLE_PER_BUCKET * n) / rows)
+    sample = texts.sample(share, seed=1).mapInArrow(_emit_anchors(width, gram), "token long, doc_id long, start int, run int")
+    found = sample.agg(F.percentile_approx("token", [i / n for i in range(1, n)], 20_000)).first()[0] if n > 1 else None
+    return sorted(found or [])
+
+
+def _dealt(rows: DataFrame, n: int, splitters: list[int]) -> DataFrame:
+    """Range partitions by leading token, sorted by token, document and place.
+
+    A token that several splitters repeat goes to all buckets between them, by document.
+    """
+    if splitters:
+        cuts = np.array(splitters)
+
+        def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                token, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                low, high = np.searchsorted(cuts, token, "left"), np.searchsorted(cuts, token, "right")
+                place = low + doc % (high - low + 1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place.astype(np.int32))], names=[*batch.schema.names, "bucket"])
+
+        schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+        rows = rows.mapInArrow(bucket, f"{schema}, bucket int")
+    else:
+        rows = rows.withColumn("bucket", F.lit(0))
+    return rows.repartitionById(n, "bucket").drop("bucket").sortWithinPartitions("token", "doc_id", "start")
+
+
 def repeated_spans(docs: DataFrame, width: int = 100, gram: int = GRAM) -> DataFrame:
-    """(doc_id, start, stop): byte ranges of `docs` (doc_id, text) covered by a `width`-byte string that also
-    starts earlier: in a smaller doc_id, or earlier in the same document. Ranges may overlap.
+    """(doc_id, cuts: array of (start, stop)): byte ranges of `docs` (doc_id, text) covered by a `width`-byte
+    string that also starts earlier: in a smaller doc_id, or earlier in the same document. Ranges may overlap.
 
     Null and short texts have none; rows with a null doc_id are left out. doc_id must be unique.
     """
     n = partitions(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    splitters = _splitters(texts, n, width, gram)
     anchors = texts.mapInArrow(_emit_anchors(width, gram), "token long, doc_id long, start int, run int")
-    tied = anchors.repartitionByRange(n, "token", "doc_id", "start").sortWithinPartitions("token", "doc_id", "start").mapInArrow(_keep_repeated, "token long, doc_id long, start int, run int")
+    tied = _dealt(anchors, n, splitters).mapInArrow(_keep_repeated, "token long, doc_id long, start int, run int")
     wanted = tied.groupBy("doc_id").agg(F.collect_list(F.struct("token", "start", "run")).alias("anchors"))
     contexts = texts.join(wanted, "doc_id").mapInArrow(_cut_contexts(width), "token long, doc_id long, start int, run int, context binary")
-    sorted_suffixes = contexts.repartitionByRange(n, "token", "doc_id", "start").sortWithinPartitions("token", "doc_id", "start")
-    found = sorted_suffixes.mapInArrow(_sort_bucket(width), _RESULT)
-    certain = found.where("h1 is null").select("doc_id", "start", "stop")
-    # at most one row per class and bucket reaches this group
-    across = (
-        found.where("h1 is not null")
-        .groupBy("h1", "h2")
-        .agg(F.sort_array(F.collect_list(F.struct("doc_id", "start", "stop"))).alias("firsts"))
-        .where("size(firsts) > 1")
-        .select(F.explode(F.slice("firsts", F.lit(2), F.size("firsts") - 1)).alias("x"))
-        .select("x.*")
-    )
-    return certain.unionByName(across)
+    found = _dealt(contexts, n, splitters).mapInArrow(_sort_bucket(width), _RESULT)
+    # removed ranges gather by document; of a class left open at most one row a bucket gathers, and its first stays
+    certain = F.col("h1").isNull()
+    gathered = found.groupBy(F.when(certain, F.col("doc_id")).alias("owner"), "h1", "h2").agg(F.collect_list(F.struct("doc_id", "start", "stop")).alias("rows"))
+    lost = F.when(F.col("owner").isNull(), F.slice(F.sort_array("rows"), F.lit(2), F.size("rows"))).otherwise(F.col("rows"))
+    return gathered.select(F.explode(lost).alias("x")).select("x.*").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,13 +378,12 @@ def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = GRAM) -> DataFra
     A null text counts as empty; of an empty table nothing comes back. Other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cuts = repeated_spans(texts, width, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
-    return texts.join(cuts, "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.join(repeated_spans(texts, width, gram), "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, width: int = 100, gram: int = GRAM) -> DataFrame:
     """`docs` with `text` replaced by its kept bytes; bytes cut inside a character are dropped with it."""
-    cuts = repeated_spans(docs, width, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
+    cuts = repeated_spans(docs, width, gram)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
