@@ -4,6 +4,7 @@ Every 100-byte window of a text holds an anchor: the 32-byte gram with the small
 ties. Equal windows have equal anchors at equal places, so only the suffixes that start at windows of
 anchors seen twice can repeat. The steps:
 
+0. whole copies collapse to their first document, so a large group of copies costs one;
 1. every text yields one row per anchor: the fingerprint of its gram (the suffix's leading token), its
    document, and the run of windows that it serves;
 2. sampled splitters range-partition the rows by leading token, document and place (so a frequent token is
@@ -33,7 +34,7 @@ from tallyspark.llm.textnp import BYTE_WORDS, mix64, prefix_hash, span_hash, tex
 GRAM = 32
 #: Window starts handled at once; positions must fit in 24 bits.
 SEGMENT = 1 << 22
-GROUP_ROWS = 30_000
+GROUP_ROWS = 15_000
 _POS_MASK = np.uint64((1 << 24) - 1)
 #: A run is packed under the anchor's offset.
 _RUN = (1 << 16) - 1
@@ -71,7 +72,15 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     return token[anchor].view(np.int64), row[first], first - offsets[row[first]], anchor - first, last - first
 
 
-def _emit_anchors(width: int, gram: int):
+def _bucket(token: np.ndarray, doc: np.ndarray, splitters: np.ndarray) -> pa.Array:
+    """The range that a leading token falls into; one that several splitters repeat spreads over all between, by document."""
+    low, high = np.searchsorted(splitters, token, "left"), np.searchsorted(splitters, token, "right")
+    return pa.array((low + doc % (high - low + 1)).astype(np.int32))
+
+
+def _emit_anchors(width: int, gram: int, splitters: list[int]):
+    cuts = np.array(splitters, np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -85,9 +94,10 @@ def _emit_anchors(width: int, gram: int):
                         continue
                     token, row, start, lead, run_length = found
                     start = start + np.maximum(base - offsets[row], 0)
+                    doc = ids[first + row]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(token), pa.array(ids[first + row]), pa.array(start.astype(np.int32)), pa.array(((lead << 16) + run_length).astype(np.int32))],
-                        names=["token", "doc_id", "start", "run"],
+                        [pa.array(token), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(((lead << 16) + run_length).astype(np.int32)), _bucket(token, doc, cuts)],
+                        names=["token", "doc_id", "start", "run", "bucket"],
                     )
 
     return run
@@ -115,7 +125,9 @@ def _keep_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield held
 
 
-def _cut_contexts(width: int):
+def _cut_contexts(width: int, splitters: list[int]):
+    cuts = np.array(splitters, np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -129,18 +141,14 @@ def _cut_contexts(width: int):
                     part = slice(i, i + 20_000)
                     pieces = [text[b:e].to_pybytes() for b, e in zip(start[part].tolist(), stop[part].tolist(), strict=True)]
                     docs = np.full(len(pieces), ids[row])
-                    yield _context_batch(token[part], docs, start[part], packed[part], pieces)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(token[part]), pa.array(docs), pa.array(start[part]), pa.array(packed[part]), pa.array(pieces, pa.binary()), _bucket(token[part], docs, cuts)],
+                        names=["token", "doc_id", "start", "run", "context", "bucket"],
+                    )
 
     return run
 
 
-def _context_batch(tokens, docs, starts, runs, contexts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(tokens), pa.array(docs), pa.array(starts), pa.array(runs), pa.array(contexts, pa.binary())],
-        names=["token", "doc_id", "start", "run", "context"],
-    )
-
-
 def _words8(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place on as one big-endian word; zeros follow the end."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -245,6 +253,7 @@ def _runs(doc, begin, owner, again, width):
     return doc[first], begin[first], begin[last] + width
 
 
+_ANCHOR = "token long, doc_id long, start int, run int"
 _RESULT = "doc_id long, start int, stop int, h1 long, h2 long"
 
 
@@ -294,33 +303,23 @@ def _splitters(texts: DataFrame, n: int, width: int, gram: int) -> list[int]:
     """n - 1 quantiles of the leading tokens of a bounded sample of documents; frequent tokens come several times."""
     rows = max(1, texts.count())
     share = min(1.0, max(SAMPLE_DOCS, SAMPLE_PER_BUCKET * n) / rows)
-    sample = texts.sample(share, seed=1).mapInArrow(_emit_anchors(width, gram), "token long, doc_id long, start int, run int")
+    sample = texts.sample(share, seed=1).mapInArrow(_emit_anchors(width, gram, []), _ANCHOR + ", bucket int")
     found = sample.agg(F.percentile_approx("token", [i / n for i in range(1, n)], 20_000)).first()[0] if n > 1 else None
     return sorted(found or [])
 
 
-def _dealt(rows: DataFrame, n: int, splitters: list[int]) -> DataFrame:
-    """Range partitions by leading token, sorted by token, document and place.
-
-    A token that several splitters repeat goes to all buckets between them, by document.
-    """
-    if splitters:
-        cuts = np.array(splitters)
-
-        def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                token, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                low, high = np.searchsorted(cuts, token, "left"), np.searchsorted(cuts, token, "right")
-                place = low + doc % (high - low + 1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place.astype(np.int32))], names=[*batch.schema.names, "bucket"])
-
-        schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
-        rows = rows.mapInArrow(bucket, f"{schema}, bucket int")
-    else:
-        rows = rows.withColumn("bucket", F.lit(0))
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """The rows in their buckets, sorted by token, document and place."""
     return rows.repartitionById(n, "bucket").drop("bucket").sortWithinPartitions("token", "doc_id", "start")
 
 
+def later_copies(texts: DataFrame) -> DataFrame:
+    """doc_id of every document whose whole text a smaller doc_id has too."""
+    marked = texts.select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size")).where("text is not null")
+    firsts = marked.groupBy("sha", "size").agg(F.min("doc_id").alias("first"))
+    return marked.join(firsts, ["sha", "size"]).where("doc_id > first").select("doc_id")
+
+
 def repeated_spans(docs: DataFrame, width: int = 100, gram: int = GRAM) -> DataFrame:
     """(doc_id, cuts: array of (start, stop)): byte ranges of `docs` (doc_id, text) covered by a `width`-byte
     string that also starts earlier: in a smaller doc_id, or earlier in the same document. Ranges may overlap.
@@ -329,17 +328,23 @@ def repeated_spans(docs: DataFrame, width: int = 100, gram: int = GRAM) -> DataF
     """
     n = partitions(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    # whole copies collapse first: a later one repeats every window of the first, and the first alone stands for it
+    copies = later_copies(texts)
+    unique = texts.join(copies, "doc_id", "left_anti")
     splitters = _splitters(texts, n, width, gram)
-    anchors = texts.mapInArrow(_emit_anchors(width, gram), "token long, doc_id long, start int, run int")
-    tied = _dealt(anchors, n, splitters).mapInArrow(_keep_repeated, "token long, doc_id long, start int, run int")
+    anchors = unique.mapInArrow(_emit_anchors(width, gram, splitters), _ANCHOR + ", bucket int")
+    tied = _dealt(anchors, n).mapInArrow(_keep_repeated, _ANCHOR)
     wanted = tied.groupBy("doc_id").agg(F.collect_list(F.struct("token", "start", "run")).alias("anchors"))
-    contexts = texts.join(wanted, "doc_id").mapInArrow(_cut_contexts(width), "token long, doc_id long, start int, run int, context binary")
-    found = _dealt(contexts, n, splitters).mapInArrow(_sort_bucket(width), _RESULT)
+    contexts = unique.join(wanted, "doc_id").mapInArrow(_cut_contexts(width, splitters), _ANCHOR + ", context binary, bucket int")
+    found = _dealt(contexts, n).mapInArrow(_sort_bucket(width), _RESULT)
     # removed ranges gather by document; of a class left open at most one row a bucket gathers, and its first stays
     certain = F.col("h1").isNull()
     gathered = found.groupBy(F.when(certain, F.col("doc_id")).alias("owner"), "h1", "h2").agg(F.collect_list(F.struct("doc_id", "start", "stop")).alias("rows"))
     lost = F.when(F.col("owner").isNull(), F.slice(F.sort_array("rows"), F.lit(2), F.size("rows"))).otherwise(F.col("rows"))
-    return gathered.select(F.explode(lost).alias("x")).select("x.*").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
+    ranges = gathered.select(F.explode(lost).alias("x")).select("x.*")
+    size = F.octet_length("text")
+    whole = texts.join(copies, "doc_id", "left_semi").where(size >= width).select("doc_id", F.lit(0).alias("start"), size.alias("stop"))
+    return ranges.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,6 @@
 """Vectorised helpers over the UTF-8 bytes of Arrow text columns, used inside tasks.
 
-Texts are taken in chunks of about a megabyte, so the arrays that grow with a chunk stay small; a longer
+Texts are taken in chunks of about half a megabyte, so the arrays that grow with a chunk stay small; a longer
 text forms a chunk alone. A null text counts as empty.
 """
 
@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _MULT = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _MULT_INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
 
