@@ -314,10 +314,15 @@ def _dealt(rows: DataFrame, n: int) -> DataFrame:
 
 
 def later_copies(texts: DataFrame) -> DataFrame:
-    """doc_id of every document whose whole text a smaller doc_id has too."""
+    """(doc_id, size in bytes) of every document whose whole text a smaller doc_id has too."""
     marked = texts.select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size")).where("text is not null")
     firsts = marked.groupBy("sha", "size").agg(F.min("doc_id").alias("first"))
-    return marked.join(firsts, ["sha", "size"]).where("doc_id > first").select("doc_id")
+    return marked.join(firsts, ["sha", "size"]).where("doc_id > first").select("doc_id", "size")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """The rows with a doc_id; all steps read them in this one form, so that Spark shuffles the texts once."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 
 
 def repeated_spans(docs: DataFrame, width: int = 100, gram: int = GRAM) -> DataFrame:
@@ -327,10 +332,10 @@ def repeated_spans(docs: DataFrame, width: int = 100, gram: int = GRAM) -> DataF
     Null and short texts have none; rows with a null doc_id are left out. doc_id must be unique.
     """
     n = partitions(docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    texts = _texts(docs)
     # whole copies collapse first: a later one repeats every window of the first, and the first alone stands for it
     copies = later_copies(texts)
-    unique = texts.join(copies, "doc_id", "left_anti")
+    unique = texts.join(copies.select("doc_id"), "doc_id", "left_anti")
     splitters = _splitters(texts, n, width, gram)
     anchors = unique.mapInArrow(_emit_anchors(width, gram, splitters), _ANCHOR + ", bucket int")
     tied = _dealt(anchors, n).mapInArrow(_keep_repeated, _ANCHOR)
@@ -342,8 +347,7 @@ def repeated_spans(docs: DataFrame, width: int = 100, gram: int = GRAM) -> DataF
     gathered = found.groupBy(F.when(certain, F.col("doc_id")).alias("owner"), "h1", "h2").agg(F.collect_list(F.struct("doc_id", "start", "stop")).alias("rows"))
     lost = F.when(F.col("owner").isNull(), F.slice(F.sort_array("rows"), F.lit(2), F.size("rows"))).otherwise(F.col("rows"))
     ranges = gathered.select(F.explode(lost).alias("x")).select("x.*")
-    size = F.octet_length("text")
-    whole = texts.join(copies, "doc_id", "left_semi").where(size >= width).select("doc_id", F.lit(0).alias("start"), size.alias("stop"))
+    whole = copies.where(F.col("size") >= width).select("doc_id", F.lit(0).alias("start"), F.col("size").alias("stop"))
     return ranges.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
 
 
@@ -380,10 +384,13 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = GRAM) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256 after `repeated_spans` are cut out.
 
-    A null text counts as empty; of an empty table nothing comes back. Other columns are ignored.
+    A null text counts as empty, a row with a null doc_id repeats nothing; of an empty table nothing comes
+    back. Other columns are ignored.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(repeated_spans(texts, width, gram), "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    cut = _texts(docs).join(repeated_spans(docs, width, gram), "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(_cut_out, schema)
+    unnamed = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("cuts"))
+    return cut.unionByName(unnamed.mapInArrow(_cut_out, schema))
 
 
 def remove_repeats(docs: DataFrame, width: int = 100, gram: int = GRAM) -> DataFrame:

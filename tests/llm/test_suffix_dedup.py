@@ -59,6 +59,8 @@ def test_many_buckets_split_one_token(spark):
 def test_empty_and_extra_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, token string")
     assert suffix_dedup(empty).collect() == []
+    unnamed = spark.createDataFrame([(None, "q" * 150), (None, "q" * 150), (1, "q" * 150)], "doc_id long, text string")
+    assert sorted(r.n_removed for r in suffix_dedup(unnamed).collect()) == [0, 0, 149]
     docs = [(1, "q" * 150 + "tail", "a"), (2, "q" * 150, None)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, token string")
     # the windows at 1..50 of the run repeat the one at 0, so its bytes 1..149 go
