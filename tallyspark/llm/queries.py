@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontamination, jaccard_join, lm_scoring, packing, quality_rules, secrets, suffix_dedup
+from tallyspark.llm import chat_tree, decontamination, jaccard_join, lm_scoring, packing, quality_rules, secrets, suffix_dedup, toxicity, url_filter
 from tallyspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,38 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity of every document."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def format_conversations(turns: DataFrame) -> DataFrame:
+    """The digest of conversations formatted through the prefix tree and read back from its nodes."""
+    paths = chat_tree.conversation_paths(turns)
+    back = chat_tree.read_back(paths, chat_tree.build_tree(paths))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query
+def op7_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, formatted and read back."""
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.sql("SELECT -1L AS conv_id, stack(2, 0L, 'user', 1L, 'assistant') AS (turn, role)").withColumn("text", F.lit(text))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return format_conversations(turns.unionByName(extra))
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram baseline and PPM code length of every document."""
