@@ -2,37 +2,43 @@
 
 A document is its set of distinct word shingles, as 64-bit hashes, whose numeric order is the global n-gram
 order. Sizes fall into groups such that linked sets lie in one group or in neighbours. For each group the
-order is cut into more fragments than two linked sets of that group can have differing shingles, so some
-fragment is equal in both (pigeonhole); a fragment with its content is a far rarer key than a shingle, and
-frequent n-grams make no large candidate lists. The steps:
+order is cut into D + 1 + S fragments, where linked sets of that group differ in at most D shingles: so at
+least S + 1 fragments are equal in both. A fragment with its content is a far rarer key than a shingle; and as
+of S + 1 shared keys the rarest is never among a document's S most frequent ones, each document may leave
+those out, which hold what passages and boilerplate lines have in common. The steps:
 
 1. equal sets collapse to their smallest document;
-2. rows (fragment key, document) are dealt by key; in each sorted bucket the documents of a key are routed
-   to the smallest of them, so no pairs are emitted;
-3. the sets of routed documents, fetched once, meet in blocks: a route of many documents becomes block
+2. rows (fragment key, document) are dealt by key and counted in sorted buckets; keys of one document drop
+   out, and of the others each document leaves out its most frequent ones;
+3. the documents of a key are routed to the smallest of them (and on to the smallest that this one is routed
+   to, twice), so no pairs are emitted;
+4. the sets of routed documents, fetched once, meet in blocks: a route of many documents becomes block
    pairs of bounded size;
-4. in a block, overlaps are counted fragment by fragment of the global order and summed per pair; of the
+5. in a block, overlaps are counted fragment by fragment of the global order and summed per pair; of the
    links found a spanning forest leaves the task;
-5. connected components of the links, joined back to all documents.
+6. connected components of the links, joined back to all documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import connected_components, cut, partitions
 from tallyspark.llm.textnp import BYTE_WORDS, LOWER_BYTE_WORDS, mix64, prefix_hash, shingle_hashes, span_hash, text_chunks, word_spans
 
-#: Fragments more than needed, so that a set with one empty fragment still shares a filled one.
-SPARE = 1
+#: Fragments beyond D + 1, as a share of it, and how many of them may be empty in a set.
+SPARE, EMPTY = 0.35, 0.55
 #: Documents in a block, and distinct shingles whose overlaps are counted at once.
-BLOCK, COLUMNS = 256, 4096
+BLOCK, COLUMNS = 512, 4096
+#: Documents of one key up to which they are counted; beyond, a key counts as the most frequent there is.
+COUNTED = 1 << 20
 
 
 @lru_cache(maxsize=8)
@@ -45,6 +51,12 @@ def size_groups(num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(ends), np.array([2 * e * (den - num) // (den + num) for e in ends])
 
 
+def spare(differ: int) -> tuple[int, int]:
+    """Spare fragments of a group, and how many may be empty in a set whose empty fragments make no keys."""
+    more = max(2, math.ceil(SPARE * (differ + 1)))
+    return more, int(EMPTY * more)
+
+
 def _sets(column: pa.Array, size: int, lower: bool) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of every row with a word."""
     for first, offsets, data in text_chunks(column):
@@ -61,31 +73,41 @@ def _signature(grams: np.ndarray) -> tuple[int, int]:
         return int(grams.sum(dtype=np.uint64).view(np.int64)), int(mix64(grams).sum(dtype=np.uint64).view(np.int64))
 
 
-def _describe(size: int, lower: bool):
+def _describe(size: int, lower: bool, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, differ = size_groups(num, den)
         for batch in batches:
             count = np.zeros(batch.num_rows, np.int64)
             marks = np.zeros((2, batch.num_rows), np.int64)
+            # how many of its most frequent keys a document leaves out, in the even and the odd one of its two groups
+            leaves = np.zeros((2, batch.num_rows), np.int32)
             for row, grams in _sets(batch.column(1), size, lower):
                 count[row] = len(grams)
                 marks[:, row] = _signature(grams)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(marks[0]), pa.array(marks[1])], names=["doc_id", "n_shingles", "s1", "s2"])
+                group = int(np.searchsorted(ends, len(grams)))
+                for number in (group, group + 1):
+                    more, empty = spare(int(differ[number]))
+                    leaves[number % 2, row] = more - empty
+            columns = [batch.column(0), *(pa.array(x) for x in (count, *marks, *leaves))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "s1", "s2", "even", "odd"])
 
     return run
 
 
-def _fragment_keys(grams: np.ndarray, number: int, differ: int) -> np.ndarray:
-    """Keys of the filled fragments; of the empty ones too if there are more than the spare ones."""
-    pieces = differ + 1 + SPARE
+def _fragment_keys(grams: np.ndarray, number: int, differ: int) -> tuple[np.ndarray, bool]:
+    """Keys of the filled fragments; with those of the empty ones, and true, if these are too many."""
+    more, allowed = spare(differ)
+    pieces = differ + 1 + more
     place = ((grams >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
     filled = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     content = np.add.reduceat(mix64(grams), filled)
-    salt = np.uint64(number * 1_000_003 + 1)
-    keys = mix64(content ^ mix64(place[filled] + salt * np.uint64(0x9E3779B1)))
-    if pieces - len(filled) > SPARE:
+    salt = np.uint64(number * 1_000_003 + 1) * np.uint64(0x9E3779B1)
+    keys = mix64(content ^ mix64(place[filled] + salt))
+    many = pieces - len(filled) > allowed
+    if many:
         empty = np.setdiff1d(np.arange(pieces, dtype=np.uint64), place[filled])
-        keys = np.concatenate([keys, mix64(mix64(empty + salt * np.uint64(0x9E3779B1)) + np.uint64(1))])
-    return keys
+        keys = np.concatenate([keys, mix64(mix64(empty + salt) + np.uint64(1))])
+    return keys, many
 
 
 def _emit_keys(size: int, lower: bool, num: int, den: int):
@@ -102,20 +124,56 @@ def _emit_keys(size: int, lower: bool, num: int, den: int):
                 seen.add(mark)
                 for number in (group, group + 1):
                     if differ[number]:
-                        keys.append(_fragment_keys(grams, number, int(differ[number])))
-                        owners.append(np.full(len(keys[-1]), ids[row]))
+                        found, many = _fragment_keys(grams, number, int(differ[number]))
+                        keys.append(found)
+                        # the document, which of its groups, and whether it leaves no key out
+                        owners.append(np.full(len(found), ids[row] * 4 + number % 2 * 2 + many))
                         held += len(keys[-1])
                 if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "owner"])
                     keys, owners, held = [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "owner"])
 
     return run
 
 
+def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, owner, n) of the keys with two rows or more in a bucket sorted by key; n is their number of rows."""
+    held = np.zeros((2, 0), np.int64)  # the last key's rows, until its end is known
+    frequent = None  # a key with more rows than are counted
+
+    def out(keys: np.ndarray, owners: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if (keep := n > 1).any():
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(owners[keep]), pa.array(n[keep])], names=["key", "owner", "n"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, owners = np.concatenate([held, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])], axis=1)
+        if frequent is not None:
+            more = keys == frequent
+            yield from out(keys[more], owners[more], np.full(int(more.sum()), COUNTED + 1))
+            keys, owners = keys[~more], owners[~more]
+            if not len(keys):
+                held = np.zeros((2, 0), np.int64)
+                continue
+            frequent = None
+        end = int(np.searchsorted(keys, keys[-1]))
+        held = np.stack([keys[end:], owners[end:]])
+        fresh = np.ones(end, bool)
+        fresh[1:] = keys[1:end] != keys[: end - 1] if end else True
+        which = np.cumsum(fresh) - 1
+        yield from out(keys[:end], owners[:end], np.bincount(which)[which] if end else which)
+        if held.shape[1] > COUNTED:
+            frequent = held[0, 0]
+            yield from out(*held, np.full(held.shape[1], COUNTED + 1))
+            held = np.zeros((2, 0), np.int64)
+    yield from out(*held, np.full(held.shape[1], held.shape[1]))
+
+
 def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, hub) for each key of two documents or more in a bucket sorted by key and document."""
+    """(rep, hub) for each key of two documents or more in a bucket sorted by key and document."""
     key, hub = None, None
     for batch in batches:
         if not batch.num_rows:
@@ -125,14 +183,13 @@ def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh[1:] = keys[1:] != keys[:-1]
         fresh[0] = keys[0] != key
         first = np.flatnonzero(fresh)
-        which = np.cumsum(fresh)
-        hubs = np.concatenate([[0 if hub is None else hub], docs[first]])[which]
+        hubs = np.concatenate([[0 if hub is None else hub], docs[first]])[np.cumsum(fresh)]
         member = ~fresh & (docs != hubs)
-        owners = np.unique(hubs[member])
-        pairs = np.unique(np.stack([np.concatenate([docs[member], owners]), np.concatenate([hubs[member], owners])]), axis=1) if member.any() else np.zeros((2, 0), np.int64)
         key, hub = keys[-1], hubs[-1]
-        if pairs.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["doc_id", "hub"])
+        if member.any():
+            owners = np.unique(hubs[member])
+            pairs = np.unique(np.stack([np.concatenate([docs[member], owners]), np.concatenate([hubs[member], owners])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["rep", "hub"])
 
 
 def _fetch(size: int, lower: bool):
@@ -235,22 +292,22 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     """
     n = partitions(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    described = texts.mapInArrow(_describe(size, lower), "doc_id long, n_shingles long, s1 long, s2 long")
+    described = texts.mapInArrow(_describe(size, lower, num, den), "doc_id long, n_shingles long, s1 long, s2 long, even int, odd int")
     equal = described.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    known = cut(described.join(equal, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
-
-    keys = texts.mapInArrow(_emit_keys(size, lower, num, den), "key long, doc_id long")
-    routed = keys.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_route, "doc_id long, hub long")
-    reps = known.select("doc_id", "rep")
-    routes = (
-        routed.distinct()
-        .join(reps, "doc_id")
-        .select("rep", "hub")
-        .join(reps.select(F.col("doc_id").alias("hub"), F.col("rep").alias("to")), "hub")
-        .select("rep", F.col("to").alias("hub"))
-        .distinct()
-    )
-    routes = cut(routes)
+    known = cut(described.join(equal, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "even", "odd"))
+
+    keys = texts.mapInArrow(_emit_keys(size, lower, num, den), "key long, owner long")
+    counted = keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_count_keys, "key long, owner long, n long")
+    # equal sets come once, as their smallest document
+    split = counted.select("key", F.shiftright("owner", 2).alias("doc_id"), F.col("owner").bitwiseAND(F.lit(3)).alias("mark"), "n")
+    owned = split.join(known, "doc_id").select("key", "rep", "mark", "n", F.when(F.col("mark") % 2 == 1, 0).when(F.col("mark") == 0, F.col("even")).otherwise(F.col("odd")).alias("leaves")).distinct()
+    order = Window.partitionBy("rep", "mark").orderBy(F.desc("n"), F.desc("key"))
+    rare = owned.withColumn("rank", F.row_number().over(order)).where("rank > leaves").select("key", "rep")
+    routed = rare.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(_route, "rep long, hub long")
+    routes = cut(routed.distinct())
+    for _ in range(2):
+        onward = routes.groupBy("rep").agg(F.min("hub").alias("to")).withColumnRenamed("rep", "hub")
+        routes = cut(routes.join(onward, "hub", "left").select("rep", F.coalesce("to", "hub").alias("hub")).distinct())
     # documents of a route are numbered by hash into blocks, and every two blocks meet in one group
     many = routes.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
