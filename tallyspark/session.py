@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -41,3 +41,12 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **extra
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that `spark.checkpoint.dir` names; one of our own
+    only where it is unset, as in tests."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "tallyspark-checkpoints"))
+    return df.checkpoint(eager=True)
