@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyspark.functions.tables import THREE_DECIMAL_CURRENCIES
+from tallyspark.functions.text import let
 
 
 def minor_units(amount: Column) -> Column:
@@ -43,16 +44,19 @@ def parse_amount(raw: Column, three_decimals: Column | bool = False) -> Column:
     unless `three_decimals`, where one separator before exactly three digits is the decimal one.
     """
     three = F.lit(three_decimals) if isinstance(three_decimals, bool) else three_decimals
-    kept = F.regexp_replace(raw, r"[^0-9.,\-]", "")
+    return let(F.regexp_replace(raw, r"[^0-9.,\-]", ""), lambda kept: _amount(kept, three))
+
+
+def _amount(kept: Column, three: Column) -> Column:
     comma, dot = F.length(kept) - F.locate(",", F.reverse(kept)), F.length(kept) - F.locate(".", F.reverse(kept))
     has_comma, has_dot = F.contains(kept, F.lit(",")), F.contains(kept, F.lit("."))
     comma_last = has_comma & (~has_dot | (comma > dot))
     first_comma = F.regexp_replace(F.regexp_replace(kept, r"\.", ""), r"^([^,]*),", "$1.")
     plain = F.when(comma_last, first_comma).otherwise(F.regexp_replace(kept, ",", ""))
-    thousands = plain.rlike(r"^-?\d{1,3}\.\d{3}\z") & ~has_comma
-    plain = F.when(thousands, F.regexp_replace(plain, r"\.", "")).otherwise(plain)
+    thousands = r"^-?\d{1,3}\.\d{3}\z"
+    plain = let(plain, lambda p: F.when(p.rlike(thousands) & ~has_comma, F.regexp_replace(p, r"\.", "")).otherwise(p))
     plain = F.when(three & kept.rlike(r"^-?\d+[.,]\d{3}\z"), F.regexp_replace(kept, ",", ".")).otherwise(plain)
-    lead = F.regexp_extract(plain, r"^(-?(?:\d+\.?\d*|\.\d+))", 1)
+    lead = let(plain, lambda p: F.regexp_extract(p, r"^(-?(?:\d+\.?\d*|\.\d+))", 1))
     return F.when(kept.rlike(r"\d"), lead.try_cast("double"))
 
 

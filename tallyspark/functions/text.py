@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ def strip_marks(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"[̀-ͯ]", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _word(pattern: str) -> str:
     return f"{EDGE}{pattern}{EDGE}"
 
@@ -29,7 +35,7 @@ def normalize_description(raw: Column) -> Column:
     """The description without processor wording, references, dates and card tails; empty for null."""
     s = F.lower(strip_marks(F.coalesce(raw, F.lit(""))))
     star = rf"^(?:{'|'.join(STAR_AGGREGATORS)}){SPACE}*\*+{SPACE}*([^\n\r  ]+)\z"
-    s = F.when(s.rlike(star), F.regexp_extract(s, star, 1)).otherwise(s)
+    s = let(s, lambda x: F.when(x.rlike(star), F.regexp_extract(x, star, 1)).otherwise(x))
     steps = [
         r"\*+", _word(r"x{2,}[0-9]{2,}"), _word(r"[0-9]{1,2}[/.\-][0-9]{1,2}([/.\-][0-9]{2,4})?"), _word(r"[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?"), rf"#{SPACE}*[0-9]+",
         _word(r"(ref|reference|auth|authcode|trn|trace|id|inv|invoice|order|ord|txn|tx)[:. ]*[a-z0-9\-]{3,}"),
@@ -40,7 +46,7 @@ def normalize_description(raw: Column) -> Column:
         s = F.regexp_replace(s, pattern, " ")
     s = F.trim(s)
     s = F.regexp_replace(s, rf"^(?:(?:{'|'.join(PROCESSOR_PREFIXES)}) )+", "")
-    return F.when(s.isin(*PROCESSOR_PREFIXES), "").otherwise(s)
+    return let(s, lambda x: F.when(x.isin(*PROCESSOR_PREFIXES), "").otherwise(x))
 
 
 def _strings(values) -> Column:
@@ -54,12 +60,16 @@ def normalize_merchant(raw: Column) -> Column:
 
 def merchant_key(base: Column) -> Column:
     """`normalize_merchant` of a normalized description."""
+    return let(base, _merchant_key)
+
+
+def _merchant_key(base: Column) -> Column:
     aliases = F.create_map(*(F.lit(x) for pair in BRAND_ALIASES.items() for x in pair))
     long_names = [(a, real) for a, real in BRAND_ALIASES.items() if " " in a]
     starts = F.coalesce(*(F.when(base.startswith(a + " "), real) for a, real in long_names))
     words = F.flatten(F.transform(F.split(base, " "), lambda t: F.split(F.coalesce(F.try_element_at(aliases, t), t), " ")))
     padded = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    brand = F.try_element_at(F.filter(_strings(KNOWN_BRANDS), lambda b: F.contains(padded, F.concat(F.lit(" "), b, F.lit(" ")))), F.lit(1))
+    brand = let(padded, lambda p: F.try_element_at(F.filter(_strings(KNOWN_BRANDS), lambda b: F.contains(p, F.concat(F.lit(" "), b, F.lit(" ")))), F.lit(1)))
     rest = F.array_join(F.filter(words, lambda t: (F.length(t) > 1) & ~t.isin(*NOISE_TOKENS)), " ")
     return F.when(base == "", "").otherwise(F.coalesce(F.try_element_at(aliases, base), starts, brand, F.nullif(rest, F.lit("")), base))
 
