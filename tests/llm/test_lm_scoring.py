@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tallyspark.llm.lm_scoring import AdaptivePpm, code_table, score_adaptive, score_documents
+from tallyspark.llm.lm_scoring import AdaptivePpm, LowOrders, code_table, gram_probabilities, score_adaptive, score_documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -16,15 +16,15 @@ def tokens(text):
     return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + [None]
 
 
-def brute(docs):
+def brute(docs, order=4):
     held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in docs}
-    counts, model = Counter(), AdaptivePpm(2)
+    counts, model = Counter(), AdaptivePpm(order)
     for d, t in docs:
         if not held[d]:
             counts.update(tokens(t))
-            raw = bytes([0xFE] * 2) + (t or "").encode() + b"\xff"
-            for i in range(2, len(raw)):
-                model.learn(raw[i - 2 : i], raw[i])
+            raw = bytes([0xFE] * order) + (t or "").encode() + b"\xff"
+            for i in range(order, len(raw)):
+                model.learn(raw[i - order : i], raw[i])
     total, kinds = sum(counts.values()), len(counts)
     out = {}
     for d, t in docs:
@@ -40,10 +40,11 @@ def corpus():
     return [*docs, (1000, None), (1001, ""), (1002, "unseen éàü words Q"), (10, "ß")][:-1] + [(2010, "never-seen-ÿ")]
 
 
-def test_against_direct_model(spark):
+@pytest.mark.parametrize("order", [3, 4, 6])
+def test_against_direct_model(spark, order):
     docs = corpus()
-    got = {r[0]: tuple(r)[1:] for r in score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    want = brute(docs)
+    got = {r[0]: tuple(r)[1:] for r in score_documents(spark.createDataFrame(docs, "doc_id long, text string"), order=order).collect()}
+    want = brute(docs, order)
     assert got.keys() == want.keys()
     for d in want:
         assert got[d][:4] == want[d][:4]
@@ -65,3 +66,15 @@ def test_adaptive_and_edges(spark):
     assert score_documents(spark.createDataFrame([], "doc_id long, text string, word string")).collect() == []
     one = score_documents(spark.createDataFrame([(None, "x")], "doc_id long, text string")).collect()
     assert one[0].held_out and one[0].train_tokens == 0 and one[0].base_score == 0
+
+
+def test_gram_probabilities_sum_to_one():
+    rng = np.random.default_rng(2)
+    seen = np.unique(rng.integers(0, 4, (400, 5)) @ [1 << 32, 1 << 24, 1 << 16, 1 << 8, 1])
+    codes = np.unique(((seen >> 8)[:, None] << 8 | np.arange(256)).ravel())  # every symbol after every context
+    n = np.where(np.isin(codes, seen), rng.integers(1, 9, len(codes)), 0)
+    trigram = (codes >> 24 << 8) | (codes & 0xFF)
+    kinds, where = np.unique(trigram, return_inverse=True)
+    count = np.bincount(where, n)
+    log = gram_probabilities(codes, n, 4, LowOrders(kinds[count > 0], count[count > 0]))
+    assert np.allclose((10.0**log).reshape(-1, 256).sum(1), 1, atol=1e-4)
