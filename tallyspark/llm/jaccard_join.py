@@ -14,9 +14,10 @@ those out, which hold what passages and boilerplate lines have in common. The st
    to, twice), so no pairs are emitted;
 4. the sets of routed documents, fetched once, meet in blocks: a route of many documents becomes block
    pairs of bounded size;
-5. in a block, overlaps are counted fragment by fragment of the global order and summed per pair; of the
-   links found a spanning forest leaves the task;
-6. connected components of the links, joined back to all documents.
+5. in a block pair, overlaps are counted fragment by fragment of the global order and summed per pair. A pair
+   that meets in several routes counts in the smallest; each document's number of links and a spanning forest
+   of the links leave the task;
+6. connected components of the forests, and the sums of the numbers, joined back to all documents.
 """
 
 from __future__ import annotations
@@ -195,15 +196,21 @@ def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fetch(size: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows, blobs = batch.column(0).to_numpy(), [], []
+            rows, blobs = [], []
+
+            def out() -> pa.RecordBatch:
+                at = pa.array(rows, pa.int64())
+                columns = [batch.column(0).take(at), batch.column(2).take(at), batch.column(3).take(at), pa.array(blobs, pa.binary())]
+                return pa.RecordBatch.from_arrays(columns, names=["rep", "copies", "hubs", "grams"])
+
             for row, grams in _sets(batch.column(1), size, lower):
-                rows.append(ids[row])
+                rows.append(row)
                 blobs.append(grams.tobytes())
                 if len(rows) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], names=["rep", "grams"])
+                    yield out()
                     rows, blobs = [], []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], names=["rep", "grams"])
+                yield out()
 
     return run
 
@@ -232,12 +239,24 @@ def partial_overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among a block's documents."""
+def _links(group: tuple[int, int, int], held: list[tuple[int, int, int, np.ndarray, np.ndarray]], num: int, den: int) -> np.ndarray:
+    """Which documents of a block pair are linked, without the links that another group of theirs counts."""
+    sets = [x[4] for x in held]
     sizes = np.array([len(s) for s in sets])
     inter = partial_overlaps(sets).astype(np.int64)
     linked = den * inter >= num * (sizes[:, None] + sizes[None, :] - inter)
     np.fill_diagonal(linked, False)
+    # a pair meets in each of its common routes, and within one again wherever its common block goes
+    hub, one, two = group
+    if one != two:
+        block = np.array([x[1] for x in held])
+        linked &= block[:, None] != block[None, :]
+    linked &= partial_overlaps([x[3][x[3] < hub] for x in held]) == 0
+    return linked
+
+
+def _forest(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links among a block's documents."""
     todo, edges = set(range(len(ids))), []
     while todo:
         stack = [todo.pop()]
@@ -253,48 +272,64 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list
 
 def _link_blocks(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray]] = []
+        held: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
         group = None
         edges: list[tuple[int, int]] = []
+        counts: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(held) > 1:
+                linked = _links(group, held, num, den)
+                ids = np.array([x[0] for x in held])
+                edges.extend(_forest(ids, linked))
+                number = linked @ np.array([x[2] for x in held])
+                some = np.flatnonzero(number)
+                counts.extend(zip(ids[some].tolist(), number[some].tolist()))
+
         for batch in batches:
-            hubs, ones, twos = (batch.column(i).to_numpy() for i in range(3))
-            reps, blobs = batch.column(3).to_numpy(), batch.column(4)
+            hubs, ones, twos, reps, blocks, copies = (batch.column(i).to_numpy() for i in range(6))
+            routes, blobs = batch.column(6), batch.column(7)
             for row in range(batch.num_rows):
                 here = (hubs[row], ones[row], twos[row])
                 if here != group:
-                    if len(held) > 1:
-                        edges += _forest(np.array([x[0] for x in held]), [x[1] for x in held], num, den)
+                    close()
                     held, group = [], here
-                held.append((reps[row], np.frombuffer(blobs[row].as_buffer(), np.uint64)))
-            if len(edges) > 5000:
-                yield _edge_batch(edges)
-                edges = []
-        if len(held) > 1:
-            edges += _forest(np.array([x[0] for x in held]), [x[1] for x in held], num, den)
+                held.append((reps[row], blocks[row], copies[row], routes[row].values.to_numpy(), np.frombuffer(blobs[row].as_buffer(), np.uint64)))
+            if len(edges) + len(counts) > 5000:
+                yield _link_batch(edges, counts)
+                edges, counts = [], []
+        close()
         if edges:
-            yield _edge_batch(edges)
+            yield _link_batch(edges, counts)
 
     return run
 
 
-def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = np.array(edges, np.int64).T
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _link_batch(edges: list[tuple[int, int]], counts: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Links a < b, and below them (a, null, links): how many links of document a were found."""
+    a, b = np.array(edges, np.int64).reshape(-1, 2).T
+    node, links = np.array(counts, np.int64).reshape(-1, 2).T
+    columns = [
+        pa.array(np.concatenate([np.minimum(a, b), node])),
+        pa.concat_arrays([pa.array(np.maximum(a, b)), pa.nulls(len(node), pa.int64())]),
+        pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(links)]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "links"])
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, lower: bool = True) -> DataFrame:
-    """Per document: doc_id, n_shingles, rep, component_id, for links with den * overlap >= num * union.
+    """Per document: doc_id, n_shingles, rep, component_id, n_links, for links with den * overlap >= num * union.
 
     Words are [^\\x20\\x09-\\x0D]+ (A-Z lower-cased if `lower`), shingles `size` consecutive words, or the
     whole sequence where there are fewer; a text that is null or has no words has no shingles and is linked
     with nothing. rep is the smallest document with an equal set, component_id the smallest document that
-    links reach. Requires unique doc_id; rows with a null one are left out. Other columns are ignored.
+    links reach, n_links the number of other documents linked with this one, equal sets included. Requires unique doc_id; rows with a null one are left out. Other columns are ignored.
     """
     n = partitions(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     described = texts.mapInArrow(_describe(size, lower, num, den), "doc_id long, n_shingles long, s1 long, s2 long, even int, odd int")
-    equal = described.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    known = cut(described.join(equal, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "even", "odd"))
+    equal = described.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    known = cut(described.join(equal, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"), "even", "odd"))
 
     keys = texts.mapInArrow(_emit_keys(size, lower, num, den), "key long, owner long")
     counted = keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_count_keys, "key long, owner long, n long")
@@ -312,14 +347,17 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     many = routes.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = routes.join(many, "hub").select("rep", "hub", blocks.alias("blocks"), F.expr(f"cast(pmod(xxhash64(rep, hub), ceil(members / {BLOCK})) as int)").alias("block"))
-    sets = texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_fetch(size, lower), "rep long, grams binary")
+    listed = placed.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("hub").alias("hubs")).join(known.select("doc_id", "copies"), "doc_id")
+    sets = texts.join(listed, "doc_id").select("doc_id", "text", "copies", "hubs").mapInArrow(_fetch(size, lower), "rep long, copies long, hubs array<long>, grams binary")
     meeting = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "rep", "hub", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
+        "rep", "hub", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
     )
-    met = meeting.join(sets, "rep").repartition(n, "hub", "one", "two").sortWithinPartitions("hub", "one", "two").select("hub", "one", "two", "rep", "grams")
-    edges = met.mapInArrow(_link_blocks(num, den), "a long, b long")
-    components = connected_components(edges)
-    return known.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", "rep", F.coalesce("component", "rep").alias("component_id"))
+    met = meeting.join(sets, "rep").repartition(n, "hub", "one", "two").sortWithinPartitions("hub", "one", "two").select("hub", "one", "two", "rep", "block", "copies", "hubs", "grams")
+    found = cut(met.mapInArrow(_link_blocks(num, den), "a long, b long, links long"))
+    components = connected_components(found.where("b is not null"))
+    degrees = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    joined = known.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(degrees, "rep", "left")
+    return joined.select("doc_id", "n_shingles", "rep", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:

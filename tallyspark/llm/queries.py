@@ -98,5 +98,5 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    """Components, and each document's number of links, of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")

@@ -76,3 +76,27 @@ def test_edges_of_input(spark):
     assert drop_near_duplicates(empty).collect() == []
     docs = spark.createDataFrame([(2, "a b c d e f", "r"), (1, "a b c d e f", None), (None, "a b c d e f", "n")], "doc_id long, text string, rep string")
     assert sorted((str(r.doc_id), r.rep) for r in drop_near_duplicates(docs).collect()) == [("1", None), ("None", "n")]
+
+
+def test_every_link_is_counted_once(spark):
+    """Equal sets, groups of differing near copies, several blocks, and documents that meet in several routes."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(130)]
+    group = []
+    for _ in range(1100):
+        words = list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(130)] = f"n{rng.randrange(40)}"
+        group.append(" ".join(words))
+    texts = [t for _, t in corpus(4)] + group + group[:30]
+    for size, num in ((3, 90), (5, 80)):
+        sets = [shingles(t, size) for t in texts]
+        expected = dict.fromkeys(range(len(texts)), 0)
+        for i, a in enumerate(sets):
+            for j in range(i):
+                inter = len(a & sets[j])
+                if inter and 100 * inter >= num * (len(a) + len(sets[j]) - inter):
+                    expected[i] += 1
+                    expected[j] += 1
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {r.doc_id: r.n_links for r in jaccard_components(frame, size, num, 100).collect()} == expected
