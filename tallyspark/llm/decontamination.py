@@ -5,7 +5,7 @@
    text has cannot occur. Postings (item, document, shift) of the picked terms are stored: the shift is the
    term's place in the text less its place in the item, so the lists are offset-adjusted.
 3. Lists intersect by grouping on (document, item, shift): an exact phrase needs two of its picked terms at
-   one shift (a one-word window: its only one).
+   one shift (a one-word window: its only one). With `slop`, a posting stands for all shifts within it.
 4. Each document verifies its shifts against its own words, once: runs of equal words of a window's length
    are phrase matches; with `slop`, all words of a window within that distance of their places are a
    proximity match.
@@ -13,6 +13,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +60,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: i
 
     A document word is hit inside any occurrence of a benchmark window; an item of fewer words than `size`,
     but not none, is one window. items lists the items with occurring windows, sorted as strings.
-    n_near_items counts items with a proximity match (those with a phrase match included); with slop 0 they
-    are the same. Null texts have no words. Rows with a null doc_id, a null item_id stay unmatched; other
+    n_near_items counts items with a proximity match (those with a phrase match included): a window placed on
+    the text so that each of its words stands within `slop` words of its place; with slop 0 they are the same. Null texts have no words. Rows with a null doc_id, a null item_id stay unmatched; other
     columns are ignored. doc_id must be unique.
     """
     texts = docs.select("doc_id", "text")
@@ -77,9 +80,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: i
     picked = ranked.select("item_id", "item_words", "width", F.explode(F.slice("terms", 1, 2)).alias("t")).select("item_id", "item_words", "width", "t.place", "t.key").distinct()
     picked = picked.select("key", "item_id", "place", F.struct("item_words", "width").alias("item"))
     posted = _postings(texts.where("doc_id is not null"), picked.select("key", "item_id", "place", F.col("item.width").alias("width")))
+    if slop:
+        posted = posted.withColumn("pos", F.explode(F.sequence(F.col("pos") - slop, F.col("pos") + slop)))
     shifts = posted.groupBy("doc_id", "item_id", (F.col("pos") - F.col("place")).alias("shift")).agg(F.count_distinct("place").alias("n"), F.min("width").alias("width"))
-    if slop == 0:
-        shifts = shifts.where("n >= least(2, width)")
+    shifts = shifts.where("n >= least(2, width)")
     items = windows.select("item_id", "item_words", "width").distinct()
     candidates = (
         shifts.select("doc_id", "item_id", "shift")
@@ -119,15 +123,11 @@ def _matches(text_words: Column, c: Column, slop: int) -> Column:
     )[0]
     near = F.size(starts) > 0
     if slop:
-        near = near | F.exists(
-            F.sequence(F.lit(0), total - c["width"]),
-            lambda s: F.size(
-                F.array_except(
-                    F.slice(c.item_words, s + 1, c["width"]),
-                    F.slice(text_words, F.greatest(s + c["shift"] - slop, F.lit(0)) + 1, F.greatest(c["width"] + 2 * slop + F.least(s + c["shift"] - slop, F.lit(0)), F.lit(0))),
-                )
-            ) == 0,
-        )
+
+        def within(word: Column, place: Column) -> Column:
+            return F.when(reduce(or_, (F.get(text_words, place + c["shift"] + by) == word for by in range(-slop, slop + 1))), "y").otherwise("n")
+
+        near = F.contains(F.array_join(F.transform(c.item_words, within), ""), F.repeat(F.lit("y"), c["width"]))
     return F.struct(c.item_id.alias("item_id"), starts.alias("starts"), c["width"].alias("width"), near.alias("near"))
 
 

@@ -86,3 +86,22 @@ def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b", "k"), (2, "c", None)], "doc_id long, text string, key string")
     assert [(r.doc_id, r.key) for r in drop_contaminated(docs, items).collect()] == [(2, None)]
     assert drop_contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 2
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(11)
+    items = [(1, "a b c d")] + [(i, " ".join(rng.choices("abcdefgh", k=rng.choice([1, 3, 4, 6])))) for i in range(2, 12)]
+    texts = [(0, "x x x x a x b x c d"), (1, ""), (2, "d c b a")] + [(i, " ".join(rng.choices("abcdefghxy", k=rng.choice([3, 8, 15])))) for i in range(3, 60)]
+
+    def near(text, item, slop):
+        t, w = text.split(), item.split()
+        width = min(4, len(w))
+        spots = lambda i, shift: t[max(0, i + shift - slop) : max(0, i + shift + slop + 1)]
+        return any(all(w[i] in spots(i, shift) for i in range(s, s + width)) for s in range(len(w) - width + 1) for shift in range(-len(w) - slop, len(t) + slop))
+
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for slop in (1, 2):
+        expected = {i: sum(near(t, w, slop) for _, w in items) for i, t in texts}
+        assert expected[0]
+        assert {r.doc_id: r.n_near_items for r in decontaminate(d, b, 4, slop=slop).collect()} == expected
