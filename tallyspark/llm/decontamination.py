@@ -27,7 +27,7 @@ BROADCAST_TERMS = 200_000
 
 
 def words(folded: Column) -> Column:
-    """Words of a text already in lower case; the last entry may be an empty string, a null text gives null."""
+    """Words of a text already folded; the last entry may be an empty string, a null text gives null."""
     return F.split(F.regexp_replace(folded, "^" + SEPARATOR, ""), SEPARATOR)
 
 
@@ -49,9 +49,8 @@ def benchmark_windows(benchmark: DataFrame, size: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows of `terms` (key: a term in lower case) for each place of the term in `docs`."""
-    # lower() keeps word boundaries, so it may serve as the key: the exact words are compared in the end
-    exploded = docs.select("doc_id", F.posexplode(words(F.lower("text"))).alias("pos", "key"))
+    """Rows of `terms` (key: a term of `exact_words`) for each place of the term in `docs`."""
+    exploded = docs.select("doc_id", F.posexplode(words(fold("text"))).alias("pos", "key"))
     return exploded.join(_small(terms), "key")
 
 
@@ -66,7 +65,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: i
     """
     texts = docs.select("doc_id", "text")
     windows = benchmark_windows(benchmark, size)
-    places = windows.select("item_id", "item_words", "width", "start", F.posexplode(F.expr("slice(item_words, start + 1, width)")).alias("off", "term")).withColumn("key", F.lower("term"))
+    places = windows.select("item_id", "item_words", "width", "start", F.posexplode(F.expr("slice(item_words, start + 1, width)")).alias("off", "key"))
     vocabulary = places.select("key").distinct()
     counts = _postings(texts, vocabulary).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 

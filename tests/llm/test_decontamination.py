@@ -105,3 +105,11 @@ def test_proximity_against_brute_force(spark):
         expected = {i: sum(near(t, w, slop) for _, w in items) for i, t in texts}
         assert expected[0]
         assert {r.doc_id: r.n_near_items for r in decontaminate(d, b, 4, slop=slop).collect()} == expected
+
+
+def test_letters_beyond_a_to_z_are_not_folded(spark):
+    """A capital sigma's lower case depends on its neighbours across a full stop."""
+    text = "Ε.Σ. one two three"
+    d = spark.createDataFrame([(1, "before " + text), (2, "before " + text.lower())], "doc_id long, text string")
+    b = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate(d, b, 4).collect()} == {1: 5, 2: 0}
