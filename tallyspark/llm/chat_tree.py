@@ -109,13 +109,23 @@ def build_tree(paths: DataFrame) -> DataFrame:
 
 
 def read_back(paths: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per conversation, from the tree's nodes: conv_id, formatted, turns (role, text), trained (the text under the mask)."""
+    """Per conversation, from the tree's nodes: conv_id, formatted, turns (role, text), trained (the text under the
+    mask), and over its turns positions (the sum of position ids), attended (the sum of the ancestor intervals'
+    lengths) and layout_sha256 (the digest of start:stop:pos:conversations:ancestor intervals of each)."""
     steps = paths.select("conv_id", F.posexplode(F.transform("turns", lambda t: t["path"])).alias("step", "path"))
-    piece = F.struct("step", "piece", "loss_from", "loss_to")
-    lists = steps.join(nodes.select("path", "piece", "loss_from", "loss_to"), "path").groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    piece = F.struct("step", "piece", "loss_from", "loss_to", "pos", "attended", "place")
+    seen = F.array_join(F.transform("ancestors", lambda a: F.concat_ws("-", a["start"].cast("string"), a["stop"].cast("string"))), ",")
+    place = F.sha2(F.concat_ws(":", *(F.col(c).cast("string") for c in ("start", "stop", "pos", "conversations")), seen), 256)
+    attended = F.aggregate("ancestors", F.lit(0).cast("long"), lambda total, a: total + a["stop"] - a["start"])
+    lists = steps.join(nodes.select("path", "piece", "loss_from", "loss_to", "pos", attended.alias("attended"), place.alias("place")), "path").groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
     formatted = F.array_join(F.transform("pieces", lambda p: p["piece"]), "")
     trained = F.array_join(F.transform("pieces", lambda p: unescape(F.substring(p["piece"], p["loss_from"] + 1, p["loss_to"] - p["loss_from"]))), "")
-    whole = lists.select("conv_id", formatted.alias("formatted"), trained.alias("trained"))
+    layout = F.sha2(F.array_join(F.transform("pieces", lambda p: p["place"]), "\n"), 256)
+
+    def total(field: str) -> Column:
+        return F.aggregate(F.transform("pieces", lambda p: p[field]), F.lit(0).cast("long"), lambda before, x: before + x)
+
+    whole = lists.select("conv_id", formatted.alias("formatted"), trained.alias("trained"), total("pos").alias("positions"), total("attended").alias("attended"), layout.alias("layout_sha256"))
     pattern = F.lit(r"(?s)<\|(.*?)\|>(.*?)</s>")
     turns = F.arrays_zip(F.transform(F.regexp_extract_all("formatted", pattern, F.lit(1)), unescape).alias("role"), F.transform(F.regexp_extract_all("formatted", pattern, F.lit(2)), unescape).alias("text"))
-    return whole.select("conv_id", "formatted", turns.alias("turns"), "trained")
+    return whole.select("conv_id", "formatted", turns.alias("turns"), "trained", "positions", "attended", "layout_sha256")

@@ -56,3 +56,16 @@ def test_edges(spark):
     rows = [(1, 0, "user", "x", "p"), (1, 0, "user", "x", "q"), (None, None, None, None, None)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, path string")
     assert {r.conv_id: r.n_turns for r in format_conversations(frame).collect()} == {1: 2, None: 1}
+
+
+def test_query_returns_positions_and_attention(spark):
+    frame = spark.createDataFrame(corpus(), "conv_id long, turn long, role string, text string")
+    paths = conversation_paths(frame)
+    nodes = {n.path: n for n in build_tree(paths).collect()}
+    got = {r.conv_id: r for r in format_conversations(frame).collect()}
+    for conv in paths.collect():
+        steps = [nodes[t.path] for t in conv.turns]
+        before = sum(sum(len(t.piece) for t in conv.turns[:i]) for i in range(len(conv.turns)))
+        assert (got[conv.conv_id].positions, got[conv.conv_id].attended) == (before, before)
+        places = [":".join(map(str, (n.start, n.stop, n.pos, n.conversations, ",".join(f"{a.start}-{a.stop}" for a in n.ancestors)))) for n in steps]
+        assert got[conv.conv_id].layout_sha256 == sha("\n".join(map(sha, places)))
