@@ -97,12 +97,14 @@ def build_tree(paths: DataFrame) -> DataFrame:
     sums = laid.groupBy("root", "part").agg(F.sum("n").alias("total"))
     before = Window.partitionBy("root").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sums.select("root", "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("shift"))
-    placed = laid.join(shifts, ["root", "part"]).withColumn("start", F.col("local") + F.col("shift")).withColumn("stop", F.col("start") + F.col("n")).withColumn("depth", (F.length("path") / _DIGEST).cast("int"))
+    # offsets are found without the texts, which are dealt once, by path
+    placed = laid.select("path", "root", "part", "local", "n").join(shifts, ["root", "part"]).withColumn("start", F.col("local") + F.col("shift")).withColumn("stop", F.col("start") + F.col("n")).withColumn("depth", (F.length("path") / _DIGEST).cast("int"))
     places = placed.select(F.col("path").alias("above"), "start", "stop")
     above = placed.where("depth > 1").select("path", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("d")).select("path", F.expr(f"substring(path, 1, {_DIGEST} * d)").alias("above"))
     intervals = above.join(places, "above").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("ancestors"))
     trained = F.col("role") == "assistant"
-    return placed.join(intervals, "path", "left").select(
+    wide = laid.select("path", "role", "piece", "lead", "tail", "pos", "conversations")
+    return wide.join(placed.join(intervals, "path", "left"), "path").select(
         "path", "root", "depth", "role", "piece", "start", "stop", "pos", F.when(trained, F.col("lead")).otherwise(F.lit(0)).alias("loss_from"), F.when(trained, F.col("tail")).otherwise(F.lit(0)).alias("loss_to"),
         F.coalesce("ancestors", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("ancestors"), "conversations",
     )
