@@ -18,6 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as `spark.checkpoint.dir` names it; one of our own only where
     that is unset, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return named or os.path.join(tempfile.gettempdir(), "tallyspark-checkpoints")
 
 
@@ -39,6 +41,30 @@ def fold(column: Column | str) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: A key with more than one in HOT of all rows is frequent; there are fewer than HOT of them, so they may be broadcast.
+HOT = 1000
+
+
+def join_uneven(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, spread: Column, may_broadcast: Column | None = None) -> DataFrame:
+    """`rows` left-joined to `per_key`, which has one row a key, on `keys`; one key may hold any share of the rows.
+
+    `weight` names the column of `per_key` that counts the rows of its key. Frequent keys are broadcast (fewer than
+    HOT; of them only those where `may_broadcast`, if their payload is not small anyway) and their rows, scattered
+    by the hash of `spread`, meet no partner in the shuffle that joins all others.
+    """
+    payload = [c for c in per_key.columns if c not in keys]
+    total = per_key.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    often = F.col(weight) > F.lit(total / HOT)
+    often = F.coalesce(often if may_broadcast is None else often & may_broadcast, F.lit(False))
+    packed = per_key.select(*keys, often.alias("_often"), F.struct(*payload).alias("_payload"))
+    hot = packed.where("_often").select(*keys, F.col("_payload").alias("_hot"))
+    cold = packed.where("not _often").select(*keys, F.lit(0).alias("_salt"), F.col("_payload").alias("_cold"))
+    marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(997))).cast("int"))
+    joined = marked.join(cold, [*keys, "_salt"], "left")
+    found = F.coalesce("_hot", "_cold")
+    return joined.select(*rows.columns, *(found[c].alias(c) for c in payload))
+
+
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component) with the smallest node reachable, for the nodes of the given links.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import chat_tree, decontamination, jaccard_join, lm_scoring, packing, quality_rules, secrets, suffix_dedup, toxicity, url_filter
-from tallyspark.llm.common import table
+from tallyspark.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,15 +65,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """The digest of conversations formatted through the prefix tree and read back from its nodes, and of their layout."""
-    paths = chat_tree.conversation_paths(turns)
+    """The digest of conversations formatted through the prefix tree and read back from its layout, and of that layout."""
+    paths = cut(chat_tree.conversation_paths(turns))
     back = chat_tree.read_back(paths, chat_tree.build_tree(paths))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+    digests = back.select(
+        "leaf", "n", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
         "positions", "attended", "layout_sha256",
     )
+    return chat_tree.conversations_of(paths, cut(digests))
 
 
 @query
