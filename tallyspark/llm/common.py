@@ -41,6 +41,21 @@ def fold(column: Column | str) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def repeated_ids(texts: DataFrame) -> bool:
+    """Whether a non-null doc_id comes twice."""
+    return not texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def numbered(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For texts (doc_id, text) whose doc_ids repeat: (row, doc_id, text), where rows of one doc_id and text share a
+    number and numbers rise with doc_id, and the names (row, doc_id)."""
+    keyed = texts.where("doc_id is not null").withColumn("hash", F.xxhash64("text"))
+    pairs = keyed.select("doc_id", "hash").distinct().repartitionByRange(partitions(texts), "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    # ids of sorted ranges rise with the order, whatever the ranges' sizes
+    names = cut(pairs.withColumn("row", F.monotonically_increasing_id()))
+    return keyed.join(names, ["doc_id", "hash"]).select("row", "doc_id", "text"), names.select("row", "doc_id")
+
+
 #: A key with more than one in HOT of all rows is frequent; there are fewer than HOT of them, so they may be broadcast.
 HOT = 1000
 

@@ -13,7 +13,9 @@ those out, which hold what passages and boilerplate lines have in common. The st
 3. the documents of a key are routed to the smallest of them (and on to the smallest that this one is routed
    to, twice), so no pairs are emitted;
 4. the sets of routed documents, fetched once, meet in blocks: a route of many documents becomes block
-   pairs of bounded size;
+   pairs of bounded size. Where links are to be counted that is every two blocks, as many as the links of a large
+   group; where components are enough, long routes are first settled through a few of their documents, and only
+   the rest meets all;
 5. in a block pair, overlaps are counted fragment by fragment of the global order and summed per pair. A pair
    that meets in several routes counts in the smallest; each document's number of links and a spanning forest
    of the links leave the task;
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import connected_components, cut, partitions
+from tallyspark.llm.common import connected_components, cut, join_uneven, numbered, partitions, repeated_ids
 from tallyspark.llm.textnp import BYTE_WORDS, LOWER_BYTE_WORDS, mix64, prefix_hash, shingle_hashes, span_hash, text_chunks, word_spans
 
 #: Fragments beyond D + 1, as a share of it, and how many of them may be empty in a set.
@@ -317,19 +319,56 @@ def _link_batch(edges: list[tuple[int, int]], counts: list[tuple[int, int]]) ->
     return pa.RecordBatch.from_arrays(columns, names=["a", "b", "links"])
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, lower: bool = True) -> DataFrame:
-    """Per document: doc_id, n_shingles, rep, component_id, n_links, for links with den * overlap >= num * union.
+def _settle(num: int, den: int):
+    """Whether each row's set (grams) is linked with its route's present hub (first)."""
 
-    Words are [^\\x20\\x09-\\x0D]+ (A-Z lower-cased if `lower`), shingles `size` consecutive words, or the
-    whole sequence where there are fewer; a text that is null or has no words has no shingles and is linked
-    with nothing. rep is the smallest document with an equal set, component_id the smallest document that
-    links reach, n_links the number of other documents linked with this one, equal sets included. Requires unique doc_id; rows with a null one are left out. Other columns are ignored.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(batch.num_rows, bool)
+            for row in range(batch.num_rows):
+                mine, first = (np.frombuffer(batch.column(i)[row].as_buffer(), np.uint64) for i in (2, 3))
+                inter = len(np.intersect1d(mine, first, assume_unique=True))
+                out[row] = den * inter >= num * (len(mine) + len(first) - inter)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["rep", "hub", "linked"])
+
+    return run
+
+
+#: Rounds in which long routes are settled, and sets up to this many bytes that are broadcast as a hub's.
+SETTLE_ROUNDS, BROADCAST_SET = 4, 16_384
+
+
+def _settled(routes: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """For components of long routes: routes (rep, hub, settled), and the links (a, b) found.
+
+    In each round the smallest open document of a route is compared with all others of it; those linked with it
+    are settled: they hang together, so no two of them need be compared. What stays open is still compared with
+    every document of the route.
     """
-    n = partitions(docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    described = texts.mapInArrow(_describe(size, lower, num, den), "doc_id long, n_shingles long, s1 long, s2 long, even int, odd int")
-    equal = described.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    known = cut(described.join(equal, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"), "even", "odd"))
+    state, links = routes.withColumn("settled", F.lit(False)), None
+    for _ in range(SETTLE_ROUNDS):
+        firsts = state.groupBy("hub").agg(F.min(F.when(~F.col("settled"), F.col("rep"))).alias("first"), F.count(F.lit(1)).alias("members")).where("first is not null")
+        if firsts.isEmpty():
+            break
+        first_sets = cut(firsts.join(sets.select(F.col("rep").alias("first"), F.col("grams").alias("first_grams")), "first").select("hub", "first", "first_grams", "members"))
+        held = join_uneven(state.select("rep", "hub").join(sets.select("rep", "grams"), "rep"), first_sets, ["hub"], "members", F.col("rep"), F.octet_length("first_grams") <= BROADCAST_SET)
+        judged = held.where("first is not null").select("rep", "hub", "grams", "first_grams").mapInArrow(_settle(num, den), "rep long, hub long, linked boolean")
+        state = cut(state.join(judged.where("linked"), ["rep", "hub"], "left").select("rep", "hub", (F.col("settled") | F.coalesce("linked", F.lit(False))).alias("settled"), F.coalesce("linked", F.lit(False)).alias("now")))
+        found = join_uneven(state.where("now"), first_sets.select("hub", "first", "members"), ["hub"], "members", F.col("rep")).select(F.least("rep", "first").alias("a"), F.greatest("rep", "first").alias("b")).where("a < b")
+        links = found if links is None else links.union(found)
+        state = state.drop("now")
+    return state, links
+
+
+def _components(texts: DataFrame, size: int, num: int, den: int, lower: bool, count_links: bool) -> DataFrame:
+    """`jaccard_components` of texts (doc_id, text) with unique, non-null doc_ids."""
+    n = partitions(texts)
+    described = cut(texts.mapInArrow(_describe(size, lower, num, den), "doc_id long, n_shingles long, s1 long, s2 long, even int, odd int"))
+    filled = described.where("n_shingles > 0")
+    equal = filled.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    grouped = join_uneven(filled, equal, ["n_shingles", "s1", "s2"], "copies", F.col("doc_id"))
+    empty = described.where("n_shingles = 0").withColumn("rep", F.col("doc_id")).withColumn("copies", F.lit(1).cast("long"))
+    known = cut(grouped.unionByName(empty).select("doc_id", "n_shingles", "rep", "copies", "even", "odd"))
 
     keys = texts.mapInArrow(_emit_keys(size, lower, num, den), "key long, owner long")
     counted = keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_count_keys, "key long, owner long, n long")
@@ -342,25 +381,69 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     routes = cut(routed.distinct())
     for _ in range(2):
         onward = routes.groupBy("rep").agg(F.min("hub").alias("to")).withColumnRenamed("rep", "hub")
-        routes = cut(routes.join(onward, "hub", "left").select("rep", F.coalesce("to", "hub").alias("hub")).distinct())
-    # documents of a route are numbered by hash into blocks, and every two blocks meet in one group
-    many = routes.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = routes.join(many, "hub").select("rep", "hub", blocks.alias("blocks"), F.expr(f"cast(pmod(xxhash64(rep, hub), ceil(members / {BLOCK})) as int)").alias("block"))
+        hubs = routes.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).join(onward, "hub", "left")
+        routes = cut(join_uneven(routes, hubs, ["hub"], "members", F.col("rep")).select("rep", F.coalesce("to", "hub").alias("hub")).distinct())
+    many = routes.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
+    placed = join_uneven(routes, many, ["hub"], "members", F.col("rep")).where("members > 1")
     listed = placed.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("hub").alias("hubs")).join(known.select("doc_id", "copies"), "doc_id")
     sets = texts.join(listed, "doc_id").select("doc_id", "text", "copies", "hubs").mapInArrow(_fetch(size, lower), "rep long, copies long, hubs array<long>, grams binary")
-    meeting = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    # only components are wanted: most documents of a long route hang together through one of them
+    settled, direct = placed.withColumn("settled", F.lit(False)), None
+    if not count_links:
+        long = cut(placed.where(F.col("members") > BLOCK).select("rep", "hub"))
+        if not long.isEmpty():
+            state, direct = _settled(long, sets.join(long.select("rep").distinct(), "rep", "left_semi"), num, den)
+            settled = placed.where(F.col("members") <= BLOCK).withColumn("settled", F.lit(False)).unionByName(placed.where(F.col("members") > BLOCK).join(state, ["rep", "hub"]))
+    # documents of a route are numbered by hash into blocks, open ones first, and every two blocks of which one is open meet in one group
+    per_hub = cut(settled.groupBy("hub").agg(F.count_if("settled").alias("n_settled"), F.count_if(~F.col("settled")).alias("n_open"), F.count(F.lit(1)).alias("all")))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    sized = join_uneven(settled.select("rep", "hub", "settled"), per_hub, ["hub"], "all", F.col("rep")).where("n_open > 0")
+    at = F.pmod(F.xxhash64("rep", "hub"), F.when(F.col("settled"), blocks("n_settled")).otherwise(blocks("n_open")).cast("long")).cast("int")
+    numbered_blocks = sized.select("rep", "hub", F.when(F.col("settled"), blocks("n_open") + at).otherwise(at).alias("block"), F.when(F.col("settled"), blocks("n_open")).otherwise(blocks("n_open") + blocks("n_settled")).alias("meets"))
+    meeting = numbered_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1))).select(
         "rep", "hub", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
     )
     met = meeting.join(sets, "rep").repartition(n, "hub", "one", "two").sortWithinPartitions("hub", "one", "two").select("hub", "one", "two", "rep", "block", "copies", "hubs", "grams")
     found = cut(met.mapInArrow(_link_blocks(num, den), "a long, b long, links long"))
-    components = connected_components(found.where("b is not null"))
+    links = found.where("b is not null").select("a", "b")
+    components = connected_components(links if direct is None else links.union(direct))
     degrees = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    joined = known.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(degrees, "rep", "left")
-    return joined.select("doc_id", "n_shingles", "rep", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    of_rep = known.where("rep = doc_id").select("rep", "copies").join(components.withColumnRenamed("node", "rep"), "rep", "left").join(degrees, "rep", "left").where("component is not null or links is not null")
+    joined = join_uneven(known, of_rep.withColumnRenamed("copies", "weight"), ["rep"], "weight", F.col("doc_id"))
+    number = F.col("copies") - 1 + F.coalesce("links", F.lit(0)) if count_links else F.lit(None).cast("long")
+    return joined.select("doc_id", "n_shingles", "rep", F.coalesce("component", "rep").alias("component_id"), number.alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, lower: bool = True, count_links: bool = True) -> DataFrame:
+    """Per row: doc_id, n_shingles, rep, component_id, n_links, for links with den * overlap >= num * union.
+
+    Words are [^\\x20\\x09-\\x0D]+ (A-Z lower-cased if `lower`), shingles `size` consecutive words, or the
+    whole sequence where there are fewer; a text that is null or has no words has no shingles and is linked
+    with nothing. rep is the smallest document with an equal set, component_id the smallest document that
+    links reach, n_links the number of other documents linked with this one, equal sets included; without
+    `count_links` it is null, and long groups of near copies are joined through few of their documents. Different
+    texts under one doc_id are different documents of that name; rows that repeat doc_id and text are one, and each
+    gets its result. A row with a null doc_id has n_shingles, is linked with nothing and has null rep and
+    component_id. Other columns are ignored.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = rows.where("doc_id is not null")
+    if repeated_ids(rows):
+        each, names = numbered(rows)
+        each = cut(each)
+        found = _components(each.select(F.col("row").alias("doc_id"), "text").dropDuplicates(["doc_id"]), size, num, den, lower, count_links)
+        to = lambda c: names.select(F.col("row").alias(c), F.col("doc_id").alias(f"_{c}"))
+        out = each.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("_doc_id")).join(found, "doc_id").join(to("rep"), "rep").join(to("component_id"), "component_id")
+        out = out.select(F.col("_doc_id").alias("doc_id"), "n_shingles", F.col("_rep").alias("rep"), F.col("_component_id").alias("component_id"), "n_links")
+    else:
+        out = _components(named, size, num, den, lower, count_links)
+    none = F.lit(None).cast("long")
+    nameless = rows.where("doc_id is null").mapInArrow(_describe(size, lower, num, den), "doc_id long, n_shingles long, s1 long, s2 long, even int, odd int")
+    return out.unionByName(nameless.select("doc_id", "n_shingles", none.alias("rep"), none.alias("component_id"), F.lit(0 if count_links else None).cast("long").alias("n_links")))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """`docs` with one document of each component left, the smallest; rows with a null doc_id stay."""
-    gone = jaccard_components(docs, size, num, den).where("component_id <> doc_id").select("doc_id")
+    """`docs` with one document of each component left, the smallest; rows with a null doc_id stay, and so do all
+    rows under the smallest doc_id if that is repeated. Other columns stay as they are."""
+    gone = jaccard_components(docs, size, num, den, count_links=False).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -1,6 +1,7 @@
 import random
 import re
 
+from tallyspark.llm import jaccard_join
 from tallyspark.llm.jaccard_join import drop_near_duplicates, jaccard_components
 
 
@@ -100,3 +101,42 @@ def test_every_link_is_counted_once(spark):
                     expected[j] += 1
         frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         assert {r.doc_id: r.n_links for r in jaccard_components(frame, size, num, 100).collect()} == expected
+
+
+def test_components_alone_of_long_groups(spark, monkeypatch):
+    """Groups longer than a block are settled through few documents; a chain's ends are not linked with each other."""
+    rng = random.Random(13)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 40)
+    docs = []
+    for g in range(3):
+        base = [f"g{g}b{i}" for i in range(130)]
+        for _ in range(150):
+            words = list(base)
+            for _ in range(rng.randrange(5)):
+                words[rng.randrange(130)] = f"n{rng.randrange(1000)}"
+            docs.append(" ".join(words))
+    chain = [f"c{i}" for i in range(220)]
+    docs += [" ".join(chain[4 * i : 4 * i + 120]) for i in range(25)]
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    for rounds in (1, 4):
+        monkeypatch.setattr(jaccard_join, "SETTLE_ROUNDS", rounds)
+        frame = spark.createDataFrame(docs, "doc_id long, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(frame, 3, 90, 100, count_links=False).collect()}
+        assert got == brute(docs, 3, 90, 100)
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    one, two = "a b c d e f g h i j k l", "p q r s t u v w x y z"
+    rows = [(5, one, 1), (5, two, 2), (5, two, 2), (9, one, 3), (None, one, 4), (None, None, 5), (7, two + " ", 6), (8, None, 7), (3, "other text here", 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, copies long")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_components(frame).collect()), key=repr)
+    assert got == sorted([(5, 10, 5, 1), (5, 9, 5, 1), (5, 9, 5, 1), (9, 10, 5, 1), (None, 10, None, 0), (None, 0, None, 0), (7, 9, 5, 1), (8, 0, 8, 0), (3, 1, 3, 0)], key=repr)
+    kept = sorted(r.copies for r in drop_near_duplicates(frame).collect())
+    assert kept == [1, 2, 2, 4, 5, 7, 8]
+
+
+def test_a_long_text(spark):
+    words = [f"w{i * 7919 % 100_003}" for i in range(60_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(["x", *words[:-1]])), (3, " ".join(words[::-1]))]
+    assert run(spark, docs, 3, 90, 100) == {1: (59_998, 1), 2: (59_998, 1), 3: (59_998, 3)}
