@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from tallyspark.llm import decontamination
 from tallyspark.llm.decontamination import decontaminate, drop_contaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -113,3 +114,25 @@ def test_letters_beyond_a_to_z_are_not_folded(spark):
     d = spark.createDataFrame([(1, "before " + text), (2, "before " + text.lower())], "doc_id long, text string")
     b = spark.createDataFrame([(1, text)], "item_id long, text string")
     assert {r.doc_id: r.n_hit for r in decontaminate(d, b, 4).collect()} == {1: 5, 2: 0}
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    docs = [(None, "a b c", 1, "x"), (None, "c d", 2, "y"), (5, "a b", 3, "z"), (5, "q r", 4, None), (5, "q r", 4, None), (6, None, None, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, key long, row string")
+    b = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "q r")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate(d, b).collect()), key=repr)
+    assert got == sorted([(None, 3, 2, 1), (None, 2, 0, 0), (5, 2, 2, 1), (5, 2, 0, 0), (5, 2, 0, 0), (6, 0, 0, 0)], key=repr)
+    assert sorted((tuple(r) for r in drop_contaminated(d, b).collect()), key=repr) == sorted([docs[1], docs[3], docs[4], docs[5]], key=repr)
+
+
+def test_periodic_and_long_texts(spark):
+    """A text and an item of one period meet at very many shifts."""
+    docs = [(1, "a b " * 3000), (2, "x " * 40_000 + "p q r s"), (3, "a a a")]
+    items = [(1, "a b " * 200), (2, "p q r s"), (3, "b b")]
+    assert run(spark, docs, items) == brute(docs, items, 10)
+
+
+def test_large_benchmarks_are_joined_by_shuffle(spark, monkeypatch):
+    docs, items = corpus(3)
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    assert run(spark, docs, items) == brute(docs, items, 10)
