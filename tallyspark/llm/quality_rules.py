@@ -1,8 +1,9 @@
 """Operator 3: quality rules as a short-circuit cascade.
 
-The base counts come from one vectorised pass over each text. The further rules are measured on a sample of
-documents, for seconds spent and share rejected, and then run in the order of rejection per cost: each rule
-sees only the documents that those before it kept. The order changes the cost, never the verdict.
+The base counts come from one vectorised pass over each text. The further rules are measured on a random sample of
+the documents that the base passes, drawn over the whole table and measured where it lies, for seconds spent and
+share rejected; they then run in the order of rejection per cost: each rule sees only the documents that those
+before it kept. The order changes the cost, never the verdict.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.textnp import SPACE, mix64, prefix_hash, shingle_hashes, span_hash, text_chunks, word_spans
 
-#: Documents on which the rules' costs and selectivities are estimated.
-SAMPLE = 400
+#: Documents, about, on which the rules' costs and selectivities are estimated, and readings of each cost.
+SAMPLE, READINGS = 2000, 3
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _UPPER = np.zeros(256, bool)
@@ -120,19 +121,45 @@ RULES: dict[str, Callable[[Texts], np.ndarray]] = {
 }
 
 
-def order_rules(docs: DataFrame, rules: dict[str, Callable[[Texts], np.ndarray]], sample: int = SAMPLE) -> list[str]:
-    """Rule names by rejection per second on at most `sample` documents; without any, as given."""
-    rows = docs.select("text").where("text is not null").limit(sample).toArrow().column("text") if sample else None
-    if rows is None or not len(rows):
+def base_fails(counts: dict[str, np.ndarray], min_words: int, repeat_percent: int) -> np.ndarray:
+    """Which texts the base rejects."""
+    return (counts["n_words"] < min_words) | (100 * counts["n_repeat_words"] > repeat_percent * counts["n_words"])
+
+
+def _measure(rules: dict[str, Callable[[Texts], np.ndarray]], min_words: int, repeat_percent: int):
+    """(rule, seconds, rejected, judged) of each rule over a task's part of the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seconds, rejected, judged = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0), 0
+        for batch in batches:
+            for _, offsets, data in text_chunks(batch.column(0)):
+                texts = base_counts(data, offsets)
+                texts = texts.only(np.flatnonzero(~base_fails(texts.counts, min_words, repeat_percent)))
+                judged += len(texts.offsets) - 1
+                for name, rule in rules.items():
+                    readings = []
+                    for _ in range(READINGS):
+                        began = time.perf_counter()
+                        bad = rule(texts)
+                        readings.append(time.perf_counter() - began)
+                    rejected[name] += int(bad.sum())
+                    seconds[name] += min(readings)
+        if judged:
+            columns = [pa.array(list(rules)), pa.array(list(seconds.values())), pa.array(list(rejected.values())), pa.array([judged] * len(rules))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rule", "seconds", "rejected", "judged"])
+
+    return run
+
+
+def order_rules(docs: DataFrame, rules: dict[str, Callable[[Texts], np.ndarray]], min_words: int = 10, repeat_percent: int = 20, sample: int = SAMPLE) -> list[str]:
+    """Rule names by rejection per second on about `sample` documents; without any, as given."""
+    rows = docs.count() if sample else 0
+    if not rows:
         return list(rules)
-    seconds, rejected = dict.fromkeys(rules, 1e-9), dict.fromkeys(rules, 0)
-    for _, offsets, data in text_chunks(rows):
-        texts = base_counts(data, offsets)
-        for name, rule in rules.items():
-            began = time.perf_counter()
-            rejected[name] += int(rule(texts).sum())
-            seconds[name] += time.perf_counter() - began
-    return sorted(rules, key=lambda name: -(rejected[name] + 0.01) / seconds[name])
+    drawn = docs.select("text").sample(min(1.0, sample / rows), seed=17)
+    measured = drawn.mapInArrow(_measure(rules, min_words, repeat_percent), "rule string, seconds double, rejected long, judged long")
+    sums = {r.rule: r for r in measured.groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected")).collect()}  # one row a rule
+    return sorted(rules, key=lambda name: -(sums[name].rejected + 0.01) / (sums[name].seconds + 1e-9)) if sums else list(rules)
 
 
 def _judge(rules: dict[str, Callable[[Texts], np.ndarray]], names: list[str], min_words: int, repeat_percent: int):
@@ -141,7 +168,7 @@ def _judge(rules: dict[str, Callable[[Texts], np.ndarray]], names: list[str], mi
             for first, offsets, data in text_chunks(batch.column(1)):
                 texts = base_counts(data, offsets)
                 c = texts.counts
-                failed = (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > repeat_percent * c["n_words"])
+                failed = base_fails(c, min_words, repeat_percent)
                 left = np.flatnonzero(~failed)
                 reason = np.where(failed, "base", None)
                 rest = texts.only(left) if failed.any() else texts
@@ -172,13 +199,14 @@ def quality_rules(docs: DataFrame, rules: dict[str, Callable[[Texts], np.ndarray
     null or empty text has no words and fails. Rows keep a null doc_id; other columns are ignored.
     """
     rules = RULES if rules is None else rules
-    names = order_rules(docs, rules, sample)
+    names = order_rules(docs, rules, min_words, repeat_percent, sample)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, reason string"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_judge(rules, names, min_words, repeat_percent), schema)
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """`docs` without those the rules reject, in one pass and no shuffle."""
+    """`docs` without those the rules reject, in one pass and no shuffle. A null or empty text is rejected; null and
+    repeated doc_ids are of no matter, and other columns stay as they are."""
     names = order_rules(docs, RULES)
     judge = _judge(RULES, names, 10, 20)
     place = docs.columns.index("text")

@@ -47,3 +47,30 @@ def test_order_does_not_change_the_verdict(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
     one = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
     assert one == {r.doc_id: r.kept for r in quality_rules(docs, sample=0).collect()}
+
+
+def rejected(text):
+    """The further rules, written out on words and characters."""
+    w = WORD.findall(text)
+    chars, n = sum(map(len, w)), len(w)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    ascii_letters = [c for c in text if c.isascii() and c.isalpha()]
+    return (
+        sum(c in "#*$%&|<>" for c in text) > 0.08 * chars
+        or 10 * (len(lines) - len(set(lines))) > 4 * len(lines)
+        or not 2 * n <= chars <= 15 * n
+        or 2 * text.count("!") > n
+        or 10 * sum(c.isupper() for c in ascii_letters) > 7 * max(len(ascii_letters), 1)
+        or (n >= 20 and max(Counter(w).values()) > 0.4 * n)
+    )
+
+
+def test_kept_against_brute_force(spark):
+    rng = random.Random(9)
+    words = ["alpha", "be", "gamma", "DELTA", "é", "x!", "#", "supercalifragilistic", "I", "a"]
+    docs = [" ".join(f"{w}{rng.randint(0, 9 ** rng.randint(0, 3))}" if rng.random() < 0.8 else w for w in rng.choices(words[: rng.randint(1, 10)], k=rng.randint(5, 80))) for _ in range(600)]
+    docs += [d.replace(" ", "\n", 6) for d in docs[:200]] + [d.upper() for d in docs[:100]] + [None, "", "long " * 100_000, "w " + "y" * 2_000_000]
+    rows = list(enumerate(docs))
+    got = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: not brute(t)[5] and not rejected(t or "") for i, t in rows}
+    assert 100 < sum(got.values()) < 800
