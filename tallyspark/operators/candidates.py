@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,23 +37,28 @@ def _sides(receipts: DataFrame, transactions: DataFrame) -> tuple[DataFrame, Dat
 def candidate_pairs(receipts: DataFrame, transactions: DataFrame, config: MatchingConfig = MatchingConfig()) -> DataFrame:
     """Pairs worth scoring, before the cap, with r_ and t_ columns.
 
-    Receipts with a date probe the days of their window, so the join hashes on (org, day); those with a total
-    only probe amount bands on a logarithmic scale; those with neither meet the first transactions of their
-    org, as many as the cap lets through. Null dates of transactions pass the window.
+    Receipts with a date probe the days of their window, so the join hashes on (org, day). Where a date is missing
+    on either side the amount is the key, in bands on a logarithmic scale: receipts without date against all
+    transactions, dated ones against transactions without date only, so that no pair is made to be dropped.
+    Receipts without total meet, where they have no date, the first transactions of their org, and otherwise the
+    first without date, as many as the cap lets through. Null dates of transactions pass the window.
     """
     left, right = _sides(receipts, transactions)
     dated = left.where("r_date is not null").withColumn("day", F.explode(F.sequence(F.date_sub("r_date", config.date.max_before), F.date_add("r_date", config.date.max_after))))
     ok = F.col("r_total").isNull() | F.col("t_amount").isNull() | (amount_plausible(F.col("r_total"), F.col("t_amount"), config) & in_bucket_band(F.col("r_total"), F.col("t_amount"), config))
     by_day = dated.join(right.where("t_date is not null").withColumn("day", F.col("t_date")), ["org", "day"]).where(ok).drop("day")
-    # without a date on either side the amount is the key: bands of 6 %, wide enough for the bound of 5 %
+    # bands of 6 %, wide enough for the bound of 5 %
     band = lambda c: F.floor(F.log(F.greatest(F.abs(c), F.lit(1.0))) / F.log(F.lit(1.06)))
     probes = left.where("r_total is not null").withColumn("band", F.explode(F.sequence(band(F.col("r_total")) - 1, band(F.col("r_total")) + 1)))
-    by_amount = probes.join(right.withColumn("band", band(F.col("t_amount"))), ["org", "band"]).where("r_date is null or t_date is null").where(ok).drop("band")
-    first = Window.partitionBy("org").orderBy("t_id")
-    few = right.withColumn("n", F.row_number().over(first)).where(F.col("n") <= config.max_candidates).drop("n")
-    neither = left.where("r_total is null").where("r_date is null").join(few, "org")
-    undated = left.where("r_total is null and r_date is not null").join(few.where("t_date is null"), "org")
-    return by_day.unionByName(by_amount).unionByName(neither).unionByName(undated)
+    banded = right.withColumn("band", band(F.col("t_amount")))
+    by_amount = [probes.where(r).join(banded.where(t), ["org", "band"]).where(ok).drop("band") for r, t in (("r_date is null", "true"), ("r_date is not null", "t_date is null"))]
+
+    def few(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy("org").orderBy("t_id"))).where(F.col("n") <= config.max_candidates).drop("n")
+
+    neither = left.where("r_total is null and r_date is null").join(few(right), "org")
+    undated = left.where("r_total is null and r_date is not null").join(few(right.where("t_date is null")), "org")
+    return reduce(DataFrame.unionByName, [by_day, *by_amount, neither, undated])
 
 
 def cap_candidates(pairs: DataFrame, config: MatchingConfig = MatchingConfig()) -> DataFrame:
