@@ -6,6 +6,13 @@ import json
 from dataclasses import asdict, dataclass, field, fields, replace
 
 
+#: The names that stored configurations use, where they differ from the fields below. Fixed values.
+STORED_NAMES = {
+    "paymentMethod": "payment_method", "exactToleranceAbs": "exact_tolerance", "maxRelativeDelta": "max_relative", "exactToleranceDays": "exact_days", "maxDaysAfter": "max_after", "maxDaysBefore": "max_before",
+    "semanticLowerBound": "semantic_low", "semanticUpperBound": "semantic_high", "dateWindowDays": "window_days", "merchantSimilarity": "similarity", "maxCandidatesPerReceipt": "max_candidates",
+}
+
+
 @dataclass(frozen=True)
 class Weights:
     amount: float = 0.4
@@ -60,7 +67,8 @@ class MatchingConfig:
 
     @classmethod
     def from_json(cls, text: str | None) -> MatchingConfig:
-        """Partial overrides on the defaults; malformed text or null gives the defaults, unknown keys are dropped."""
+        """Partial overrides on the defaults, under the names of this class or of stored configurations; malformed text
+        or null gives the defaults, unknown keys are dropped."""
         base = cls()
         try:
             given = json.loads(text) if text else None
@@ -68,6 +76,7 @@ class MatchingConfig:
             return base
         if not isinstance(given, dict):
             return base
+        given = {STORED_NAMES.get(k, k): {STORED_NAMES.get(x, x): y for x, y in v.items()} if isinstance(v, dict) else v for k, v in given.items()}
         parts = {}
         for part in fields(base):
             value, old = given.get(part.name), getattr(base, part.name)
@@ -83,3 +92,18 @@ class MatchingConfig:
         t = self.thresholds
         found = [] if t.auto >= t.review >= t.possible else ["thresholds must not rise from auto to possible"]
         return found if sum(asdict(self.weights).values()) > 0 else [*found, "weights must not sum to zero"]
+
+    def merged(self, given: dict) -> MatchingConfig:
+        """The configuration with the given partial sections; raises where the result is invalid."""
+        stored = {STORED_NAMES.get(k, k): v for k, v in given.items()}
+        both = {k: {**(asdict(getattr(self, k)) if isinstance(v, dict) else {}), **{STORED_NAMES.get(x, x): y for x, y in v.items()}} if isinstance(v, dict) else v for k, v in stored.items()}
+        sections = {f.name: asdict(getattr(self, f.name)) for f in fields(self) if f.name != "max_candidates"} | {"max_candidates": self.max_candidates}
+        out = MatchingConfig.from_json(json.dumps(sections | both))
+        if found := out.problems():
+            raise ValueError("; ".join(found))
+        return out
+
+
+def configurations(settings) -> dict[int, MatchingConfig]:
+    """Each organization's configuration, from settings (org, matching_config); one row an organization, on the driver."""
+    return {r["org"]: MatchingConfig.from_json(r["matching_config"]) for r in settings.select("org", "matching_config").toLocalIterator()}

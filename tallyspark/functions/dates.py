@@ -15,7 +15,7 @@ def _int(text: Column) -> Column:
 
 def month_number(name: Column) -> Column:
     """1 to 12 for a month's name or short form in six languages, else null."""
-    number = F.create_map(*(F.lit(x) for m, words in MONTHS.items() for word in words.split() for x in (word, m)))
+    number = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
     return F.try_element_at(number, F.lower(strip_marks(name)))
 
 
@@ -69,3 +69,14 @@ def days_left(end: Column, now: Column) -> Column:
 def backoff_seconds(attempt: Column) -> Column:
     """10 seconds doubled with each attempt, 600 at most."""
     return F.least(F.lit(10.0) * F.pow(F.lit(2.0), attempt - 1), F.lit(600.0))
+
+
+def backup_name(at: Column, prefix: str = "", suffix: str = ".rcbk") -> Column:
+    """A snapshot's name, which sorts by time: backup-20240116T120000Z."""
+    return F.concat(F.lit(prefix + "backup-"), F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"), F.lit(suffix))
+
+
+def backup_time(name: Column) -> Column:
+    """When a snapshot was made, by its name; null for other names."""
+    stamp = F.regexp_extract(name, r"backup-([0-9]{8}T[0-9]{6})Z", 1)
+    return F.try_to_timestamp(stamp, F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz")

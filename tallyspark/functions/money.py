@@ -20,15 +20,25 @@ def round_up(value: Column, places: int) -> Column:
 
 
 def fixed2(amount: Column) -> Column:
-    """Two decimals as text, exact for amounts that are whole cents."""
-    cents = minor_units(F.abs(amount))
-    sign = F.when((amount < 0) & (cents > 0), "-").otherwise("")
-    return F.concat(sign, (cents / 100).cast("long").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    """Two decimals as text, of the exact binary value, a tie away from zero: 1.005 is a little less and gives 1.00."""
+
+    def text(x: Column) -> Column:
+        # the product and its rounding error (Dekker), so that the half is met exactly
+        product = x * F.lit(100.0)
+        wide = x * F.lit(134217729.0)
+        high = wide - (wide - x)
+        error = (high * F.lit(100.0) - product) + (x - high) * F.lit(100.0)
+        whole = F.floor(product)
+        over = product - whole - F.lit(0.5)
+        cents = whole + F.when((over > 0) | ((over == 0) & (error >= 0)), 1).otherwise(0)
+        return let(cents.cast("long"), lambda n: F.concat((n / 100).cast("long").cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0")))
+
+    return let(F.abs(amount), lambda x: F.concat(F.when(amount < 0, "-").otherwise(""), text(x)))
 
 
 def number_text(amount: Column) -> Column:
     """Shortest plain text of a number: no trailing .0, no exponent."""
-    text = F.format_string("%.6f", amount)
+    text = F.format_string("%.6f", amount.cast("double"))
     return F.when(amount.isNotNull(), F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ""))
 
 

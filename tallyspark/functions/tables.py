@@ -57,12 +57,20 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYaaaccccdeeeeeggggh
 CURRENCY_CODES = ("EUR", "USD", "GBP", "CHF", "SEK", "NOK", "DKK", "PLN", "TND", "MAD", "CAD", "AUD", "JPY", "INR", "TRY", "NGN", "ZAR")
 CAPITALS_ONLY_CODES = ("AED", "SAR", "QAR", "KWD", "BHD", "OMR", "JOD", "LYD", "EGP", "DZD", "KES", "GHS")
 CURRENCY_SYMBOLS = (("€", "EUR"), ("$", "USD"), ("£", "GBP"), ("¥", "JPY"), ("₺", "TRY"), ("₹", "INR"), ("د.ت", "TND"))
-#: Month names by number.
+#: Months by name or short form, accents removed.
 MONTHS = {
-    1: "jan january janvier januar enero gennaio", 2: "feb february fevrier februar febrero febbraio", 3: "mar march mars marz marzo",
-    4: "apr april avril abril aprile", 5: "may mai mayo maggio maj", 6: "jun june juin juni junio giugno", 7: "jul july juillet juli julio luglio",
-    8: "aug august aout agosto", 9: "sep sept september septembre septiembre settembre", 10: "oct october octobre oktober octubre ottobre",
-    11: "nov november novembre noviembre", 12: "dec december decembre dezember diciembre dicembre",
+    "jan": 1, "january": 1, "janvier": 1, "januar": 1, "enero": 1, "gennaio": 1,
+    "feb": 2, "february": 2, "fevrier": 2, "februar": 2, "febrero": 2, "febbraio": 2,
+    "mar": 3, "march": 3, "mars": 3, "marz": 3, "marzo": 3,
+    "apr": 4, "april": 4, "avril": 4, "abril": 4, "aprile": 4,
+    "may": 5, "mai": 5, "mayo": 5, "maggio": 5, "maj": 5,
+    "jun": 6, "june": 6, "juin": 6, "juni": 6, "junio": 6, "giugno": 6,
+    "jul": 7, "july": 7, "juillet": 7, "juli": 7, "julio": 7, "luglio": 7,
+    "aug": 8, "august": 8, "aout": 8, "agosto": 8,
+    "sep": 9, "sept": 9, "september": 9, "septembre": 9, "septiembre": 9, "settembre": 9,
+    "oct": 10, "october": 10, "octobre": 10, "oktober": 10, "octubre": 10, "ottobre": 10,
+    "nov": 11, "november": 11, "novembre": 11, "noviembre": 11,
+    "dec": 12, "december": 12, "decembre": 12, "dezember": 12, "diciembre": 12, "dicembre": 12,
 }
 TOTAL_LABELS = (
     "total ttc", "grand total", "total amount", "amount due", "amount paid", "balance due", "total due", "montant total", "montant ttc", "net a payer",
@@ -85,3 +93,22 @@ EXPORT_COLUMNS = (
     "Receipt ID", "Receipt file", "Merchant", "Receipt date", "Amount", "Currency", "VAT", "Invoice number", "Category", "Transaction ID", "Bank description",
     "Transaction date", "Transaction amount", "Match confidence", "Match method", "Status",
 )
+#: Words that head a receipt, words of addresses and contacts, and words before an invoice number.
+HEADING_WORDS = ("receipt", "invoice", "facture", "rechnung", "ticket", "bill", "tax invoice", "vat invoice", "customer copy", "merchant copy")
+ADDRESS_WORDS = ("street", r"str\.", "road", "rue", "avenue", "ave", "blvd", "zone", "tel", "phone", "fax", r"www\.", "@", "http")
+INVOICE_WORDS = ("invoice", "inv", "facture", "rechnung", "receipt", "ticket", "bill", "order", "ref")
+#: Payment method of a receipt, the words that tell it, and how sure they are; first hit wins.
+RECEIPT_PAYMENT_WORDS = (
+    ("card", "visa|mastercard|maestro|amex|american express|credit card|debit card|carte bancaire|cb|card", 0.9),
+    ("cash", "cash|especes|espece|bar|contanti|efectivo", 0.88),
+    ("transfer", "bank transfer|virement|uberweisung|transfer|sepa", 0.85),
+    ("card", "paypal|apple pay|google pay", 0.8),
+)
+#: The categories of a new organization.
+SYSTEM_CATEGORIES = (
+    ("Food", "#F59E0B"), ("Transport", "#3B82F6"), ("Software", "#8B5CF6"), ("Office", "#64748B"), ("Travel", "#06B6D4"),
+    ("Equipment", "#EC4899"), ("Marketing", "#F97316"), ("Utilities", "#14B8A6"), ("Other", "#94A3B8"),
+)
+NO_CATEGORY, NO_COLOR = "Uncategorised", "#94A3B8"
+#: Plans and their monthly receipts.
+PLAN_QUOTAS = {"free": 50, "pro": 500, "business": 2500}

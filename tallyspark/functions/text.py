@@ -105,5 +105,5 @@ def like_term(column: Column, term: str) -> Column:
 
 def safe_filename(name: Column) -> Column:
     """The last path part with odd characters replaced, at most 120 characters; `receipt` if nothing is left."""
-    base = F.regexp_extract(name, r"([^/\\]*)\z", 1)
+    base = F.regexp_extract(F.regexp_replace(name, r"/+\z", ""), r"([^/]*)\z", 1)
     return F.coalesce(F.nullif(F.substring(F.regexp_replace(base, r"[^A-Za-z0-9_.\- ]+", "_"), 1, 120), F.lit("")), F.lit("receipt"))

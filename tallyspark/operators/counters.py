@@ -42,3 +42,29 @@ def failure_runs(events: DataFrame, key: str, order: list[str], failed: Column)
     marked = events.withColumn("_f", failed.cast("int")).withColumn("_g", F.sum(1 - F.col("_f")).over(by))
     inside = Window.partitionBy(key, "_g").orderBy(*order)
     return marked.withColumn("streak", F.sum("_f").over(inside)).drop("_f", "_g")
+
+
+def lockouts(attempts: DataFrame, most: int = 8, lock_seconds: int = 900) -> DataFrame:
+    """(key, locked_at): the failures that lock their key. `attempts`: key, at bigint (microseconds), seq, failed.
+
+    The count rises with each failure and falls to 0 with a success or a lock; attempts while locked are refused and
+    count nothing. Keys arrive sorted and only the counter is held, so a frequent key needs no memory.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, count, until = None, 0, 0
+        for batch in batches:
+            out = []
+            for k, at, failed in zip(batch["key"], batch["at"], batch["failed"], strict=True):
+                if k != key:
+                    key, count, until = k, 0, 0
+                if at < until:
+                    continue
+                count = count + 1 if failed else 0
+                if count >= most:
+                    out.append((k, at))
+                    count, until = 0, at + lock_seconds * 1_000_000
+            yield pd.DataFrame(out, columns=["key", "locked_at"])
+
+    rows = attempts.where("key is not null and at is not null").select("key", "at", "seq", "failed")
+    return rows.repartition("key").sortWithinPartitions("key", "at", "seq").mapInPandas(fold, "key string, locked_at bigint")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.money import csv_cell, fixed2, number_text
+from tallyspark.functions.money import csv_cell, number_text
 from tallyspark.functions.tables import EXPORT_COLUMNS
 from tallyspark.functions.text import like_term
 
@@ -109,19 +109,39 @@ def receipt_label() -> Column:
 
 
 def export_rows(receipts: DataFrame, matches: DataFrame, transactions: DataFrame, scope: str = "all") -> DataFrame:
-    """(org, part, id, line): CSV lines of receipts with their live match, then, for scope `unmatched`, of transactions without receipt."""
-    live = matches.where(F.col("status").isin(*LIVE)).select("org", F.col("r_id").alias("id"), "t_id", F.col("status").alias("match_status"), "score")
-    t = transactions.select("org", F.col("id").alias("t_id"), "amount", F.col("date").alias("t_date"))
+    """(org, part, id, at, line): CSV lines, 16 cells each, of receipts with their live match, then, for scope
+    `unmatched`, of transactions without receipt. Written in the order of part, at descending, id.
+
+    `receipts` has file, merchant_raw, tax and created_at, `matches` has method, `transactions` has description.
+    """
+    live = matches.where(F.col("status").isin(*LIVE)).select("org", F.col("r_id").alias("id"), "t_id", F.col("status").alias("match_status"), "score", "method")
+    t = transactions.select("org", F.col("id").alias("t_id"), "amount", F.col("date").alias("t_date"), "description")
     rows = receipts.join(live, ["org", "id"], "left").join(t, ["org", "t_id"], "left").withColumn("label", receipt_label())
-    keep = {"all": F.lit(True), "matched": F.col("label") == "Matched", "review": F.col("label") == "Needs review", "unmatched": F.col("label") == "Unmatched"}[scope]
-    cells = [F.col("id"), F.col("invoice"), F.date_format("date", "yyyy-MM-dd"), fixed2(F.col("total")), F.col("currency"), F.col("category"), F.col("t_id"), F.date_format("t_date", "yyyy-MM-dd"), fixed2(F.col("amount")), F.col("score"), F.col("label")]
-    out = rows.where(keep).select("org", F.lit(0).alias("part"), "id", F.concat_ws(",", *(csv_cell(c) for c in cells)).alias("line"))
+    keep = {"all": F.lit(True), "matched": F.col("match_status").isin(*MATCHED), "review": F.col("match_status") == "suggested", "unmatched": F.col("label") == "Unmatched"}[scope]
+    cells = [
+        F.col("id"), F.col("file"), F.col("merchant_raw"), F.date_format("date", "yyyy-MM-dd"), number_text(F.col("total")), F.col("currency"), number_text(F.col("tax")), F.col("invoice"), F.col("category"), F.col("t_id"), F.col("description"),
+        F.date_format("t_date", "yyyy-MM-dd"), number_text(F.col("amount")), F.concat(number_text(F.col("score")), F.lit("%")), F.col("method"), F.col("label"),
+    ]
+    out = rows.where(keep).select("org", F.lit(0).alias("part"), "id", F.col("created_at").cast("timestamp_ntz").alias("at"), F.concat_ws(",", *(csv_cell(c) for c in cells)).alias("line"))
     if scope != "unmatched":
         return out
     lone = unmatched(transactions, matches, "t_id")
     empty = F.lit("")
-    cells = [empty, empty, empty, empty, F.col("currency"), F.col("category"), F.col("id"), F.date_format("date", "yyyy-MM-dd"), fixed2(F.col("amount")), empty, F.lit("Transaction without receipt")]
-    return out.unionByName(lone.select("org", F.lit(1).alias("part"), "id", F.concat_ws(",", *(csv_cell(c) for c in cells)).alias("line")))
+    cells = [
+        empty, empty, empty, empty, empty, F.col("currency"), empty, empty, F.col("category"), F.col("id"), F.col("description"), F.date_format("date", "yyyy-MM-dd"), number_text(F.col("amount")), empty, empty,
+        F.lit("Transaction without receipt"),
+    ]
+    return out.unionByName(lone.select("org", F.lit(1).alias("part"), "id", F.col("date").cast("timestamp_ntz").alias("at"), F.concat_ws(",", *(csv_cell(c) for c in cells)).alias("line")))
+
+
+def write_export(lines: DataFrame, path: str) -> DataFrame:
+    """Write `export_rows` as text files of CR LF lines under a folder for each organization, in their order; the header
+    with its byte order mark begins the first. Returns the audit rows (org, action, entity_type, entity_id, detail)."""
+    header = lines.select("org").distinct().select("org", F.lit(-1).alias("part"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(export_header()).alias("line"))
+    everything = lines.unionByName(header).withColumn("value", F.concat("line", F.lit("\r")))
+    order = ["org", "part", F.desc_nulls_first("at"), "id"]
+    everything.repartitionByRange(*order).sortWithinPartitions(*order).select("org", "value").write.partitionBy("org").text(path)
+    return lines.groupBy("org").agg(F.count(F.lit(1)).alias("n")).select("org", F.lit("export.generated").alias("action"), F.lit("organization").alias("entity_type"), F.col("org").alias("entity_id"), F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("detail"))
 
 
 def export_header() -> str:

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.config import MatchingConfig
-from tallyspark.functions.dates import backoff_seconds
+from tallyspark.functions.dates import backoff_seconds, backup_time
 from tallyspark.operators.assign import greedy_assignment
 from tallyspark.operators.candidates import candidate_pairs, cap_candidates
-from tallyspark.operators.score import score_pairs
+from tallyspark.operators.score import escalate, score_pairs
+from tallyspark.session import cut
 
 OPEN = ("suggested", "alternate")
 
 
-def propose(receipts: DataFrame, transactions: DataFrame, matches: DataFrame | None = None, config: MatchingConfig = MatchingConfig(), similarity=None) -> DataFrame:
-    """A matching run: (org, r_id, t_id, score, classification, status) of the kept pairs.
+def propose(receipts: DataFrame, transactions: DataFrame, matches: DataFrame | None = None, config: MatchingConfig = MatchingConfig(), similarity=None, provider=None) -> DataFrame:
+    """A matching run: (org, r_id, t_id, score, classification, method, status) of the kept pairs.
 
     Duplicates and what is matched already stay out, as do rejected pairs, before the assignment. `similarity`
-    adds the column of that name to the candidate pairs; without it the merchant signal doesn't apply.
+    adds the column of that name to the candidate pairs; without it the merchant signal doesn't apply. `provider`
+    escalates undecided pairs. Candidates and scores are worked out once.
     """
     r, t = receipts, transactions
     if "is_duplicate" in receipts.columns:
@@ -28,13 +30,18 @@ def propose(receipts: DataFrame, transactions: DataFrame, matches: DataFrame | N
         r = r.join(locked.select("org", F.col("r_id").alias("id")).distinct(), ["org", "id"], "left_anti")
         t = t.join(locked.select("org", F.col("t_id").alias("id")).distinct(), ["org", "id"], "left_anti")
     pairs = cap_candidates(candidate_pairs(r, t, config), config)
-    pairs = similarity(pairs) if similarity else pairs.withColumn("similarity", F.lit(None).cast("double"))
-    scored = score_pairs(pairs, config).where("classification <> 'none'").withColumn("escalated", F.lit(False))
+    pairs = similarity(cut(pairs)) if similarity else pairs.withColumn("similarity", F.lit(None).cast("double"))
+    scored = score_pairs(pairs, config)
+    if provider:
+        scored = escalate(cut(scored), provider, config)
+    else:
+        scored = scored.withColumn("escalated", F.lit(False)).withColumn("method", F.lit("deterministic"))
+    scored = scored.where("classification <> 'none'")
     if matches is not None:
         scored = scored.join(matches.where("status = 'rejected'").select("org", "r_id", "t_id"), ["org", "r_id", "t_id"], "left_anti")
-    best = greedy_assignment(scored)
+    best = greedy_assignment(scored.select("org", "r_id", "t_id", "score", "escalated", "position", "classification", "method"))
     status = F.when(F.col("best") & (F.col("classification") == "auto"), "auto").when(F.col("best"), "suggested").otherwise("alternate")
-    return best.withColumn("status", status).select("org", "r_id", "t_id", "score", "classification", "status")
+    return best.withColumn("status", status).select("org", "r_id", "t_id", "score", "classification", "method", "status")
 
 
 def write_back(matches: DataFrame, proposals: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -112,6 +119,53 @@ def finish(jobs: DataFrame, now: str, failed: DataFrame | None = None) -> DataFr
     return mark.withColumn("run_at", F.when(running & again, at + wait).otherwise(F.col("run_at"))).withColumn("status", status).drop("_f")
 
 
+def enqueue(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """`jobs` and the new ones (its columns) whose id is not queued already; of several of one id the first by run_at."""
+    first = Window.partitionBy("id").orderBy("run_at")
+    once = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(jobs.columns)
+    return jobs.unionByName(once.join(jobs.select("id"), "id", "left_anti").select(jobs.columns))
+
+
+def daily_job(jobs: DataFrame, now: str, type_: str = "backup", hour: int = 2) -> DataFrame:
+    """`jobs` with the day's job of a type, named by the UTC day, once a day and not before the hour."""
+    at = F.lit(now).cast("timestamp_ntz")
+    row = jobs.sparkSession.range(1).select(F.concat_ws("_", F.lit(type_), F.date_format(at, "yyyy-MM-dd")).alias("id"), F.lit(type_).alias("type"), F.lit("queued").alias("status"), F.lit(0).alias("attempts"), F.lit(3).alias("max_attempts"), at.alias("run_at"), F.lit(None).cast("timestamp_ntz").alias("locked_until"))
+    return enqueue(jobs, row.where(F.hour(at) >= hour))
+
+
+def give_up(jobs: DataFrame, now: str) -> DataFrame:
+    """Running jobs whose lease expired with no attempt left have failed: they keep stopping their worker."""
+    at = F.lit(now).cast("timestamp_ntz")
+    lost = (F.col("status") == "running") & (F.col("locked_until") < at) & (F.col("attempts") >= F.col("max_attempts"))
+    return jobs.withColumn("status", F.when(lost, "failed").otherwise(F.col("status")))
+
+
+def health(jobs: DataFrame, now: str, backups: DataFrame | None = None, stuck_seconds: int = 300, max_age_hours: float = 36) -> DataFrame:
+    """(queue, backup, healthy): false for the queue if a job waits too long and none runs; for the newest of the
+    `backups` (name) if it is too old; null where there is none."""
+    stats = queue_stats(jobs, now).select((~((F.coalesce("oldest_seconds", F.lit(0)) > stuck_seconds) & (F.col("running") == 0))).alias("queue"))
+    if backups is None:
+        age = stats.sparkSession.range(1).select(F.lit(None).cast("boolean").alias("backup"))
+    else:
+        age = backups.agg(F.max(backup_time(F.col("name"))).alias("at")).select((F.timestamp_diff("SECOND", "at", F.lit(now).cast("timestamp_ntz")) <= max_age_hours * 3600).alias("backup"))
+    return stats.crossJoin(F.broadcast(age)).select("queue", "backup", (F.col("queue") & F.coalesce("backup", F.lit(True))).alias("healthy"))  # one row each
+
+
+def work_off(jobs: DataFrame, handlers: dict, now: str, slots: int = 2) -> DataFrame:
+    """One round of a worker: due jobs are claimed and each type's run by its handler, a function of those jobs that
+    returns the ids of the failed ones (id); jobs of a type without handler fail for good. Returns all jobs after it."""
+    jobs = cut(give_up(jobs, now))
+    taken = cut(claim(jobs, now, slots))
+    failed = None
+    for type_, handler in handlers.items():
+        bad = handler(taken.where(F.col("type") == type_)).select("id")
+        failed = bad if failed is None else failed.unionByName(bad)
+    unknown = taken.where(~F.col("type").isin(*handlers))
+    after = finish(taken.join(unknown.select("id"), "id", "left_anti"), now, failed)
+    rest = jobs.join(taken.select("id"), "id", "left_anti")
+    return rest.unionByName(after.select(jobs.columns)).unionByName(unknown.withColumn("status", F.lit("failed")).select(jobs.columns))
+
+
 def queue_stats(jobs: DataFrame, now: str) -> DataFrame:
     """Counts by state and the age in seconds of the oldest job that waits."""
     at = F.lit(now).cast("timestamp_ntz")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.operators import reads
+from tallyspark.plans.adapted import NAMED, SAID
 from tallyspark.plans.registry import query
 from tallyspark.sources.adapters import matches, receipts, sql, table, transactions
 
@@ -99,30 +100,48 @@ def category_spend_top9(spark, sf_dir):
     return reads.category_spend(receipts(spark, sf_dir))
 
 
-def _money(column: str) -> str:
+def _plain(column: str) -> str:
+    """A number of whole cents as the shortest text."""
     cents = f"CAST(floor(abs({column}) * 100 + 0.5) AS BIGINT)"
-    return f"(CASE WHEN {column} < 0 AND {cents} > 0 THEN '-' ELSE '' END || CAST({cents} // 100 AS VARCHAR) || '.' || lpad(CAST({cents} % 100 AS VARCHAR), 2, '0'))"
+    cut = f"regexp_replace(regexp_replace(CAST({cents} // 100 AS VARCHAR) || '.' || lpad(CAST({cents} % 100 AS VARCHAR), 2, '0'), '0+$', ''), '\\.$', '')"
+    return f"(CASE WHEN {column} < 0 AND {cents} > 0 THEN '-' ELSE '' END || {cut})"
 
 
-EXPORT = ALL + f""", joined AS (SELECT r.*, m.t_id, m.status AS match_status, m.score, t.amount, t.date AS t_date,
+def _exported(spark, sf_dir, scope: str):
+    """The export of receipts with file and tax, of pairs with their method, of transactions with their text."""
+    tax = F.floor(F.floor(F.col("total") * 100 + F.lit(0.5)) / 6) / 100
+    r = receipts(spark, sf_dir).withColumns({"file": F.concat(F.lit("scan, "), F.col("id").cast("string"), F.lit(".pdf")), "tax": tax})
+    m = matches(spark, sf_dir).withColumn("method", F.when(F.col("r_id") % 2 == 0, "deterministic").otherwise("semantic"))
+    return reads.export_rows(r, m, transactions(spark, sf_dir), scope).select("org", "part", "id", "line")
+
+
+EXPORT = ALL + SAID + NAMED + f""", joined AS (SELECT r.*, m.t_id, m.status AS match_status, m.score, t.amount, t.date AS t_date, merchant_raw, description, floor(floor(total * 100 + 0.5) / 6) / 100 AS tax,
+      CASE WHEN m.r_id IS NULL THEN '' WHEN r.id % 2 = 0 THEN 'deterministic' ELSE 'semantic' END AS method,
       CASE WHEN is_duplicate THEN 'Duplicate' WHEN m.status IN ('confirmed', 'auto') THEN 'Matched' WHEN m.status = 'suggested' THEN 'Needs review' ELSE 'Unmatched' END AS label
-    FROM receipts r LEFT JOIN (SELECT * FROM matches WHERE status IN {LIVE}) m ON m.org = r.org AND m.r_id = r.id LEFT JOIN transactions t ON t.org = m.org AND t.id = m.t_id),
-  lines AS (SELECT org, CAST(0 AS INTEGER) AS part, id, label, CAST(id AS VARCHAR) || ',' || invoice || ',' || coalesce(strftime(date, '%Y-%m-%d'), '') || ',' || coalesce({_money('total')}, '') || ',' || currency || ',' || category || ','
-    || coalesce(CAST(t_id AS VARCHAR), '') || ',' || coalesce(strftime(t_date, '%Y-%m-%d'), '') || ',' || coalesce({_money('amount')}, '') || ',' || coalesce(CAST(score AS VARCHAR), '') || ',' || label AS line FROM joined)"""
+    FROM receipts r JOIN named ON named.r_id = r.id LEFT JOIN (SELECT * FROM matches WHERE status IN {LIVE}) m ON m.org = r.org AND m.r_id = r.id LEFT JOIN transactions t ON t.org = m.org AND t.id = m.t_id LEFT JOIN said ON said.t_id = t.id),
+  lines AS (SELECT org, CAST(0 AS INTEGER) AS part, id, label, match_status, CAST(id AS VARCHAR) || ',"scan, ' || CAST(id AS VARCHAR) || '.pdf",' || merchant_raw || ',' || coalesce(strftime(date, '%Y-%m-%d'), '') || ',' || coalesce({_plain('total')}, '') || ',' || currency
+    || ',' || coalesce({_plain('tax')}, '') || ',' || invoice || ',' || category || ',' || coalesce(CAST(t_id AS VARCHAR), '') || ',' || coalesce(description, '') || ',' || coalesce(strftime(t_date, '%Y-%m-%d'), '') || ',' || coalesce({_plain('amount')}, '')
+    || ',' || coalesce(CAST(score AS VARCHAR) || '%', '') || ',' || method || ',' || label AS line FROM joined)"""
 
 
 @query(EXPORT + " SELECT org, part, id, line FROM lines")
 def export_all(spark, sf_dir):
-    """A CSV line for each receipt and live match."""
-    return reads.export_rows(receipts(spark, sf_dir), matches(spark, sf_dir), transactions(spark, sf_dir))
+    """A CSV line of 16 cells for each receipt and live match."""
+    return _exported(spark, sf_dir, "all")
+
+
+@query(EXPORT + " SELECT org, part, id, line FROM lines WHERE match_status IN ('confirmed', 'auto')")
+def export_matched(spark, sf_dir):
+    """The export's lines of matched pairs."""
+    return _exported(spark, sf_dir, "matched")
 
 
 @query(EXPORT + f""" SELECT org, part, id, line FROM lines WHERE label = 'Unmatched' UNION ALL
-    SELECT org, CAST(1 AS INTEGER), id, ',,,,' || currency || ',' || category || ',' || CAST(id AS VARCHAR) || ',' || strftime(date, '%Y-%m-%d') || ',' || {_money('amount')} || ',,Transaction without receipt'
-    FROM transactions t WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.org = t.org AND m.t_id = t.id AND m.status IN {LIVE})""")
+    SELECT org, CAST(1 AS INTEGER), id, ',,,,,' || currency || ',,,' || category || ',' || CAST(id AS VARCHAR) || ',' || description || ',' || strftime(date, '%Y-%m-%d') || ',' || {_plain('amount')} || ',,,Transaction without receipt'
+    FROM transactions t JOIN said ON said.t_id = t.id WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.org = t.org AND m.t_id = t.id AND m.status IN {LIVE})""")
 def export_unmatched_union(spark, sf_dir):
     """Unmatched receipts, then transactions without receipt."""
-    return reads.export_rows(receipts(spark, sf_dir), matches(spark, sf_dir), transactions(spark, sf_dir), "unmatched")
+    return _exported(spark, sf_dir, "unmatched")
 
 
 @query(RM + " SELECT org, count(*) AS used FROM receipts WHERE NOT is_duplicate AND created_at >= TIMESTAMP '1998-06-01' AND created_at < TIMESTAMP '1998-06-20 12:00:00' GROUP BY org")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.functions.dates import backoff_seconds, days_left
+from tallyspark.functions.dates import backoff_seconds
 from tallyspark.operators import counters, runs
 from tallyspark.plans.registry import query
-from tallyspark.sources.adapters import NOW, jobs, matches, receipts, sql, table
+from tallyspark.sources.adapters import NOW, jobs, matches, sql, table
 
 M = sql("matches")
 J = sql("jobs")
@@ -75,15 +75,6 @@ def backoff_schedule(spark, sf_dir):
     return spark.range(1, 13).select(F.col("id").alias("attempt"), backoff_seconds(F.col("id")).alias("seconds"))
 
 
-@query(f"""SELECT c_custkey AS org, CAST(ceil((epoch_us(TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 40 AS INTEGER))) - epoch_us(TIMESTAMP '{NOW}'))::DOUBLE / 86400000000) AS BIGINT) AS days_left FROM customer
-    WHERE CAST(ceil((epoch_us(TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 40 AS INTEGER))) - epoch_us(TIMESTAMP '{NOW}'))::DOUBLE / 86400000000) AS BIGINT) <= 7""")
-def expiring_plans(spark, sf_dir):
-    """Plans with a week or less to go, expired ones too."""
-    end = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 40).cast("int")).cast("timestamp")
-    left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("org"), days_left(end, F.lit(NOW).cast("timestamp")).alias("days_left"))
-    return left.where("days_left <= 7").orderBy("days_left", "org")
-
-
 @query("""WITH RECURSIVE hits AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS moment FROM events),
     chain AS (SELECT key, min(moment) AS opened FROM hits GROUP BY key UNION ALL
       SELECT c.key, (SELECT min(h.moment) FROM hits h WHERE h.key = c.key AND h.moment >= c.opened + 21600000000) FROM chain c WHERE EXISTS (SELECT 1 FROM hits h WHERE h.key = c.key AND h.moment >= c.opened + 21600000000))
@@ -100,10 +91,3 @@ def lockout_runs(spark, sf_dir):
     """Events that end three failures in a row or more."""
     runs_ = counters.failure_runs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
     return runs_.where("streak >= 3").select("event_id", "user_id", "streak")
-
-
-@query(sql("receipts", "matches") + """ SELECT org, id FROM receipts WHERE NOT (org = 3 AND id % 10 = 0)""")
-def delete_receipts_cascade(spark, sf_dir):
-    """Receipts after a delete, with what hangs on them."""
-    rows = receipts(spark, sf_dir)
-    return runs.delete_receipts({"receipts": rows, "matches": matches(spark, sf_dir)}, rows.where("org = 3 and id % 10 = 0").select("org", "id"))["receipts"].select("org", "id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import similarity as sim
@@ -14,7 +14,7 @@ from tallyspark.functions.tables import (
     BRAND_ALIASES, CAPITALS_ONLY_CODES, CATEGORY_WORDS, CURRENCY_CODES, CURRENCY_SYMBOLS, KNOWN_BRANDS, NOISE_TOKENS, PAYMENT_WORDS, PROCESSOR_PREFIXES, STAR_AGGREGATORS,
 )
 from tallyspark.functions.text import normalize_description, normalize_merchant, payment_method, suggest_category
-from tallyspark.operators.extract import currency_of, extract_receipts
+from tallyspark.operators.extract import currency_of, extract_receipts, line_items
 from tallyspark.plans.registry import query
 from tallyspark.sources.adapters import MERCHANTS, table, transactions
 from tallyspark.sources.statements import fingerprint
@@ -181,43 +181,65 @@ def fingerprint_sha256(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), fingerprint(F.to_date("o_orderdate"), F.col("o_totalprice"), F.col("o_orderpriority")).alias("fingerprint"))
 
 
-@query("""WITH lines AS (SELECT l_suppkey AS file, CAST(l_shipdate AS DATE) AS date, l_returnflag AS said, min(l_orderkey * 10 + l_linenumber) AS first_row, count(*) - 1 AS repeats FROM lineitem GROUP BY ALL)
-    SELECT file, date, said, first_row, repeats FROM lines""")
-def statement_dedupe(spark, sf_dir):
-    """The first row of each (day, text) of a supplier's file, and its repeats."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), F.to_date("l_shipdate").alias("date"), F.col("l_returnflag").alias("said"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_number"))
-    return rows.groupBy("file", "date", "said").agg(F.min("row_number").alias("first_row"), (F.count(F.lit(1)) - 1).alias("repeats"))
+def _receipt_texts(spark, sf_dir) -> DataFrame:
+    """(id, text): a receipt for each order, in one of four layouts by its key."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.format_string("%d x Part %s  %.2f", F.col("l_quantity").cast("int"), F.col("l_returnflag"), F.col("l_extendedprice")).alias("t")))).alias("rows"), F.sum(F.floor(F.col("l_extendedprice") * 100 + F.lit(0.5)).cast("long")).alias("c"))
+    o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    k, day = F.col("o_orderkey").cast("string"), F.col("o_orderdate")
+
+    def money(cents: str, dot: str = ".", tail: str = "") -> Column:
+        whole, rest = F.expr(f"({cents}) div 100").cast("string"), F.lpad(F.expr(f"({cents}) % 100").cast("string"), 2, "0")
+        return F.concat(whole, F.lit(dot), rest, F.lit(tail))
 
+    def text(*parts) -> Column:
+        return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
-@query(FINGER + """ SELECT o_orderpriority AS file, count(*) AS row_count, count(*) FILTER (id % 4 <> 0) AS imported, count(*) FILTER (id % 4 = 0) AS skipped FROM c GROUP BY o_orderpriority""")
-def import_commit_counts(spark, sf_dir):
-    """Rows of each statement that are new against the transactions that exist: every fourth order."""
-    o = table(spark, sf_dir, "orders")
-    rows = o.select(F.col("o_orderpriority").alias("file"), fingerprint(F.to_date("o_orderdate"), F.col("o_totalprice"), F.concat_ws(" ", "o_orderpriority", "o_orderkey")).alias("fingerprint"), "o_orderkey")
-    known = rows.where("o_orderkey % 4 = 0").select("fingerprint", F.lit(True).alias("known")).distinct()
-    return rows.join(known, "fingerprint", "left").groupBy("file").agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("known").isNull()).alias("imported"), F.count_if("known").alias("skipped"))
+    fifth = "c - c div 5"
+    layouts = (
+        text("CARREFOUR MARKET\n12 Avenue Habib\nInvoice No: INV-", k, "\nDate: ", F.date_format(day, "yyyy-MM-dd"), "\n", F.array_join(F.transform("rows", lambda r: r["t"]), "\n"), "\nSubtotal EUR ", money(fifth), "\nVAT EUR ", money("c div 5"), "\nTOTAL EUR ", money("c"), "\nPaid by VISA"),
+        text("Monoprix\nFacture N° 2026-", k, "\nDate : ", F.date_format(day, "dd-MM-yyyy"), "\nSous-total HT  ", money(fifth, ",", "0"), " DT\nTimbre fiscal  1,000 DT\nTotal TTC  ", money("c + 100", ",", "0"), " DT\nPayé en espèces"),
+        text("SHOP A\n", F.date_format(day, "MM/dd/yyyy"), "\nCoffee  12.50\nTea  ", money("c"), "\nThanks USD"),
+        text("Boulangerie du Coin\nle ", F.date_format(day, "d MMM yyyy"), "\nAmount due\n", money("c"), "\nVirement EUR"),
+    )
+    out = layouts[3]
+    for i in (2, 1, 0):
+        out = F.when(F.col("o_orderkey") % 4 == i, layouts[i]).otherwise(out)
+    return o.select(F.col("o_orderkey").alias("id"), out.alias("text"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def breakdown_json(spark, sf_dir):
-    """A field of each JSON document through a schema; malformed documents give null."""
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+#: What was written into each receipt, and how sure its reading is.
+WRITTEN = """WITH sums AS (SELECT l_orderkey, CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS BIGINT) AS c, count(*) AS n FROM lineitem GROUP BY l_orderkey),
+  o AS (SELECT o_orderkey AS id, o_orderkey % 4 AS k, CAST(o_orderdate AS DATE) AS date, c, n FROM orders JOIN sums ON o_orderkey = l_orderkey),
+  written AS (SELECT id, date, CASE k WHEN 0 THEN 'CARREFOUR MARKET' WHEN 1 THEN 'Monoprix' WHEN 2 THEN 'SHOP A' ELSE 'Boulangerie du Coin' END AS merchant,
+    CASE k WHEN 1 THEN c + 100 WHEN 2 THEN greatest(c, 1250, year(date) * 100) ELSE c END AS total, CASE WHEN k < 2 THEN c - c // 5 END AS subtotal, CASE WHEN k < 2 THEN c // 5 END AS tax,
+    CASE k WHEN 0 THEN 'EUR' WHEN 1 THEN 'TND' WHEN 2 THEN 'USD' ELSE 'EUR' END AS currency, CASE k WHEN 0 THEN 'INV-' || id WHEN 1 THEN '2026-' || id END AS invoice_number,
+    CASE k WHEN 0 THEN 'card' WHEN 1 THEN 'cash' WHEN 3 THEN 'transfer' END AS payment_method, CASE k WHEN 0 THEN n WHEN 2 THEN 2 ELSE 0 END AS n_items,
+    CASE k WHEN 0 THEN 99 WHEN 1 THEN 98 WHEN 2 THEN 45 ELSE 86 END AS s_total, CASE WHEN k IN (0, 2) THEN 93 ELSE 82 END AS s_merchant, CASE k WHEN 1 THEN 90 ELSE 96 END AS s_currency,
+    CASE k WHEN 0 THEN 99 WHEN 3 THEN 97 ELSE CASE WHEN day(date) > 12 THEN 96 ELSE 72 END END AS s_date, CASE k WHEN 0 THEN 97 WHEN 1 THEN 60 END AS s_tax FROM o)"""
 
 
-@query()
+@query(WRITTEN + """ SELECT id, merchant, date, total, subtotal, tax, currency, invoice_number, payment_method, CAST(n_items AS BIGINT) AS n_items, CAST(s_total AS BIGINT) AS s_total, CAST(s_date AS BIGINT) AS s_date,
+    CAST(s_merchant AS BIGINT) AS s_merchant, CAST(s_currency AS BIGINT) AS s_currency, CAST(s_tax AS BIGINT) AS s_tax, CAST((s_total * 400 + s_date * 250 + s_merchant * 250 + s_currency * 100 + 50) // 100 AS BIGINT) AS overall FROM written""")
 def extract_receipt_fields(spark, sf_dir):
-    """Fields of receipt texts made of line items."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.format_string("%d x Part %s  %.2f", F.col("l_quantity").cast("int"), F.col("l_returnflag"), F.col("l_extendedprice")).alias("t")))).alias("rows"), F.sum(F.floor(F.col("l_extendedprice") * 100 + F.lit(0.5))).alias("c"))
-    o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    head = F.concat(F.lit("CARREFOUR MARKET\nInvoice INV-"), F.col("o_orderkey"), F.lit("\nDate: "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\n"))
-    text = F.concat(head, F.array_join(F.transform("rows", lambda r: r["t"]), "\n"), F.lit("\nTOTAL EUR "), F.format_string("%.2f", F.col("c") / 100), F.lit("\nVISA"))
-    found = extract_receipts(o.select(F.col("o_orderkey").alias("id"), text.alias("text")))
-    return found.select("id", "merchant", "date", "total", "currency", "invoice_number", "payment_method", F.size("items").alias("n_items"), "overall")
+    """The fields of receipts in four layouts, in cents and hundredths of confidence: what was written is read."""
+    found = extract_receipts(_receipt_texts(spark, sf_dir))
+    sure = [F.floor(F.col(f"confidence.{f}") * 100 + F.lit(0.5)).cast("long").alias(f"s_{f}") for f in ("total", "date", "merchant", "currency", "tax")]
+    cents = [minor_units(F.col(f)).alias(f) for f in ("total", "subtotal", "tax")]
+    return found.select("id", "merchant", "date", *cents, "currency", "invoice_number", "payment_method", F.size("items").cast("long").alias("n_items"), *sure, F.floor(F.col("overall") * 1000 + F.lit(0.5)).cast("long").alias("overall"))
+
+
+@query("""SELECT o_orderkey AS id, 'Part ' || l_returnflag AS description, CAST(l_quantity AS BIGINT) AS quantity,
+    CAST(floor(floor(floor(l_extendedprice * 100 + 0.5) / 100 / CAST(l_quantity AS BIGINT) * 100 + 0.5) / 100 * 100 + 0.5) AS BIGINT) AS unit_cents
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 4 = 0""")
+def receipt_line_items(spark, sf_dir):
+    """The line items of the receipts that list theirs, a row each."""
+    items = line_items(extract_receipts(_receipt_texts(spark, sf_dir).where("id % 4 = 0")))
+    return items.select("id", "description", F.col("quantity").cast("long"), minor_units(F.col("unit_price")).alias("unit_cents"))
 
 
 _CURRENCIES = (
     [(rf"(?i)\b{c}\b", c) for c in CURRENCY_CODES] + [(rf"\b{c}\b", c) for c in CAPITALS_ONLY_CODES] + [(re.escape(s), c) for s, c in CURRENCY_SYMBOLS]
-    + [(r"(?i)[0-9]\s*DTN?([^A-Za-z]|$)|dinars?\s+tunisiens?", "TND")]
+    + [(r"[0-9]\s*DTN?([^A-Za-z0-9_]|$)", "TND"), (r"(?i)\bdinars?\s+tunisiens?\b", "TND")]
 )
 
 

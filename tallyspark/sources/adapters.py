@@ -33,6 +33,16 @@ SQL = {
       CASE l_linenumber % 5 WHEN 0 THEN 'auto' WHEN 1 THEN 'confirmed' WHEN 2 THEN 'suggested' WHEN 3 THEN 'alternate' ELSE 'rejected' END AS status
       FROM (SELECT CAST(o_custkey % 5 AS BIGINT) AS org, l_orderkey AS r_id, l_partkey + 1000000000 AS t_id, min(l_linenumber) AS l_linenumber
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_orderkey, l_partkey))""",
+    "categories": """categories AS (SELECT CAST(org AS BIGINT) AS org, name, color FROM range(5) o(org), (VALUES ('1-URGENT', '#F59E0B'), ('2-HIGH', '#3B82F6'), ('3-MEDIUM', '#8B5CF6'), ('4-NOT SPECIFIED', NULL)) c(name, color))""",
+    "accounts": """accounts AS (SELECT CAST(org AS BIGINT) AS org, CAST(a AS BIGINT) AS account, CASE a WHEN 0 THEN 'Main account' ELSE 'Card' END AS account_name, CASE a WHEN 0 THEN 'EUR' ELSE 'TND' END AS currency FROM range(5) o(org), range(2) k(a))""",
+    "imports": """imports AS (SELECT CAST(s_suppkey % 5 AS BIGINT) AS org, s_suppkey AS id, s_name || '.csv' AS filename, CAST(s_suppkey % 2 AS BIGINT) AS account, sha256(s_name) AS checksum, CAST(s_nationkey * 10 AS BIGINT) AS row_count,
+      TIMESTAMP '1998-01-01' + to_days(CAST((s_suppkey * 7) % 61 AS INTEGER)) AS created_at FROM supplier)""",
+    "audit": """audit AS (SELECT event_id AS id, CAST(user_id % 5 AS BIGINT) AS org, event_type AS action, 'receipt' AS entity_type, CAST(user_id AS BIGINT) AS entity_id, props AS detail, ts AS created_at FROM events)""",
+    "users": """users AS (SELECT c_custkey AS user_id, lower(replace(c_name, '#', '.')) || '@example.com' AS email, c_mktsegment AS persona FROM customer)""",
+    "memberships": """memberships AS (SELECT c_custkey AS user_id, c_custkey % 50 AS org, CASE WHEN c_custkey < 50 THEN 'owner' ELSE 'member' END AS role FROM customer WHERE c_custkey % 3 = 0 OR c_custkey < 50
+      UNION ALL SELECT c_custkey, (c_custkey + 1) % 50, 'member' FROM customer WHERE c_custkey % 7 = 0)""",
+    "subscriptions": """subscriptions AS (SELECT CAST(org AS BIGINT) AS org, CASE org % 3 WHEN 0 THEN 'free' WHEN 1 THEN 'pro' ELSE 'business' END AS plan, CAST(CASE org % 3 WHEN 0 THEN 50 WHEN 1 THEN 500 ELSE 2500 END AS BIGINT) AS quota,
+      CASE WHEN org % 4 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(org AS INTEGER)) END AS period_end FROM range(50) o(org))""",
     "jobs": """jobs AS (SELECT event_id AS id, event_type AS type,
       CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'failed' END AS status,
       CAST(event_id % 6 AS INTEGER) AS attempts, 5 AS max_attempts, ts AS run_at, ts + INTERVAL 5 MINUTE AS locked_until, user_id FROM events)""",
@@ -99,3 +109,53 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.when(n == 0, "queued").when(n == 1, "running").when(n == 2, "done").otherwise("failed").alias("status"),
         (F.col("event_id") % 6).cast("int").alias("attempts"), F.lit(5).alias("max_attempts"), F.col("ts").alias("run_at"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("locked_until"), "user_id",
     )
+
+
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four categories of each organization; one has no colour, and a fifth name of receipts is none of them."""
+    rows = [(org, name, color) for org in range(5) for name, color in (("1-URGENT", "#F59E0B"), ("2-HIGH", "#3B82F6"), ("3-MEDIUM", "#8B5CF6"), ("4-NOT SPECIFIED", None))]
+    return spark.createDataFrame(rows, "org long, name string, color string")
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two bank accounts of each organization."""
+    rows = [(org, a, ("Main account", "Card")[a], ("EUR", "TND")[a]) for org in range(5) for a in range(2)]
+    return spark.createDataFrame(rows, "org long, account long, account_name string, currency string")
+
+
+def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imported statements, from suppliers."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        (k % 5).alias("org"), k.alias("id"), F.concat("s_name", F.lit(".csv")).alias("filename"), (k % 2).alias("account"), F.sha2("s_name", 256).alias("checksum"),
+        (F.col("s_nationkey") * 10).cast("long").alias("row_count"), F.date_add(F.lit("1998-01-01").cast("date"), (k * 7 % 61).cast("int")).cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit trail, from events."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), (F.col("user_id") % 5).cast("long").alias("org"), F.col("event_type").alias("action"), F.lit("receipt").alias("entity_type"), F.col("user_id").cast("long").alias("entity_id"), F.col("props").alias("detail"), F.col("ts").alias("created_at"),
+    )
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users, from customers."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.com")).alias("email"), F.col("c_mktsegment").alias("persona"))
+
+
+def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who belongs to which of fifty organizations; the first fifty users own one each."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    own = c.where("c_custkey % 3 = 0 or c_custkey < 50").select(k.alias("user_id"), (k % 50).alias("org"), F.when(k < 50, "owner").otherwise("member").alias("role"))
+    return own.unionByName(c.where("c_custkey % 7 = 0").select(k.alias("user_id"), ((k + 1) % 50).alias("org"), F.lit("member").alias("role")))
+
+
+def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of each of fifty organizations; some never end."""
+    k = F.col("id")
+    plan = F.when(k % 3 == 0, "free").when(k % 3 == 1, "pro").otherwise("business")
+    quota = F.when(k % 3 == 0, 50).when(k % 3 == 1, 500).otherwise(2500).cast("long")
+    end = F.when(k % 4 != 0, F.date_add(F.lit("2024-01-01").cast("date"), k.cast("int")).cast("timestamp_ntz"))
+    return spark.range(50).select(k.alias("org"), plan.alias("plan"), quota.alias("quota"), end.alias("period_end"))

@@ -1 +1 @@
-"""Streaming of the reconciliation engine."""
+"""Structured Streaming: receipts and statements matched as they arrive."""

@@ -79,10 +79,41 @@ def test_extraction(spark):
     df = spark.createDataFrame([(1, RECEIPT), (2, ""), (3, None), (4, "asdf qwer")], "id int, text string")
     one, empty, none, junk = extract_receipts(df).orderBy("id").collect()
     assert (one.merchant, str(one.date), one.total, one.subtotal, one.tax, one.invoice_number, one.payment_method) == ("CARREFOUR MARKET", "2026-09-28", 47.85, 40.21, 7.64, "INV-48291", "card")
-    assert one.confidence.total >= 0.99 and one["items"][0].description == "Coffee" and one["items"][0].quantity == 2
+    assert one.confidence.total >= 0.99 and one["items"][0].description == "Coffee" and one["items"][0].quantity == 2 and one["items"][0].unit_price == 4.0
     assert empty.total is None and none.total is None and junk.total is None and none.overall == 0
 
 
+SUPERMARKET = """MONOPRIX
+Av. Habib Bourguiba, Tunis
+MF: 1234567/A/M/000
+Date: 12/10/2026
+Ticket N° 4521
+
+Total HT          40,210 DT
+TVA 19%            7,640 DT
+Total TTC         47,850 DT
+
+Payé par carte bancaire"""
+
+
+def test_extraction_of_dinars(spark):
+    stamp = "RESTAURANT DAR EL JELD\nSous-total HT      40,210 DT\n{}Timbre fiscal       1,000 DT\nTotal TTC          48,850 DT"
+    texts = [SUPERMARKET, stamp.format("TVA 19%             7,640 DT\n"), stamp.format(""), "MAGASIN\nTotal TTC 54.600 DT", "MAGASIN\nSous-total 40,210\nTVA 19,00 % 7,640\nTotal TTC 47,850", "SHOP\nItem            12.50\nItem          1.500\nTotal         1.500", "SHOP\nTOTAL OMR 3,250"]
+    a, b, c, d, e, f, g = extract_receipts(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).orderBy("id").collect()
+    assert (a.merchant, str(a.date), a.invoice_number, a.payment_method, a.currency, a.total, a.subtotal, a.tax) == ("MONOPRIX", "2026-10-12", "4521", "card", "TND", 47.85, 40.21, 7.64)
+    assert a.confidence.total >= 0.97 and a.confidence.tax >= 0.9 and a.overall > 0.85
+    assert (b.total, b.tax) == (48.85, 7.64) and b.confidence.tax >= 0.9
+    assert c.tax == 7.64 and c.confidence.tax < 0.7
+    assert (d.total, e.total, e.tax, e.currency, f.total, g.total) == (54.6, 47.85, 7.64, None, 1500, 3.25)
+
+
+def test_extraction_reads_words_not_parts_of_them(spark):
+    texts = ["Shop\nCardigan 5.00\nCASH", "Shop\nMinibar 3.00\npaid in coins", "Shop\nAPPLE PAY", "Shop\nTicket DT-4521\nTotal 12.50", "Shop\nTotal 47,850DT", "Shop\nMontant en Dinars Tunisiens : 47,850", "Shop\nOUTDT 5\nTotal 12.50", "Shop\ntotal 5 dt"]
+    rows = extract_receipts(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).orderBy("id").collect()
+    assert [(r.payment_method, r.confidence.payment_method) for r in rows[:3]] == [("cash", 0.88), (None, None), ("card", 0.8)]
+    assert [r.currency for r in rows[3:]] == [None, "TND", "TND", None, None]
+
+
 def test_assignment_is_sequential_greedy(spark):
     r = random.Random(3)
     pairs = [(g, a, b, float(r.randint(1, 4)), False, r.randint(1, 3)) for g in range(3) for a in range(7) for b in range(7) if r.random() < 0.4]
