@@ -73,7 +73,9 @@ def join_uneven(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: st
     often = F.coalesce(often if may_broadcast is None else often & may_broadcast, F.lit(False))
     packed = per_key.select(*keys, often.alias("_often"), F.struct(*payload).alias("_payload"))
     hot = packed.where("_often").select(*keys, F.col("_payload").alias("_hot"))
-    cold = packed.where("not _often").select(*keys, F.lit(0).alias("_salt"), F.col("_payload").alias("_cold"))
+    # a salt of 0 that the optimizer does not fold: a literal would leave the join's keys
+    zero = F.pmod(F.col("_payload")[weight], F.lit(1)).cast("int")
+    cold = packed.where("not _often").select(*keys, zero.alias("_salt"), F.col("_payload").alias("_cold"))
     marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(997))).cast("int"))
     joined = marked.join(cold, [*keys, "_salt"], "left")
     found = F.coalesce("_hot", "_cold")
