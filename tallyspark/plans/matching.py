@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import normalize_merchant
+from tallyspark.operators.actions import matching_run
 from tallyspark.operators.assign import duplicate_edges, flag_duplicates, greedy_assignment, mutual_best
 from tallyspark.operators.candidates import candidate_pairs, cap_candidates
 from tallyspark.operators.reads import unmatched
@@ -13,7 +14,7 @@ from tallyspark.operators.runs import propose
 from tallyspark.operators.score import escalate, score_pairs, with_similarity
 from tallyspark.functions.similarity import semantic_similarity_column
 from tallyspark.plans.registry import query
-from tallyspark.sources.adapters import receipts, sql, table, transactions
+from tallyspark.sources.adapters import matches, receipts, sql, table, transactions
 
 #: Candidate pairs as a plain range join.
 PAIRS = (
@@ -51,6 +52,13 @@ SCORED = (
 #: Rank of a pair on either side, by the strict order of the assignment.
 RANKED = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY org, r_id ORDER BY tenths DESC, r_id, position, t_id) AS of_r,
     row_number() OVER (PARTITION BY org, t_id ORDER BY tenths DESC, r_id, position, t_id) AS of_t FROM scored WHERE classification <> 'none')"""
+#: The pairs that taking them best first claims, one organization after the other: a fold over the sorted pairs.
+TAKEN = """, sorted AS (SELECT org, list(struct_pack(r := [r_id], t := [t_id]) ORDER BY tenths DESC, r_id, position, t_id) AS l FROM scored WHERE classification <> 'none' GROUP BY org),
+    folded AS (SELECT org, list_reduce(l, lambda s, x: CASE WHEN list_contains(s.r, x.r[1]) OR list_contains(s.t, x.t[1]) THEN s ELSE struct_pack(r := list_append(s.r, x.r[1]), t := list_append(s.t, x.t[1])) END,
+      struct_pack(r := []::BIGINT[], t := []::BIGINT[])) AS s FROM sorted),
+    taken AS (SELECT org, unnest(s.r) AS r_id, unnest(s.t) AS t_id FROM folded)"""
+#: The scores of a run: receipts that are no duplicates.
+RUN = SCORED.replace("FROM money r JOIN paid t ON r.org = t.org", "FROM money r JOIN paid t ON r.org = t.org AND NOT r.is_duplicate")
 
 
 def _pairs(spark, sf_dir):
@@ -116,14 +124,15 @@ def mutual_best_round1(spark, sf_dir):
     return mutual_best(_kept(spark, sf_dir)).select("org", "r_id", "t_id", _tenths())
 
 
-@query()
+@query(SCORED + TAKEN + " SELECT org, r_id, t_id, tenths, classification, t.r_id IS NOT NULL AS best FROM scored LEFT JOIN taken t USING (org, r_id, t_id) WHERE classification <> 'none'")
 def greedy_one_to_one(spark, sf_dir):
     """Every kept pair, and whether the one-to-one assignment takes it."""
     pairs = _kept(spark, sf_dir).select("org", "r_id", "t_id", "score", "classification", "escalated", "position")
     return greedy_assignment(pairs).select("org", "r_id", "t_id", F.floor(F.col("score") * 10 + F.lit(0.5)).cast("long").alias("tenths"), "classification", "best")
 
 
-@query()
+@query(RUN + TAKEN + """ SELECT org, id, 'receipt' AS side FROM receipts r WHERE NOT is_duplicate AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.org = r.org AND t.r_id = r.id)
+    UNION ALL SELECT org, id, 'transaction' FROM transactions x WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.org = x.org AND t.t_id = x.id)""")
 def unmatched_after_run(spark, sf_dir):
     """Receipts and transactions that a run leaves without partner."""
     done = propose(receipts(spark, sf_dir), transactions(spark, sf_dir)).where("status <> 'alternate'")
@@ -132,12 +141,45 @@ def unmatched_after_run(spark, sf_dir):
     return r.unionByName(t)
 
 
-@query()
+@query(RUN + TAKEN + """ SELECT org, CASE WHEN t.r_id IS NULL THEN 'alternate' WHEN classification = 'auto' THEN 'auto' ELSE 'suggested' END AS status, classification, count(*) AS pairs
+    FROM scored LEFT JOIN taken t USING (org, r_id, t_id) WHERE classification <> 'none' GROUP BY ALL""")
 def run_statistics(spark, sf_dir):
     """Kept pairs of a run by status and class."""
     return propose(receipts(spark, sf_dir), transactions(spark, sf_dir)).groupBy("org", "status", "classification").agg(F.count(F.lit(1)).alias("pairs"))
 
 
+def _no_matches(spark):
+    return spark.createDataFrame([], "org long, r_id long, t_id long, score double, status string")
+
+
+ENDED = RUN + TAKEN + """, pairs_kept AS (SELECT s.*, t.r_id IS NOT NULL AS best FROM scored s LEFT JOIN taken t USING (org, r_id, t_id) WHERE classification <> 'none'),
+    best AS (SELECT *, CASE WHEN classification = 'auto' THEN 'auto' ELSE 'suggested' END AS ended FROM pairs_kept WHERE best),
+    states AS (SELECT r.org, r.id, CASE WHEN r.is_duplicate THEN r.status WHEN b.ended = 'auto' THEN 'completed' WHEN b.ended = 'suggested' THEN 'needs_review' ELSE 'unmatched' END AS status, r.is_duplicate FROM receipts r LEFT JOIN best b ON b.org = r.org AND b.r_id = r.id)"""
+
+
+@query(ENDED + """ SELECT org, CAST(id AS VARCHAR) AS entity, status, NULL AS detail FROM states UNION ALL SELECT org, CAST(r_id AS VARCHAR), 'match.' || ended, regexp_replace(CAST(tenths / 10 AS VARCHAR), '\\.0$', '') || '% via deterministic' FROM best""")
+def run_states_and_trail(spark, sf_dir):
+    """Receipts' states after a run, and what the trail says of the best pairs."""
+    out = matching_run(receipts(spark, sf_dir), transactions(spark, sf_dir), _no_matches(spark))
+    r = out["receipts"].select("org", F.col("id").cast("string").alias("entity"), "status", F.lit(None).cast("string").alias("detail"))
+    return r.unionByName(out["audit"].select("org", F.col("entity_id").alias("entity"), F.col("action").alias("status"), "detail"))
+
+
+@query(ENDED + """, kept_pairs AS (SELECT org, count(*) AS pairs FROM pairs_kept GROUP BY org) SELECT org, count(*) AS receipts, count(*) FILTER (status = 'completed') AS auto, count(*) FILTER (status = 'needs_review') AS review,
+    count(*) FILTER (status = 'unmatched') AS unmatched, any_value(pairs) AS pairs FROM states JOIN kept_pairs USING (org) WHERE NOT is_duplicate GROUP BY org""")
+def run_outcome(spark, sf_dir):
+    """What a run did in each organization."""
+    return matching_run(receipts(spark, sf_dir), transactions(spark, sf_dir), _no_matches(spark))["stats"].drop("semantic")
+
+
+@query(sql("receipts", "transactions", "matches") + """ SELECT org, r_id, t_id, status FROM matches WHERE status IN ('confirmed', 'auto') OR status = 'rejected'""")
+def run_keeps_decisions(spark, sf_dir):
+    """What users and earlier runs decided is still there after a run over all unlocked receipts."""
+    out = matching_run(receipts(spark, sf_dir), transactions(spark, sf_dir), matches(spark, sf_dir))
+    decided = matches(spark, sf_dir).where("status in ('confirmed', 'auto', 'rejected')").select("org", "r_id", "t_id")
+    return out["matches"].join(decided, ["org", "r_id", "t_id"], "left_semi").select("org", "r_id", "t_id", "status")
+
+
 @query()
 def score_with_merchants(spark, sf_dir):
     """Scores with all five signals, similarity computed once per distinct pair of names, undecided pairs escalated."""
@@ -179,7 +221,12 @@ def dup_same_amount_date(spark, sf_dir):
     return duplicate_edges(_repeated_receipts(spark, sf_dir)).select("org", "id", "original", F.floor(F.col("confidence") * 100 + F.lit(0.5)).cast("long").alias("confidence"))
 
 
-@query()
+@query(REPEATED + """, edges AS (SELECT a.org, a.id, a.created_at, b.id AS original FROM money a JOIN money b ON a.org = b.org AND a.name = b.name AND abs(a.cents - b.cents) <= 1 AND (b.created_at < a.created_at OR (b.created_at = a.created_at AND b.id < a.id))
+      WHERE a.date IS NULL OR b.date IS NULL OR abs(a.date - b.date) <= 3),
+    sorted AS (SELECT org, list(struct_pack(id := [id], o := originals) ORDER BY created_at, id) AS l FROM (SELECT org, id, created_at, list(original) AS originals FROM edges GROUP BY ALL) GROUP BY org),
+    folded AS (SELECT org, list_reduce(l, lambda s, x: CASE WHEN len(list_intersect(x.o, s.id)) < len(x.o) THEN struct_pack(id := list_append(s.id, x.id[1]), o := s.o) ELSE s END, struct_pack(id := []::BIGINT[], o := []::BIGINT[])) AS s FROM sorted),
+    flagged AS (SELECT org, unnest(s.id) AS id FROM folded)
+    SELECT e.org, e.id, min(e.original) AS original, CAST(3 AS INTEGER) AS rule FROM edges e JOIN flagged f USING (org, id) WHERE NOT EXISTS (SELECT 1 FROM flagged g WHERE g.org = e.org AND g.id = e.original) GROUP BY e.org, e.id""")
 def duplicate_chain_flags(spark, sf_dir):
     """Receipts flagged as repeats of an earlier one that is none itself."""
     return flag_duplicates(_repeated_receipts(spark, sf_dir)).select("org", "id", "original", "rule")
