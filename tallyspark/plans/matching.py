@@ -12,8 +12,9 @@ from tallyspark.operators.candidates import candidate_pairs, cap_candidates
 from tallyspark.operators.reads import unmatched
 from tallyspark.operators.runs import propose
 from tallyspark.operators.score import escalate, score_pairs, with_similarity
-from tallyspark.functions.similarity import semantic_similarity_column
 from tallyspark.plans.registry import query
+from tallyspark.plans.similar import SIMS
+from tallyspark.session import cut
 from tallyspark.sources.adapters import matches, receipts, sql, table, transactions
 
 #: Candidate pairs as a plain range join.
@@ -180,13 +181,53 @@ def run_keeps_decisions(spark, sf_dir):
     return out["matches"].join(decided, ["org", "r_id", "t_id"], "left_semi").select("org", "r_id", "t_id", "status")
 
 
-@query()
+#: The merchants' keys by their number, whole and, as every fourth bank line has them, without the first letter.
+KEYS = (
+    ("carrefour", "arrefour"), ("amazon marketplace", "mazon marketplace"), ("starbucks", "tarbucks"), ("blue bottle coffee", "lue bottle coffee"), ("monoprix", "onoprix"), ("spotify", "potify"), ("uber", "ber trip"),
+    ("cafe flore", "afe flore"), ("air france", "ir france"), ("garden", "he garden"), ("netflix", "etflix"), ("ikea", "kea paris"),
+)
+_BY_NUMBER = ", ".join(f"({n}, '{whole}', '{cut_}')" for n, (whole, cut_) in enumerate(KEYS))
+#: The scores with the merchant signal: its similarity between the key of the receipt and that of the bank line.
+NAMED_SCORES = (
+    CAPPED
+    + f""", keys AS (SELECT * FROM (VALUES {_BY_NUMBER}) k(number, whole, part)),
+    names AS (SELECT o_orderkey AS id, whole, CASE WHEN o_orderkey % 4 = 3 THEN part ELSE whole END AS banked FROM orders JOIN keys ON number = o_custkey % 12),
+    labelled AS (SELECT c.*, r.whole AS a, t.banked AS b FROM capped c JOIN names r ON r.id = c.r_id JOIN names t ON t.id + 1000000000 = c.t_id),
+    np AS (SELECT DISTINCT a, b FROM labelled), {SIMS}, alike AS (SELECT l.*, sim, CASE WHEN sim < 0.35::DOUBLE THEN 0 ELSE (sim - 0.35::DOUBLE) / (1 - 0.35::DOUBLE) END AS s_merchant FROM labelled l JOIN sims USING (a, b))"""
+    + SCORED[len(CAPPED) :]
+    .replace("FROM capped)", "FROM alike)")
+    .replace("coalesce(s_date * 0.2::DOUBLE, 0) + s_currency", "coalesce(s_date * 0.2::DOUBLE, 0) + s_merchant * 0.3::DOUBLE + s_currency")
+    .replace("ELSE 0.2::DOUBLE END) + 0.05::DOUBLE", "ELSE 0.2::DOUBLE END) + 0.3::DOUBLE + 0.05::DOUBLE")
+)
+
+
+@query(NAMED_SCORES + " SELECT org, r_id, t_id, CAST(floor(sim * 1000000 + 0.5) AS BIGINT) AS similarity, tenths, classification, veto FROM scored")
 def score_with_merchants(spark, sf_dir):
-    """Scores with all five signals, similarity computed once per distinct pair of names, undecided pairs escalated."""
+    """Scores with all five signals, similarity computed once per distinct pair of names."""
+    r, t = _named(spark, sf_dir)
+    scored = score_pairs(with_similarity(cut(cap_candidates(candidate_pairs(r, t)))))
+    return scored.select("org", "r_id", "t_id", F.floor(F.col("similarity") * 1000000 + F.lit(0.5)).cast("long").alias("similarity"), _tenths(), "classification", "veto")
+
+
+@query(NAMED_SCORES + """ SELECT org, r_id, t_id, sim >= 0.3::DOUBLE AND sim < 0.8::DOUBLE AND coalesce(s_amount > 0.9::DOUBLE, FALSE) AND veto IS NULL AS asked FROM scored""")
+def escalation_gate(spark, sf_dir):
+    """Which candidate pairs are worth a semantic comparison; a service that knows nothing changes no score."""
+    r, t = _named(spark, sf_dir)
+    scored = cut(score_pairs(with_similarity(cut(cap_candidates(candidate_pairs(r, t))))))
+    silent = lambda names: names.withColumn("semantic", F.lit(None).cast("double"))
+    after = escalate(scored, silent)
+    same = after.join(scored.select("org", "r_id", "t_id", F.col("score").alias("was")), ["org", "r_id", "t_id"])
+    return same.select("org", "r_id", "t_id", (F.col("escalated") & (F.col("score") == F.col("was")) & (F.col("method") == "deterministic")).alias("asked"))
+
+
+@query(NAMED_SCORES + """ SELECT org, r_id, t_id, CAST(floor(greatest(sim, CASE WHEN asked THEN 0.95::DOUBLE ELSE 0 END) * 1000000 + 0.5) AS BIGINT) AS similarity, CASE WHEN asked THEN 'semantic' ELSE 'deterministic' END AS method
+    FROM (SELECT *, sim >= 0.3::DOUBLE AND sim < 0.8::DOUBLE AND coalesce(s_amount > 0.9::DOUBLE, FALSE) AND veto IS NULL AS asked FROM scored)""")
+def escalated_scores(spark, sf_dir):
+    """Candidate pairs after a service that finds all undecided names alike."""
     r, t = _named(spark, sf_dir)
-    scored = score_pairs(with_similarity(cap_candidates(candidate_pairs(r, t))))
-    offline = lambda names: names.withColumn("semantic", semantic_similarity_column("a", "b"))
-    return escalate(scored, offline).select("org", "r_id", "t_id", "score", "classification", "method", "veto")
+    scored = cut(score_pairs(with_similarity(cut(cap_candidates(candidate_pairs(r, t))))))
+    found = escalate(scored, lambda names: names.withColumn("semantic", F.lit(0.95)))
+    return found.select("org", "r_id", "t_id", F.floor(F.col("similarity") * 1000000 + F.lit(0.5)).cast("long").alias("similarity"), "method")
 
 
 @query("""WITH keyed AS (SELECT doc_id, sha256(coalesce(text, '')) AS checksum FROM documents)

@@ -16,6 +16,7 @@ from tallyspark.functions.tables import (
 from tallyspark.functions.text import normalize_description, normalize_merchant, payment_method, suggest_category
 from tallyspark.operators.extract import currency_of, extract_receipts, line_items
 from tallyspark.plans.registry import query
+from tallyspark.plans.similar import SIMS
 from tallyspark.sources.adapters import MERCHANTS, table, transactions
 from tallyspark.sources.statements import fingerprint
 
@@ -120,12 +121,21 @@ def token_dice(spark, sf_dir):
     return _names(spark, sf_dir).select("id", F.floor(sim.token_dice(F.col("a"), F.col("b")) * 10000 + F.lit(0.5)).cast("long").alias("dice"))
 
 
-@query()
+@query(NAMES + f", np AS (SELECT DISTINCT a, b FROM pairs), {SIMS} SELECT id, CAST(floor(jw * 1000000 + 0.5) AS BIGINT) AS jaro_winkler, CAST(floor(sim * 1000000 + 0.5) AS BIGINT) AS merchant FROM pairs JOIN sims USING (a, b)")
 def merchant_similarity(spark, sf_dir):
-    """Jaro-Winkler, merchant and semantic similarity of neighbouring names, once per distinct pair."""
+    """Jaro-Winkler and merchant similarity of neighbouring names in millionths, once per distinct pair."""
     pairs = sim.add_similarity(_names(spark, sf_dir), "a", "b", "jaro_winkler", sim.jaro_winkler_column)
     pairs = sim.add_similarity(pairs, "a", "b", "merchant")
-    return sim.add_similarity(pairs, "a", "b", "semantic", sim.semantic_similarity_column)
+    ppm = lambda c: F.floor(F.col(c) * 1000000 + F.lit(0.5)).cast("long").alias(c)
+    return pairs.select("id", ppm("jaro_winkler"), ppm("merchant"))
+
+
+@query("SELECT * FROM (VALUES ('aws', 90), ('ibm', 90), ('mono mark', 89), ('ntflx', 90)) t(short, likeness)")
+def semantic_similarity(spark, sf_dir):
+    """How alike shop names and short forms of them are, in hundredths."""
+    rows = spark.createDataFrame([("amazon web services", "aws"), ("international business machines", "ibm"), ("monoprix market", "mono mark"), ("netflix", "ntflx")], "a string, b string")
+    found = sim.add_similarity(rows, "a", "b", "likeness", sim.semantic_similarity_column)
+    return found.select(F.col("b").alias("short"), F.floor(F.col("likeness") * 100 + F.lit(0.5)).cast("int").alias("likeness"))
 
 
 AMOUNTS = """WITH cents AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS c FROM orders),
