@@ -1,3 +1,7 @@
+import random
+import re
+from collections import Counter
+
 import pytest
 
 from tallyspark.llm.url_filter import judge_urls, propagate
@@ -27,17 +31,15 @@ def test_rules_and_parts(spark):
     assert rule[11] == ("example.com", "", None, None)
 
 
-def brute(edges, seeds, damping=0.85, rounds=12):
-    out = {}
-    for a, b in edges:
-        out.setdefault(a, []).append(b)
+def brute(edges, seeds, mean=False, damping=0.85, rounds=400):
+    """Ranks along edges (a, b), dealt among the targets of a, or with `mean` the mean over the sources of b."""
+    degree = Counter(b if mean else a for a, b in edges)
     rank = dict(seeds)
     for _ in range(rounds):
         new = dict(seeds)
-        for a, near in out.items():
-            for b in near:
-                if a in rank:
-                    new[b] = new.get(b, 0) + damping * rank[a] / len(near)
+        for a, b in edges:
+            if a in rank:
+                new[b] = new.get(b, 0) + damping * rank[a] / degree[b if mean else a]
         rank = new
     return rank
 
@@ -45,8 +47,44 @@ def brute(edges, seeds, damping=0.85, rounds=12):
 def test_propagation(spark):
     edges = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "f")]
     seeds = [("a", 1.0), ("d", 0.5)]
-    got = propagate(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(seeds, "host string, weight double"))
-    assert {r.host: r.rank for r in got.collect()} == pytest.approx(brute(edges, seeds))
+    frames = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(seeds, "host string, weight double")
+    for share_of in ("src", "dst"):
+        got = propagate(*frames, share_of=share_of, tolerance=1e-4)
+        assert {r.host: r.rank for r in got.collect()} == pytest.approx(brute(edges, seeds, share_of == "dst"), rel=1e-3)
+
+
+def test_verdicts_against_brute_force(spark):
+    """A hub that many hosts link to, hosts that link to it alone, and random links; repeated rows and null ids too."""
+    rng = random.Random(4)
+    hosts = [f"h{i}.{rng.choice(['com', 'net', 'org', 'io'])}" for i in range(40)] + ["hub.com"]
+    rows = []
+    for i in range(400):
+        host = rng.choice(hosts)
+        near = ["hub.com"] if hosts.index(host) % 3 == 0 else rng.sample(hosts, rng.randint(0, 3))
+        html = "".join(f'<a HREF="//{x}/p">x</a>' for x in near)
+        path = rng.choice(["/en/1", "/de/8", "/es/2", "/fr/3", "/en/7"]) if host != "hub.com" else "/en/9"
+        rows.append((rng.choice([i, None, 7]), f"http://{host}{path}", html))
+    rows += [rows[0], (900, "http://hub.com/fr/", ""), (901, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in judge_urls(frame).collect())
+
+    rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+    pages, edges = [], set()
+    for page, url, html in rows:
+        host, path = re.match(r"http://([^/]*)(.*)", url).groups() if url else ("", "")
+        fit = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        pages.append((page, host, path, max(fit, key=lambda r: len(r[1] + r[2]), default=None)))
+        edges |= {(host, x) for x in re.findall(r'HREF="//([^/]*)', html or "") if x != host}
+    share = {v: {h: sum(1 for p in pages if p[1] == h and p[3] and p[3][0] == v) / sum(p[1] == h for p in pages) for h in {p[1] for p in pages}} for v in ("allow", "block")}
+    trust = brute(sorted(edges), [(h, w) for h, w in share["allow"].items() if w])
+    distrust = brute(sorted((b, a) for a, b in edges), [(h, w) for h, w in share["block"].items() if w], mean=True)
+    want = Counter()
+    for page, host, path, rule in pages:
+        bad = distrust.get(host, 0)
+        verdict = rule[0] if rule else "block" if bad > 0.5 and bad > trust.get(host, 0) else "allow"
+        want[(page, host, path, rule and rule[1] + rule[2], verdict)] += 1
+    assert got == want
+    assert {v for *_, r, v in got if r is None} == {"allow", "block"}
 
 
 def test_pages_follow_their_host(spark):
