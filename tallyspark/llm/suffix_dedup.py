@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import partitions
+from tallyspark.llm.common import cut, join_uneven, numbered, partitions, repeated_ids
 from tallyspark.llm.textnp import BYTE_WORDS, mix64, prefix_hash, span_hash, text_chunks
 
 GRAM = 32
@@ -297,7 +297,7 @@ def _sort_bucket(width: int):
 
 #: Documents from which the splitters are drawn: at least so many, and so many a bucket; one in THIN of their
 #: tokens comes to the driver.
-SAMPLE_DOCS, SAMPLE_PER_BUCKET, THIN = 1000, 8, 8
+SAMPLE_DOCS, SAMPLE_PER_BUCKET, THIN = 1000, 8, 32
 
 
 def _splitters(texts: DataFrame, n: int, width: int, gram: int) -> list[int]:
@@ -315,10 +315,12 @@ def _dealt(rows: DataFrame, n: int) -> DataFrame:
 
 
 def later_copies(texts: DataFrame) -> DataFrame:
-    """(doc_id, size in bytes) of every document whose whole text a smaller doc_id has too."""
-    marked = texts.select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size")).where("text is not null")
-    firsts = marked.groupBy("sha", "size").agg(F.min("doc_id").alias("first"))
-    return marked.join(firsts, ["sha", "size"]).where("doc_id > first").select("doc_id", "size")
+    """(doc_id, size in bytes) of every document whose whole text a smaller doc_id has too; a text may have any share of
+    the documents."""
+    marked = texts.select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("size")).where("text is not null")
+    firsts = cut(marked.groupBy("sha", "size").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    found = join_uneven(marked, firsts, ["sha", "size"], "copies", F.col("doc_id"))
+    return found.where("doc_id > first").select("doc_id", "size")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -382,34 +384,55 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _numbered_spans(docs: DataFrame, width: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, text, all columns as struct `whole`) with a row number each that rises with doc_id, and their
+    spans by row number: the documents' ids where these are unique, else numbers that rows of one id and text share."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct("*").alias("whole")).where("doc_id is not null")
+    if not repeated_ids(rows.select("doc_id")):
+        return rows.withColumn("row", F.col("doc_id")), repeated_spans(docs, width, gram)
+    each, _ = numbered(rows.select("doc_id", "text"))
+    named = each.select("row", "doc_id", F.xxhash64("text").alias("_h")).distinct()
+    one = cut(each.dropDuplicates(["row"]).select(F.col("row").alias("doc_id"), "text"))
+    return rows.withColumn("_h", F.xxhash64("text")).join(named, ["doc_id", "_h"]).drop("_h"), repeated_spans(one, width, gram)
+
+
 def suffix_dedup(docs: DataFrame, width: int = 100, gram: int = GRAM) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256 after `repeated_spans` are cut out.
+    """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256 after `repeated_spans` are cut out.
 
     A null text counts as empty, a row with a null doc_id repeats nothing; of an empty table nothing comes
-    back. Other columns are ignored.
+    back. Different texts under one doc_id are documents one after the other, in the order of a hash; rows that
+    repeat doc_id and text are one document, and each gets its result. Other columns are ignored.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    cut = _texts(docs).join(repeated_spans(docs, width, gram), "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(_cut_out, schema)
+    texts = _texts(docs)
+    if repeated_ids(texts):
+        rows, spans = _numbered_spans(docs.select("doc_id", "text"), width, gram)
+        cuts = rows.join(spans.withColumnRenamed("doc_id", "row"), "row", "left")
+    else:
+        cuts = texts.join(repeated_spans(docs, width, gram), "doc_id", "left")
+    done = cuts.select("doc_id", "text", "cuts").mapInArrow(_cut_out, schema)
     unnamed = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("cuts"))
-    return cut.unionByName(unnamed.mapInArrow(_cut_out, schema))
+    return done.unionByName(unnamed.mapInArrow(_cut_out, schema))
 
 
 def remove_repeats(docs: DataFrame, width: int = 100, gram: int = GRAM) -> DataFrame:
-    """`docs` with `text` replaced by its kept bytes; bytes cut inside a character are dropped with it."""
-    cuts = repeated_spans(docs, width, gram)
-    columns = docs.columns
+    """`docs` with `text` replaced by its kept bytes; bytes cut inside a character are dropped with it. Null texts, null
+    and repeated doc_ids as in `suffix_dedup`; other columns, whatever their names, stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where = batch.schema.get_field_index("text")
             texts = []
-            for text, cut in zip(batch.column(where).to_pylist(), batch.column(batch.schema.get_field_index("_cuts")).to_pylist(), strict=True):
-                if text is not None and cut:
+            for text, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if text is not None and cuts:
                     keep = np.ones(len(raw := text.encode()), bool)
-                    for x in cut:
+                    for x in cuts:
                         keep[x["start"] : x["stop"]] = False
                     text = np.frombuffer(raw, np.uint8)[keep].tobytes().decode(errors="ignore")
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in columns], names=columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["whole", "kept"])
 
-    return docs.join(cuts.withColumnRenamed("cuts", "_cuts"), "doc_id", "left").mapInArrow(run, docs.schema)
+    rows, spans = _numbered_spans(docs, width, gram)
+    whole = docs.select(F.struct("*").alias("whole")).schema["whole"].dataType.simpleString()
+    cleaned = rows.join(spans.withColumnRenamed("doc_id", "row"), "row", "left").select("whole", "text", "cuts").mapInArrow(run, f"whole {whole}, kept string")
+    unnamed = docs.where("doc_id is null").select(F.struct("*").alias("whole"), F.col("text").alias("kept"))
+    return cleaned.unionByName(unnamed).select(*(F.col("kept").alias(c) if c == "text" else F.col("whole")[c].alias(c) for c in docs.columns))

@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from tallyspark.llm.suffix_dedup import remove_repeats, suffix_dedup
+from tallyspark.llm.suffix_dedup import SEGMENT, remove_repeats, suffix_dedup
 
 
 def brute(docs, width):
@@ -65,3 +65,23 @@ def test_empty_and_extra_columns(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string, token string")
     # the windows at 1..50 of the run repeat the one at 0, so its bytes 1..149 go
     assert {r.doc_id: (r.text, r.token) for r in remove_repeats(frame).collect()} == {1: ("qtail", "a"), 2: ("", None)}
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    rng = random.Random(3)
+    one, two, three = ("".join(rng.choices("abcdef", k=n)) for n in (250, 120, 180))
+    rows = [(5, one, 1), (5, two, 2), (5, two, 2), (7, three + one[:150], 3), (None, one, 4), (None, None, 5), (8, None, 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, cuts long")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup(frame).collect()), key=repr)
+    assert got == sorted([(5, 250, 0, 0), (5, 120, 0, 0), (5, 120, 0, 0), (7, 330, 150, 1), (None, 250, 0, 0), (None, 0, 0, 0), (8, 0, 0, 0)], key=repr)
+    kept = sorted((tuple(r) for r in remove_repeats(frame).collect()), key=repr)
+    assert kept == sorted([(5, one, 1), (5, two, 2), (5, two, 2), (7, three, 3), (None, one, 4), (None, None, 5), (8, None, 6)], key=repr)
+
+
+def test_a_text_longer_than_a_segment(spark):
+    """Windows at a segment's end are whole, and a passage repeats across segments."""
+    rng = random.Random(8)
+    part = "".join(rng.choices("abcdefgh", k=3000))
+    docs = [(1, part + "".join(rng.choices("abcdefgh", k=SEGMENT - 1500)) + part + "".join(rng.choices("xyz", k=500))), (2, "q" + part[100:260])]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (3000, 1), 2: (160, 1)}
