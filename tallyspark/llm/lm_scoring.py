@@ -34,7 +34,8 @@ from tallyspark.llm.textnp import LOWER_BYTE_WORDS, prefix_hash, span_hash, text
 
 #: Bytes that UTF-8 never uses stand for the places before a text and for its end.
 START, END = 0xFE, 0xFF
-BATCH_DOCS = 4000
+#: Documents and bytes of a batch, as expected of the hash that deals them; a longer text makes its batch longer.
+BATCH_DOCS, BATCH_BYTES = 4000, 8 << 20
 END_TOKEN = np.uint64(0x0E0D_0E0D_0E0D_0E0D)
 
 
@@ -337,7 +338,8 @@ def score_documents(docs: DataFrame, train: str = "crc32(cast(doc_id as string))
     by_code = np.argsort(codes)
     low = spark.sparkContext.broadcast(LowOrders(codes[by_code], counts[by_code]))
 
-    batches = max(1, -(-texts.count() // BATCH_DOCS))
+    size = texts.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    batches = max(1, -(-size.docs // BATCH_DOCS), -(-size.bytes // BATCH_BYTES))
     dealt = texts.withColumn("batch", F.expr(f"cast(pmod(xxhash64(doc_id), {batches}) as int)")).repartition(n, "batch")
     asked = dealt.sortWithinPartitions("batch").mapInArrow(_batch_keys(order), "batch int, word boolean, key long, n long").repartition(n, "word", "key")
     summed = asked.groupBy("word", "key").agg(F.sum("n").alias("n"))
