@@ -36,10 +36,11 @@ def propose(receipts: DataFrame, transactions: DataFrame, matches: DataFrame | N
         scored = escalate(cut(scored), provider, config)
     else:
         scored = scored.withColumn("escalated", F.lit(False)).withColumn("method", F.lit("deterministic"))
-    scored = scored.where("classification <> 'none'")
+    # written before the filter, which Spark would otherwise push under the scores by repeating all of their expressions
+    scored = cut(scored.select("org", "r_id", "t_id", "score", "escalated", "position", "classification", "method")).where("classification <> 'none'")
     if matches is not None:
         scored = scored.join(matches.where("status = 'rejected'").select("org", "r_id", "t_id"), ["org", "r_id", "t_id"], "left_anti")
-    best = greedy_assignment(scored.select("org", "r_id", "t_id", "score", "escalated", "position", "classification", "method"))
+    best = greedy_assignment(scored, ready=True)
     status = F.when(F.col("best") & (F.col("classification") == "auto"), "auto").when(F.col("best"), "suggested").otherwise("alternate")
     return best.withColumn("status", status).select("org", "r_id", "t_id", "score", "classification", "method", "status")
 

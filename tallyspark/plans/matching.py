@@ -128,8 +128,8 @@ def mutual_best_round1(spark, sf_dir):
 @query(SCORED + TAKEN + " SELECT org, r_id, t_id, tenths, classification, t.r_id IS NOT NULL AS best FROM scored LEFT JOIN taken t USING (org, r_id, t_id) WHERE classification <> 'none'")
 def greedy_one_to_one(spark, sf_dir):
     """Every kept pair, and whether the one-to-one assignment takes it."""
-    pairs = _kept(spark, sf_dir).select("org", "r_id", "t_id", "score", "classification", "escalated", "position")
-    return greedy_assignment(pairs).select("org", "r_id", "t_id", F.floor(F.col("score") * 10 + F.lit(0.5)).cast("long").alias("tenths"), "classification", "best")
+    scored = cut(_scored(spark, sf_dir).select("org", "r_id", "t_id", "score", "classification", F.lit(False).alias("escalated"), "position"))
+    return greedy_assignment(scored.where("classification <> 'none'"), ready=True).select("org", "r_id", "t_id", F.floor(F.col("score") * 10 + F.lit(0.5)).cast("long").alias("tenths"), "classification", "best")
 
 
 @query(RUN + TAKEN + """ SELECT org, id, 'receipt' AS side FROM receipts r WHERE NOT is_duplicate AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.org = r.org AND t.r_id = r.id)
