@@ -334,8 +334,9 @@ def _settle(num: int, den: int):
     return run
 
 
-#: Rounds in which long routes are settled, and sets up to this many bytes that are broadcast as a hub's.
-SETTLE_ROUNDS, BROADCAST_SET = 4, 16_384
+#: Blocks from which a route is long: below, its block pairs cost less than the passes that settle it. Rounds in which
+#: long routes are settled, and sets up to this many bytes that are broadcast as a hub's.
+LONG_BLOCKS, SETTLE_ROUNDS, BROADCAST_SET = 16, 4, 16_384
 
 
 def _settled(routes: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -390,10 +391,12 @@ def _components(texts: DataFrame, size: int, num: int, den: int, lower: bool, co
     # only components are wanted: most documents of a long route hang together through one of them
     settled, direct = placed.withColumn("settled", F.lit(False)), None
     if not count_links:
-        long = cut(placed.where(F.col("members") > BLOCK).select("rep", "hub"))
+        is_long = F.col("members") > BLOCK * LONG_BLOCKS
+        long = cut(placed.where(is_long).select("rep", "hub"))
         if not long.isEmpty():
-            state, direct = _settled(long, sets.join(long.select("rep").distinct(), "rep", "left_semi"), num, den)
-            settled = placed.where(F.col("members") <= BLOCK).withColumn("settled", F.lit(False)).unionByName(placed.where(F.col("members") > BLOCK).join(state, ["rep", "hub"]))
+            # their sets are fetched once for all rounds
+            state, direct = _settled(long, cut(sets.join(long.select("rep").distinct(), "rep", "left_semi")), num, den)
+            settled = placed.where(~is_long).withColumn("settled", F.lit(False)).unionByName(placed.where(is_long).join(state, ["rep", "hub"]))
     # documents of a route are numbered by hash into blocks, open ones first, and every two blocks of which one is open meet in one group
     per_hub = cut(settled.groupBy("hub").agg(F.count_if("settled").alias("n_settled"), F.count_if(~F.col("settled")).alias("n_open"), F.count(F.lit(1)).alias("all")))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")

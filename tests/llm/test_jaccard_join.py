@@ -106,7 +106,8 @@ def test_every_link_is_counted_once(spark):
 def test_components_alone_of_long_groups(spark, monkeypatch):
     """Groups longer than a block are settled through few documents; a chain's ends are not linked with each other."""
     rng = random.Random(13)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 40)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 20)
+    monkeypatch.setattr(jaccard_join, "LONG_BLOCKS", 2)
     docs = []
     for g in range(3):
         base = [f"g{g}b{i}" for i in range(130)]
