@@ -9,12 +9,14 @@ from tallyspark.functions import payloads
 from tallyspark.functions.money import minor_units
 from tallyspark.functions.reasons import breakdown_json as stored_breakdown
 from tallyspark.functions.reasons import parse_breakdown, translate_reason
-from tallyspark.functions.text import safe_filename
+from tallyspark.functions.text import extract_reference, safe_filename
 from tallyspark.operators.candidates import candidate_pairs, cap_candidates
-from tallyspark.operators.score import score_pairs
+from tallyspark.operators.ingest import ingest_receipts
+from tallyspark.operators.score import score_pairs, with_similarity
 from tallyspark.plans.matching import SCORED
 from tallyspark.plans.registry import query
-from tallyspark.sources import documents, statements
+from tallyspark.session import cut
+from tallyspark.sources import demo, documents, statements
 from tallyspark.sources.adapters import receipts, table, transactions
 
 #: A statement for each supplier: its lines by order, in the French manner.
@@ -167,6 +169,33 @@ def import_currencies(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k.alias("id"), chosen.alias("currency"), payloads.warns_of_dinars(k % 2 == 0, chosen).alias("warns"))
 
 
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'INV-' || o_orderkey WHEN 1 THEN 'A' || o_orderkey || 'B' WHEN 2 THEN NULL ELSE 'X-9' END AS reference FROM orders""")
+def extracted_references(spark, sf_dir):
+    """References that bank texts carry, in capitals."""
+    k = F.col("o_orderkey")
+    n = k.cast("string")
+    said = F.when(k % 4 == 0, F.concat(F.lit("PAYMENT REF INV-"), n)).when(k % 4 == 1, F.concat(F.lit("transfer order: a"), n, F.lit("b thanks"))).when(k % 4 == 2, F.concat(F.lit("PREFERENCE "), n)).otherwise(F.lit("Ord.#x-9"))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), extract_reference(said).alias("reference"))
+
+
+_KIND = "CASE id % 6 WHEN 0 THEN 'exact' WHEN 1 THEN 'later' WHEN 2 THEN 'more' WHEN 3 THEN 'receipt_only' WHEN 4 THEN 'duplicate' ELSE 'bank_only' END"
+
+
+@query(f"""WITH e AS (SELECT CAST(range AS BIGINT) AS id, {_KIND.replace('id %', 'range %')} AS kind FROM range(60)) SELECT id, kind, CASE kind WHEN 'duplicate' THEN 'needs_review' WHEN 'receipt_only' THEN 'unmatched' ELSE 'completed' END AS status,
+    kind = 'duplicate' AS is_duplicate, CASE kind WHEN 'duplicate' THEN id - 1 END AS duplicate_of, CASE WHEN kind IN ('exact', 'later', 'more') THEN 'auto' END AS matched FROM e WHERE kind <> 'bank_only'""")
+def ingested_documents(spark, sf_dir):
+    """PDF receipts and a statement from file to match: extraction, merchants, repeats, scores, assignment, states."""
+    found = demo.entries(spark, 60)
+    none = lambda schema: spark.createDataFrame([], schema)
+    names = spark.createDataFrame([(1, "Food"), (1, "Software")], "org long, name string")
+    bank = statements.commit_imports(demo.statement(found), none("org long, checksum string"), none("org long, fingerprint string"), none("org long, account_name string"), names)
+    t = bank["transactions"].select("org", F.col("row_number").cast("long").alias("id"), F.col("merchant_norm").alias("merchant"), "date", "amount", "currency", F.col("payment_method").alias("payment"))
+    earlier = none("org long, id long, checksum string, merchant string, date date, total double, currency string, payment string, invoice string, category string, is_duplicate boolean, duplicate_of long, status string, created_at timestamp_ntz, overall double")
+    out = ingest_receipts(demo.receipts(found), earlier, cut(t), none("org long, r_id long, t_id long, score double, status string"), none("org long, merchant_id string, name string, normalized string"), names, similarity=with_similarity)
+    best = out["matches"].where("status in ('auto', 'suggested')").select(F.col("r_id").alias("id"), F.col("status").alias("matched"))
+    return out["receipts"].join(found.select("id", "kind"), "id").join(best, "id", "left").select("id", "kind", "status", "is_duplicate", "duplicate_of", "matched")
+
+
 # reasons
 
 

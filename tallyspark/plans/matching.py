@@ -262,6 +262,26 @@ def dup_same_amount_date(spark, sf_dir):
     return duplicate_edges(_repeated_receipts(spark, sf_dir)).select("org", "id", "original", F.floor(F.col("confidence") * 100 + F.lit(0.5)).cast("long").alias("confidence"))
 
 
+#: Receipts with files and invoice numbers that repeat, of one merchant each or none, and no total.
+FILED = """WITH filed AS (SELECT CAST(o_custkey % 5 AS BIGINT) AS org, o_orderkey AS id, 'f' || (o_orderkey * 7 % 400) AS checksum, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'shop ' || (o_orderkey % 3) END AS merchant,
+    CASE WHEN o_orderkey % 2 = 0 THEN ' inv-' ELSE 'INV-' END || (o_orderkey % 300) AS invoice, o_orderdate AS created_at FROM orders WHERE o_orderkey < 1500),
+  firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY org, checksum, merchant, invoice ORDER BY created_at, id) AS n FROM filed) WHERE n = 1),
+  pairs AS (SELECT a.org, a.id, b.id AS original, CASE WHEN a.checksum = b.checksum THEN 1 ELSE 2 END AS rule FROM filed a JOIN firsts b ON a.org = b.org AND (b.created_at < a.created_at OR (b.created_at = a.created_at AND b.id < a.id))
+    AND (a.checksum = b.checksum OR (upper(trim(a.invoice)) = upper(trim(b.invoice)))))"""
+
+
+@query(FILED + " SELECT org, id, original, CAST(rule AS INTEGER) AS rule, CASE rule WHEN 1 THEN 100 ELSE 97 END AS confidence FROM pairs")
+def dup_file_and_invoice(spark, sf_dir):
+    """Earlier receipts with the same file or invoice number."""
+    k = F.col("o_orderkey")
+    number = F.concat(F.when(k % 2 == 0, " inv-").otherwise("INV-"), (k % 300).cast("string"))
+    rows = table(spark, sf_dir, "orders").where("o_orderkey < 1500").select(
+        (F.col("o_custkey") % 5).alias("org"), k.alias("id"), F.concat(F.lit("f"), (k * 7 % 400).cast("string")).alias("checksum"), F.when(k % 5 != 0, F.concat(F.lit("shop "), (k % 3).cast("string"))).alias("merchant"),
+        F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("total"), number.alias("invoice"), F.col("o_orderdate").alias("created_at"),
+    )
+    return duplicate_edges(rows).select("org", "id", "original", "rule", F.floor(F.col("confidence") * 100 + F.lit(0.5)).cast("int").alias("confidence"))
+
+
 @query(REPEATED + """, edges AS (SELECT a.org, a.id, a.created_at, b.id AS original FROM money a JOIN money b ON a.org = b.org AND a.name = b.name AND abs(a.cents - b.cents) <= 1 AND (b.created_at < a.created_at OR (b.created_at = a.created_at AND b.id < a.id))
       WHERE a.date IS NULL OR b.date IS NULL OR abs(a.date - b.date) <= 3),
     sorted AS (SELECT org, list(struct_pack(id := [id], o := originals) ORDER BY created_at, id) AS l FROM (SELECT org, id, created_at, list(original) AS originals FROM edges GROUP BY ALL) GROUP BY org),
