@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import chat_tree, decontamination, jaccard_join, lm_scoring, packing, quality_rules, secrets, suffix_dedup, toxicity, url_filter
 from tallyspark.llm.common import cut, table
+from tallyspark.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
