@@ -73,9 +73,10 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
 
 
 def _bucket(token: np.ndarray, doc: np.ndarray, splitters: np.ndarray) -> pa.Array:
-    """The range that a leading token falls into; one that several splitters repeat spreads over all between, by document."""
+    """The range that a leading token falls into; one that several splitters repeat spreads over all between, by the
+    document's hash (ids may lie at equal distances)."""
     low, high = np.searchsorted(splitters, token, "left"), np.searchsorted(splitters, token, "right")
-    return pa.array((low + doc % (high - low + 1)).astype(np.int32))
+    return pa.array((low + (mix64(doc) % (high - low + 1).astype(np.uint64)).astype(np.int64)).astype(np.int32))
 
 
 def _emit_anchors(width: int, gram: int, splitters: list[int]):
@@ -297,7 +298,7 @@ def _sort_bucket(width: int):
 
 #: Documents from which the splitters are drawn: at least so many, and so many a bucket; one in THIN of their
 #: tokens comes to the driver.
-SAMPLE_DOCS, SAMPLE_PER_BUCKET, THIN = 1000, 8, 32
+SAMPLE_DOCS, SAMPLE_PER_BUCKET, THIN = 1000, 8, 8
 
 
 def _splitters(texts: DataFrame, n: int, width: int, gram: int) -> list[int]:
