@@ -23,6 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "tallyspark-checkpoints")
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
