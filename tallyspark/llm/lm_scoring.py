@@ -35,7 +35,7 @@ from tallyspark.llm.textnp import LOWER_BYTE_WORDS, prefix_hash, span_hash, text
 #: Bytes that UTF-8 never uses stand for the places before a text and for its end.
 START, END = 0xFE, 0xFF
 #: Documents and bytes of a batch, as expected of the hash that deals them; a longer text makes its batch longer.
-BATCH_DOCS, BATCH_BYTES = 4000, 8 << 20
+BATCH_DOCS, BATCH_BYTES = 4000, 32 << 20
 END_TOKEN = np.uint64(0x0E0D_0E0D_0E0D_0E0D)
 
 
