@@ -5,9 +5,9 @@ ties. Equal windows have equal anchors at equal places, so only the suffixes tha
 anchors seen twice can repeat. The steps:
 
 0. whole copies collapse to their first document, so a large group of copies costs one;
-1. every text yields one row per anchor: the fingerprint of its gram (the suffix's leading token), its
-   document, and the run of windows that it serves;
-2. sampled splitters range-partition the rows by leading token, document and place (so a frequent token is
+1. every text yields one row per anchor: the suffix's leading token (its first three bytes, then 40 bits of a
+   fingerprint of the gram), its document, and the run of windows that it serves;
+2. sampled splitters range-partition the suffixes by leading token, document and place (so a frequent token is
    spread over several buckets); in each sorted bucket anchors whose token differs from both neighbours
    drop out, while the tokens at a bucket's ends stay;
 3. the remaining anchors fetch their bytes, are range-partitioned in the same manner, and each bucket sorts
@@ -40,6 +40,13 @@ _POS_MASK = np.uint64((1 << 24) - 1)
 _RUN = (1 << 16) - 1
 
 
+def _leading(data: np.ndarray, token: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The suffixes' leading tokens in suffix order: three bytes, then 40 bits for the rest of the gram."""
+    head = (data[at].astype(np.uint64) << np.uint64(16)) | (data[at + 1].astype(np.uint64) << np.uint64(8)) | data[at + 2].astype(np.uint64)
+    word = (head << np.uint64(40)) | (token[at] & np.uint64((1 << 40) - 1))
+    return (word ^ np.uint64(1 << 63)).view(np.int64)  # signed numbers in the bytes' order
+
+
 def _anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     """Per anchor: token, row, first window start (in its text), anchor's offset in it, number of further windows."""
     span = width - gram + 1
@@ -69,7 +76,7 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     stop[:-1] &= ~valid[1:] | (place[1:] != place[:-1]) | (row[1:] != row[:-1])
     last = np.flatnonzero(stop)
     anchor = place[first]
-    return token[anchor].view(np.int64), row[first], first - offsets[row[first]], anchor - first, last - first
+    return _leading(data, token, anchor), row[first], first - offsets[row[first]], anchor - first, last - first
 
 
 def _bucket(token: np.ndarray, doc: np.ndarray, splitters: np.ndarray) -> pa.Array:
