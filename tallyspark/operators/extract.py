@@ -222,7 +222,9 @@ def overall_confidence(confidence: Column) -> Column:
 
 def line_items(receipts: DataFrame) -> DataFrame:
     """A row for each line item of extracted receipts (id, items): id, item (from 1), description, quantity, unit_price."""
-    return receipts.select("id", F.posexplode("items").alias("at", "i")).select("id", (F.col("at") + 1).alias("item"), "i.description", "i.quantity", "i.unit_price")
+    # the outer form: for the plain one Spark would push a filter on `items` down by repeating all of its expressions
+    each = receipts.select("id", F.posexplode_outer("items").alias("at", "i")).where("i is not null")
+    return each.select("id", (F.col("at") + 1).alias("item"), "i.description", "i.quantity", "i.unit_price")
 
 
 def recomputed(extraction: DataFrame, edits: DataFrame, fields: tuple[str, ...]) -> DataFrame:
