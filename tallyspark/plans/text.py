@@ -17,7 +17,7 @@ from tallyspark.functions.text import normalize_description, normalize_merchant,
 from tallyspark.operators.extract import currency_of, extract_receipts, line_items
 from tallyspark.plans.registry import query
 from tallyspark.plans.similar import SIMS
-from tallyspark.sources.adapters import MERCHANTS, table, transactions
+from tallyspark.sources.adapters import MERCHANTS, table
 from tallyspark.sources.statements import fingerprint
 
 #: Bank texts: the adapter's descriptions, with the pieces that normalization takes away, in ASCII.
