@@ -13,6 +13,7 @@ from tallyspark.operators.runs import propose
 from tallyspark.operators.score import with_similarity
 from tallyspark.sources import demo
 from tallyspark.sources.documents import own_key, pdf_text, read_blobs
+from tallyspark.sources.lake import read_table, write_tables
 from tallyspark.sources.statements import commit_imports, parse_files
 from tallyspark.streaming.ingest import MATCHES, match_stream
 
@@ -154,3 +155,12 @@ def test_stream_equals_batch(spark, tmp_path):
     last = max((tmp_path / "state" / "matches").iterdir(), key=lambda p: int(p.name[1:]))
     got = {(m.org, m.r_id, m.t_id, m.status) for m in spark.read.schema(MATCHES).parquet(str(last)).collect()}
     assert {g for g in got if g[3] in ("auto", "suggested")} == {(i % 2, i, 100 + i, "auto") for i in range(6)}
+
+
+def test_an_organization_is_a_partition(spark, tmp_path):
+    rows = spark.createDataFrame([(o, i, f"x{i}") for o in range(3) for i in range(20)], "org long, id long, name string")
+    write_tables({"receipts": rows}, str(tmp_path / "lake"))
+    mine = read_table(spark, str(tmp_path / "lake"), "receipts", 1).select("id")
+    assert mine.count() == 20
+    plan = mine._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(org" in plan and "ReadSchema: struct<id:bigint>" in plan
