@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat_tree, decontamination, jaccard_join, lm_scoring, packing, quality_rules, secrets, suffix_dedup, toxicity, url_filter
+from tallyspark.llm import chat_tree, decontamination, jaccard_join, lm_scoring, merkle, packing, quality_rules, secrets, suffix_dedup, toxicity, url_filter
 from tallyspark.llm.common import cut, table
 from tallyspark.llm.oracles import ORACLES
 
@@ -104,3 +104,12 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components, and each document's number of links, of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and what its leaf, tampered or not, folds to along its proof."""
+    proved = merkle.manifest(table(spark, sf_dir, "documents"))
+    siblings = F.array_join(F.transform("path", lambda s: F.substring(s, 2, 64)), "")
+    folded = proved.withColumn("folded_root", merkle.climbed(F.coalesce("tampered", "leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
