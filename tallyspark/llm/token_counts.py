@@ -69,22 +69,22 @@ class Merges:
             a, b, whole = self.ids[left], self.ids[right], self.ids[left + right]
             self.rank[a, b] = rank
             self.made.setdefault(whole, (rank, a, b))
-        self.trie: dict[int, int] = {}  # node * 512 + symbol: node
-        self.token: dict[int, int] = {}  # node: token
-        self.inner: set[int] = set()  # nodes that go on
-        nodes = 1
+        nodes: dict[int, int] = {}  # node << 9 | symbol: node
+        inner, whole_at = set(), {}
         for token, number in self.ids.items():
             node = 0
             for symbol in symbols(token):
-                self.inner.add(node)
-                step = node * 512 + symbol
-                if step not in self.trie:
-                    self.trie[step] = nodes
-                    nodes += 1
-                node = self.trie[step]
-            self.token[node] = number
+                inner.add(node)
+                node = nodes.setdefault(node << 9 | symbol, len(nodes) + 1)
+            whole_at[node] = number
         self.valid: dict[int, bool] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
+        #: node << 9 | symbol: next node << 22 | (token + 1, or 0 if none is valid there) << 1 | whether it goes on.
+        self.trie = {}
+        for step, node in nodes.items():
+            token = whole_at.get(node, -1)
+            ends = token + 1 if token >= 0 and self.is_valid(token) else 0
+            self.trie[step] = node << 22 | ends << 1 | (node in inner)
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens that the left (1) or right (2) edge of a token goes through while it is merged, each with the rank
@@ -120,31 +120,37 @@ class Merges:
             self.valid[token] = parts is None or (self.is_valid(parts[1]) and self.is_valid(parts[2]) and self.untouched(*parts[1:]))
         return self.valid[token]
 
-    def stay_apart(self, left: int, right: int) -> bool:
-        """Whether the encoding of both tokens' bytes is the two tokens."""
-        known = self.apart.get((left, right))
-        if known is None:
-            known = (left, right) not in self.rank and self.untouched(left, right)
-            if len(self.apart) > KEPT:
-                self.apart.clear()
-            self.apart[left, right] = known
+    def stay_apart(self, key: int) -> bool:
+        """Whether the encoding of two tokens' bytes is the two tokens (first + 1 << 20 | second + 1)."""
+        left, right = (key >> 20) - 1, (key & 0xFFFFF) - 1
+        if len(self.apart) > KEPT:
+            self.apart.clear()
+        self.apart[key] = known = (left, right) not in self.rank and self.untouched(left, right)
         return known
 
-    def step(self, places: tuple, symbol: int) -> tuple[tuple, int]:
-        """The open places after one more symbol of a word, longest first, and the tokens it adds."""
-        grown = []
-        for node, last, behind in places:
-            child = self.trie.get(node * 512 + symbol)
-            if child is not None:
-                grown.append((child, last, behind))
-        for child, last, behind in grown:
-            token = self.token.get(child)
-            if token is not None and self.is_valid(token) and (last < 0 or self.stay_apart(last, token)):
-                break
-        else:
+    def step(self, places: tuple[int, ...], symbol: int) -> tuple[tuple[int, ...], int]:
+        """The open places after one more symbol of a word, longest first, and the tokens it adds.
+
+        A place is node << 28 | (last token + 1) << 8 | 128 + its tokens against the present ones.
+        """
+        trie, grown, last = self.trie, [], -1
+        for place in places:
+            found = trie.get(place >> 28 << 9 | symbol)
+            if found is None:
+                continue
+            if last < 0 and (token := found >> 1 & 0x1FFFFF):
+                before = place >> 8 & 0xFFFFF
+                if before:
+                    apart = self.apart.get(before << 20 | token)
+                    if apart is None:
+                        apart = self.stay_apart(before << 20 | token)
+                if not before or apart:
+                    last, added = token, (place & 255) - 127
+            if found & 1:
+                grown.append(found >> 22 << 28 | place & 0xFFFFFFF)
+        if last < 0:
             raise ValueError("a byte without a token")
-        added = behind + 1
-        return (*((n, t, d - added) for n, t, d in grown if n in self.inner), (0, token, 0)), added
+        return (*[g - added for g in grown], last << 8 | 128), added
 
 
 #: These are no white space to the tokenizer, though Python takes them for it.
@@ -170,7 +176,7 @@ class Stretches(dict):
 
 
 #: A word's beginning: one place, at the root, after no token.
-_NEW = ((0, -1, 0),)
+_NEW = (128,)
 
 
 class Machine:
