@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat_tree, decontamination, jaccard_join, lm_scoring, merkle, packing, quality_rules, secrets, suffix_dedup, token_counts, toxicity, url_filter
+from tallyspark.llm import chat_tree, conversation_repair, decontamination, jaccard_join, lm_scoring, merkle, packing, quality_rules, secrets, suffix_dedup, token_counts, toxicity, url_filter
 from tallyspark.llm.common import cut, table
 from tallyspark.llm.oracles import ORACLES
 
@@ -106,6 +106,12 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the public word-level BPE vocabulary."""
