@@ -50,9 +50,6 @@ PAYMENT_WORDS = (
     ("direct_debit", "direct debit|dd|standing order"),
 )
 THREE_DECIMAL_CURRENCIES = ("TND", "KWD", "BHD", "OMR", "JOD", "LYD")
-#: Latin letters with marks, and what they are without.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
 #: Currency codes read in any case, then those in capitals only, then symbols, each in order.
 CURRENCY_CODES = ("EUR", "USD", "GBP", "CHF", "SEK", "NOK", "DKK", "PLN", "TND", "MAD", "CAD", "AUD", "JPY", "INR", "TRY", "NGN", "ZAR")
 CAPITALS_ONLY_CODES = ("AED", "SAR", "QAR", "KWD", "BHD", "OMR", "JOD", "LYD", "EGP", "DZD", "KES", "GHS")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyspark.functions.tables import (
-    ACCENTED, BRAND_ALIASES, CATEGORY_WORDS, KNOWN_BRANDS, NOISE_TOKENS, PAYMENT_WORDS, PLAIN, PROCESSOR_PREFIXES, STAR_AGGREGATORS,
+    BRAND_ALIASES, CATEGORY_WORDS, KNOWN_BRANDS, NOISE_TOKENS, PAYMENT_WORDS, PROCESSOR_PREFIXES, STAR_AGGREGATORS,
 )
 
 #: Word edges and space that treat letters outside ASCII as no word characters.
@@ -17,9 +18,18 @@ EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))
 SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
+def _bare(letter: str) -> str:
+    """A letter decomposed, without the marks from U+0300 to U+036F."""
+    return "".join(c for c in unicodedata.normalize("NFD", letter) if not "\u0300" <= c <= "\u036f")
+
+
+#: Every letter or sign that decomposes into one of ASCII and marks, with what is left of it. None lies beyond U+2300.
+MARKED = {c: _bare(c) for c in map(chr, range(0x80, 0x2300)) if len(_bare(c)) == 1 and _bare(c).isascii()}
+
+
 def strip_marks(text: Column) -> Column:
-    """Latin letters without their marks; combining marks go too."""
-    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"[̀-ͯ]", "")
+    """Letters without their marks; combining marks go too."""
+    return F.regexp_replace(F.translate(text, "".join(MARKED), "".join(MARKED.values())), r"[̀-ͯ]", "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -36,6 +46,7 @@ def normalize_description(raw: Column) -> Column:
     s = F.lower(strip_marks(F.coalesce(raw, F.lit(""))))
     star = rf"^(?:{'|'.join(STAR_AGGREGATORS)}){SPACE}*\*+{SPACE}*([^\n\r  ]+)\z"
     s = let(s, lambda x: F.when(x.rlike(star), F.regexp_extract(x, star, 1)).otherwise(x))
+    # fixed values, in a fixed order
     steps = [
         r"\*+", _word(r"x{2,}[0-9]{2,}"), _word(r"[0-9]{1,2}[/.\-][0-9]{1,2}([/.\-][0-9]{2,4})?"), _word(r"[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?"), rf"#{SPACE}*[0-9]+",
         _word(r"(ref|reference|auth|authcode|trn|trace|id|inv|invoice|order|ord|txn|tx)[:. ]*[a-z0-9\-]{3,}"),

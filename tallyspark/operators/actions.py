@@ -111,7 +111,7 @@ def upsert_merchants(merchants: DataFrame, seen: DataFrame) -> DataFrame:
 def with_category_named(rows: DataFrame, categories: DataFrame, suggested: Column) -> DataFrame:
     """Adds `category` where the organization has one of the suggested name; a small dimension."""
     names = categories.select("org", F.col("name").alias("_suggested"), F.col("name").alias("_known"))
-    found = rows.withColumn("_suggested", suggested).join(F.broadcast(names), ["org", "_suggested"], "left")
+    found = rows.withColumn("_suggested", suggested).join(names, ["org", "_suggested"], "left")
     kept = F.coalesce("_known", "category") if "category" in rows.columns else F.col("_known")
     return found.withColumn("category", kept).drop("_suggested", "_known")
 

@@ -27,7 +27,7 @@ def with_total(rows: DataFrame, found: DataFrame) -> DataFrame:
 def with_category(rows: DataFrame, categories: DataFrame) -> DataFrame:
     """Adds the colour of `category`, null where the organization has none of that name; a small dimension."""
     names = categories.select("org", F.col("name").alias("category"), F.col("color").alias("category_color"))
-    return rows.join(F.broadcast(names), ["org", "category"], "left")
+    return rows.join(names, ["org", "category"], "left")
 
 
 def get_receipt(receipts: DataFrame, categories: DataFrame, org: int, receipt: int) -> DataFrame:
@@ -95,13 +95,13 @@ def list_transactions(transactions: DataFrame, categories: DataFrame, accounts:
     found = where_all(transactions.where(F.col("org") == org), term)
     column, by = TRANSACTION_SORTS.get(sort, TRANSACTION_SORTS["newest"])
     rows = with_total(page(found, [by(column), F.asc("id")], number, size), found)
-    return with_category(rows, categories).join(F.broadcast(accounts.select("org", "account", "account_name")), ["org", "account"], "left")
+    return with_category(rows, categories).join(accounts.select("org", "account", "account_name"), ["org", "account"], "left")
 
 
 def list_imports(imports: DataFrame, accounts: DataFrame, org: int, limit: int = 25) -> DataFrame:
     """The latest imports with their accounts."""
     rows = imports.where(F.col("org") == org).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
-    return rows.join(F.broadcast(accounts.select("org", "account", "account_name")), ["org", "account"], "left")
+    return rows.join(accounts.select("org", "account", "account_name"), ["org", "account"], "left")
 
 
 def progress(receipts: DataFrame, matches: DataFrame, org: int, ids: Sequence[int]) -> DataFrame:
@@ -116,7 +116,7 @@ def progress(receipts: DataFrame, matches: DataFrame, org: int, ids: Sequence[in
 
 def category_breakdown(receipts: DataFrame, categories: DataFrame, org: int, limit: int = 9) -> DataFrame:
     """Spend of the organization by category and colour, largest first; sums of nothing count as the largest."""
-    rows = receipts.where((F.col("org") == org) & ~F.col("is_duplicate")).join(F.broadcast(categories.select("org", F.col("name").alias("category"), "name", "color")), ["org", "category"], "left")
+    rows = receipts.where((F.col("org") == org) & ~F.col("is_duplicate")).join(categories.where(F.col("org") == org).select("org", F.col("name").alias("category"), "name", "color"), ["org", "category"], "left")
     cents = F.floor(F.col("total") * 100 + F.lit(0.5)).cast("long")
     sums = rows.groupBy(F.coalesce("name", F.lit(NO_CATEGORY)).alias("name"), F.coalesce("color", F.lit(NO_COLOR)).alias("color")).agg(F.sum(cents).alias("raw"), F.count(F.lit(1)).alias("receipts"))
     return sums.orderBy(F.desc_nulls_first("raw"), "name").limit(limit).select("name", "color", F.coalesce("raw", F.lit(0)).alias("cents"), "receipts")
@@ -145,7 +145,7 @@ def sole_organizations(memberships: DataFrame, user: Column) -> DataFrame:
 
 def without_organizations(tables: dict[str, DataFrame], orgs: DataFrame) -> dict[str, DataFrame]:
     """The tables without the rows of the given organizations (org)."""
-    return {name: df.join(F.broadcast(orgs), "org", "left_anti") for name, df in tables.items()}
+    return {name: df.join(orgs, "org", "left_anti") for name, df in tables.items()}
 
 
 def account_export(tables: dict[str, DataFrame], org: int) -> DataFrame:

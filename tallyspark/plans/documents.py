@@ -74,6 +74,15 @@ def import_commit(spark, sf_dir):
     return trail.join(counts, "entity", "left").select("entity", "action", "detail", "row_count", "imported")
 
 
+@query(LINES + """ SELECT k AS org, count(*) AS row_count, CAST(-sum(c) AS BIGINT) AS cents FROM marked WHERE again = 1 AND k % 25 <> 0 GROUP BY k""")
+def import_same_names(spark, sf_dir):
+    """Statements that are all called alike, each of another organization: rows and sums that each has got."""
+    files = _statements(spark, sf_dir).select(F.col("file").cast("long").alias("org"), F.lit("statement.csv").alias("file"), "content", F.lit("").alias("account_name"))
+    none = spark.createDataFrame([], "org long, checksum string, fingerprint string, account_name string, name string")
+    got = statements.commit_imports(files, none, none, none, none)["transactions"]
+    return got.groupBy("org").agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.round(F.col("amount") * 100).cast("long")).alias("cents"))
+
+
 # documents
 
 PDF_LINES = "o_orderpriority || chr(10) || 'Invoice (No) ' || o_orderkey || ' \\ A' || chr(10) || 'TOTAL  ' || CAST(o_custkey AS VARCHAR) || '.50 é'"
@@ -122,7 +131,7 @@ def documents_extracted(spark, sf_dir):
     content = F.when(k % 4 == 0, documents.receipt_pdf(text)).when(k % 4 == 1, F.encode(text, "UTF-8")).otherwise(F.unhex(F.lit("89504E470D0A1A0A")))
     mime = F.when(k % 4 == 0, "application/pdf").when(k % 4 == 1, "text/plain").otherwise("image/png")
     rows = o.select(k.alias("file"), content.alias("content"), mime.alias("mime"), F.lit("x.bin").alias("name"))
-    found = documents.extract_documents(rows, lambda asked: asked.where("file % 4 = 3").select("file", F.lit("Read by a service").alias("text")))
+    found = documents.extract_documents(rows, lambda asked: asked.where("file % 4 = 3").select("document", F.lit("Read by a service").alias("text")))
     return found.select(F.col("file").alias("id"), "mime", minor_units(F.col("total")).alias("cents"), "provider", (F.col("merchant").isNotNull()).alias("readable"))
 
 

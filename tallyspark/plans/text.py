@@ -77,6 +77,21 @@ def normalized_merchants(spark, sf_dir):
     return _bank(spark, sf_dir).select("id", normalize_merchant(F.col("raw")).alias("merchant"))
 
 
+#: Names as banks write them, and what is left of each, written out by hand.
+MARKED_NAMES = (
+    ("ŠKODA AUTO", "skoda auto"), ("Bșc Țara", "bsc tara"), ("ŽABKA POLSKA", "zabka polska"), ("PHỞ HÀ NỘI", "pho ha noi"), ("ÉPICERIE ÇA", "epicerie ca"), ("İZMİR ÇAY", "izmir cay"), ("ŐRSÉG ŰR", "orseg ur"),
+    ("ĀBOLS RĪGA", "abols riga"), ("ČESKÁ POŠTA", "ceska posta"), ("Běijīng Lǜ", "beijing lu"), ("ȚIRIAC ĂUTO", "tiriac auto"),
+)
+
+
+@query("SELECT o_orderkey AS id, [" + ", ".join(f"'{bare}'" for _, bare in MARKED_NAMES) + f"][CAST(o_orderkey % {len(MARKED_NAMES)} AS INTEGER) + 1] AS norm FROM orders")
+def marked_names(spark, sf_dir):
+    """Names with marks, most in capitals, normalized."""
+    names = F.array(*(F.lit(name) for name, _ in MARKED_NAMES))
+    said = F.concat(F.lit("POS "), F.element_at(names, (F.col("o_orderkey") % len(MARKED_NAMES) + 1).cast("int")), F.lit(" #"), F.col("o_orderkey").cast("string"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), normalize_description(said).alias("norm"))
+
+
 def _first(rules, column: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({column}, '\\b({p})\\b') THEN '{n}'" for n, p in rules) + " END"
 

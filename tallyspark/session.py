@@ -45,8 +45,11 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **extra
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that `spark.checkpoint.dir` names; one of our own
-    only where it is unset, as in tests."""
+    only where that is unset and all runs on one machine, as in tests."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "tallyspark-checkpoints"))
+        named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tallyspark-checkpoints"))
     return df.checkpoint(eager=True)

@@ -125,15 +125,21 @@ def document_text(content: Column, mime: Column, name: Column) -> Column:
 
 
 def extract_documents(documents: DataFrame, remote: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """`documents` (file, content, mime, name) with the fields of their texts and provider: a service that `remote` calls
-    (documents in, file and text out; it may fail or read nothing), else local. Without readable text all fields are
-    null and overall is 0."""
+    """`documents` (file, content, mime, name) with the fields of their texts and provider: a service that `remote` calls,
+    else local. Without readable text all fields are null and overall is 0.
+
+    The service gets (document, file, content, mime, name) and gives (document, text), where it can read one; document
+    is a hash of the other four, so that files of one name keep their own answers and equal ones are asked once.
+    """
     local = document_text(F.col("content"), F.col("mime"), F.col("name"))
     if remote is None:
         read = documents.withColumn("text", local).withColumn("provider", F.lit("local"))
     else:
-        answers = remote(documents.select("file", "content", "mime", "name")).select("file", F.nullif(F.trim("text"), F.lit("")).alias("_said"))
-        read = documents.join(answers, "file", "left").withColumn("text", F.coalesce("_said", local)).withColumn("provider", F.when(F.col("_said").isNotNull(), "remote").otherwise("local")).drop("_said")
+        parts = [F.coalesce(F.sha2(F.col(c).cast("binary" if c == "content" else "string").cast("binary"), 256), F.lit("-")) for c in ("file", "content", "mime", "name")]
+        keyed = documents.withColumn("document", F.sha2(F.concat(*parts).cast("binary"), 256))
+        asked = keyed.select("document", "file", "content", "mime", "name").dropDuplicates(["document"])
+        answers = remote(asked).select("document", F.nullif(F.trim("text"), F.lit("")).alias("_said")).groupBy("document").agg(F.max("_said").alias("_said"))
+        read = keyed.join(answers, "document", "left").withColumn("text", F.coalesce("_said", local)).withColumn("provider", F.when(F.col("_said").isNotNull(), "remote").otherwise("local")).drop("_said", "document")
     return extract_receipts(read)
 
 

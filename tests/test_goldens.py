@@ -10,7 +10,7 @@ from tallyspark.functions.similarity import jaro_winkler, merchant_likeness, tok
 from tallyspark.functions.text import extract_reference, normalize_description, normalize_merchant
 from tallyspark.operators.assign import flag_duplicates, greedy_assignment
 from tallyspark.operators.extract import extract_receipts
-from tallyspark.sources.statements import detect_mapping, parse_statements, statement_rows
+from tallyspark.sources.statements import parse_statements, statement_rows
 
 
 def column(spark, values, function):
@@ -55,7 +55,7 @@ FRENCH = "Date operation;Libelle;Debit;Credit\n28/09/2026;Monoprix Tunis;47,850;
 def test_statements(spark):
     files = spark.createDataFrame([("a", STATEMENT), ("b", FRENCH), ("c", ""), ("d", None)], "file string, content string")
     rows = statement_rows(files)
-    parsed = parse_statements(rows, detect_mapping(rows), "TND").orderBy("file", "row_number").collect()
+    parsed = parse_statements(rows, "TND").orderBy("file", "row_number").collect()
     a = [(r.row_number, r.amount, r.issue) for r in parsed if r.file == "a"]
     assert a == [(2, -47.85, None), (3, -39.99, None), (4, -18.2, "date"), (5, -39.99, "repeated row"), (6, 0.0, "zero")]
     assert parsed[0].merchant_norm == "carrefour" and parsed[0].payment_method == "card"
