@@ -343,8 +343,8 @@ def _settled(routes: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[Da
     """For components of long routes: routes (rep, hub, settled), and the links (a, b) found.
 
     In each round the smallest open document of a route is compared with all others of it; those linked with it
-    are settled: they hang together, so no two of them need be compared. What stays open is still compared with
-    every document of the route.
+    are settled. Settled documents of one component need not be compared with each other; those of different
+    components are, and what stays open is compared with every document of the route.
     """
     state, links = routes.withColumn("settled", F.lit(False)), None
     for _ in range(SETTLE_ROUNDS):
@@ -388,28 +388,35 @@ def _components(texts: DataFrame, size: int, num: int, den: int, lower: bool, co
     placed = join_uneven(routes, many, ["hub"], "members", F.col("rep")).where("members > 1")
     listed = placed.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("hub").alias("hubs")).join(known.select("doc_id", "copies"), "doc_id")
     sets = texts.join(listed, "doc_id").select("doc_id", "text", "copies", "hubs").mapInArrow(_fetch(size, lower), "rep long, copies long, hubs array<long>, grams binary")
-    # only components are wanted: most documents of a long route hang together through one of them
-    settled, direct = placed.withColumn("settled", F.lit(False)), None
+    # only components are wanted: most documents of a long route hang together through one of them. Documents of one
+    # side are not compared with each other; side -1 is for those that are compared with all
+    sided, direct = placed.withColumn("side", F.lit(-1).cast("long")), None
     if not count_links:
         is_long = F.col("members") > BLOCK * LONG_BLOCKS
         long = cut(placed.where(is_long).select("rep", "hub"))
         if not long.isEmpty():
             # their sets are fetched once for all rounds
             state, direct = _settled(long, cut(sets.join(long.select("rep").distinct(), "rep", "left_semi")), num, den)
-            settled = placed.where(~is_long).withColumn("settled", F.lit(False)).unionByName(placed.where(is_long).join(state, ["rep", "hub"]))
-    # documents of a route are numbered by hash into blocks, open ones first, and every two blocks of which one is open meet in one group
-    per_hub = cut(settled.groupBy("hub").agg(F.count_if("settled").alias("n_settled"), F.count_if(~F.col("settled")).alias("n_open"), F.count(F.lit(1)).alias("all")))
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    sized = join_uneven(settled.select("rep", "hub", "settled"), per_hub, ["hub"], "all", F.col("rep")).where("n_open > 0")
-    at = F.pmod(F.xxhash64("rep", "hub"), F.when(F.col("settled"), blocks("n_settled")).otherwise(blocks("n_open")).cast("long")).cast("int")
-    numbered_blocks = sized.select("rep", "hub", F.when(F.col("settled"), blocks("n_open") + at).otherwise(at).alias("block"), F.when(F.col("settled"), blocks("n_open")).otherwise(blocks("n_open") + blocks("n_settled")).alias("meets"))
-    meeting = numbered_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1))).select(
+            # documents settled by different first ones are of one side if links already join these
+            direct = cut(direct)
+            known_sides = connected_components(direct).withColumnRenamed("node", "rep")
+            split = state.join(known_sides, "rep", "left").select("rep", "hub", F.when(F.col("settled"), F.coalesce("component", "rep")).otherwise(-1).alias("side"))
+            sided = placed.where(~is_long).withColumn("side", F.lit(-1).cast("long")).unionByName(placed.where(is_long).join(split, ["rep", "hub"]))
+    # documents of a route are numbered by hash into blocks, side by side, and every two blocks that are not of one settled side meet in one group
+    per_side = sided.groupBy("hub", "side").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    sides = Window.partitionBy("hub").orderBy("side")
+    placed_sides = cut(per_side.select("hub", "side", "n", "blocks", (F.sum("blocks").over(sides) - F.col("blocks")).cast("int").alias("from"), F.sum("blocks").over(Window.partitionBy("hub")).cast("int").alias("all")))
+    sized = join_uneven(sided.select("rep", "hub", "side"), placed_sides, ["hub", "side"], "n", F.col("rep"))
+    at = F.col("from") + F.pmod(F.xxhash64("rep", "hub"), F.col("blocks").cast("long")).cast("int")
+    own = F.when(F.col("side") >= 0, F.sequence(F.col("from"), F.col("from") + F.col("blocks") - 1)).otherwise(F.array().cast("array<int>"))
+    meets = F.array_except(F.sequence(F.lit(0), F.col("all") - 1), own)
+    meeting = sized.select("rep", "hub", at.alias("block"), meets.alias("meets")).withColumn("other", F.explode("meets")).select(
         "rep", "hub", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
     )
     met = meeting.join(sets, "rep").repartition(n, "hub", "one", "two").sortWithinPartitions("hub", "one", "two").select("hub", "one", "two", "rep", "block", "copies", "hubs", "grams")
     found = cut(met.mapInArrow(_link_blocks(num, den), "a long, b long, links long"))
     links = found.where("b is not null").select("a", "b")
-    components = connected_components(links if direct is None else links.union(direct))
+    components = connected_components(links if direct is None else links.unionByName(direct))
     degrees = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     of_rep = known.where("rep = doc_id").select("rep", "copies").join(components.withColumnRenamed("node", "rep"), "rep", "left").join(degrees, "rep", "left").where("component is not null or links is not null")
     joined = join_uneven(known, of_rep.withColumnRenamed("copies", "weight"), ["rep"], "weight", F.col("doc_id"))
@@ -417,6 +424,14 @@ def _components(texts: DataFrame, size: int, num: int, den: int, lower: bool, co
     return joined.select("doc_id", "n_shingles", "rep", F.coalesce("component", "rep").alias("component_id"), number.alias("n_links"))
 
 
+def _of_rows(rows: DataFrame, size: int, num: int, den: int, lower: bool, count_links: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For rows (doc_id, text) whose doc_ids repeat: each row with its number, the numbers' doc_ids, and `_components` of
+    the numbers: different texts under one doc_id are different documents."""
+    each, names = numbered(rows)
+    each = cut(each)
+    return each, names, _components(each.select(F.col("row").alias("doc_id"), "text").dropDuplicates(["doc_id"]), size, num, den, lower, count_links)
+
+
 def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, lower: bool = True, count_links: bool = True) -> DataFrame:
     """Per row: doc_id, n_shingles, rep, component_id, n_links, for links with den * overlap >= num * union.
 
@@ -432,9 +447,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = rows.where("doc_id is not null")
     if repeated_ids(rows):
-        each, names = numbered(rows)
-        each = cut(each)
-        found = _components(each.select(F.col("row").alias("doc_id"), "text").dropDuplicates(["doc_id"]), size, num, den, lower, count_links)
+        each, names, found = _of_rows(rows, size, num, den, lower, count_links)
         to = lambda c: names.select(F.col("row").alias(c), F.col("doc_id").alias(f"_{c}"))
         out = each.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("_doc_id")).join(found, "doc_id").join(to("rep"), "rep").join(to("component_id"), "component_id")
         out = out.select(F.col("_doc_id").alias("doc_id"), "n_shingles", F.col("_rep").alias("rep"), F.col("_component_id").alias("component_id"), "n_links")
@@ -446,7 +459,14 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """`docs` with one document of each component left, the smallest; rows with a null doc_id stay, and so do all
-    rows under the smallest doc_id if that is repeated. Other columns stay as they are."""
-    gone = jaccard_components(docs, size, num, den, count_links=False).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """`docs` with one document of each component left, the smallest; rows with a null doc_id stay. Different texts
+    under one doc_id are different documents: each is kept or dropped by itself, and the rows that repeat both doc_id and
+    text together. Other columns stay as they are."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not repeated_ids(rows):
+        gone = jaccard_components(docs, size, num, den, count_links=False).where("component_id <> doc_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    each, _, found = _of_rows(rows, size, num, den, True, False)
+    texts = each.select("row", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text")).distinct()
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("row")).join(texts, "row").select("_id", "_text")
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_text"]), "left_anti").select(docs.columns)

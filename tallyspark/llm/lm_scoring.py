@@ -326,7 +326,8 @@ def score_documents(docs: DataFrame, train: str = "crc32(cast(doc_id as string))
     The model and the baseline learn from the rows where the SQL condition `train` holds; where it is null the
     row is held out. Tokens of the baseline are words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then an end; a
     null text counts as empty. score is the log10 probability of the text's bytes and their end under the
-    pretrained model with contexts of `order` bytes, 3 to 6. Other columns are ignored.
+    pretrained model with contexts of `order` bytes, 3 to 6. Other columns are ignored. `docs` is read several times and
+    must give its rows in the same partitions each time, as a table does.
     """
     if not 3 <= order <= 6:
         raise ValueError("order must be 3 to 6")
@@ -340,7 +341,8 @@ def score_documents(docs: DataFrame, train: str = "crc32(cast(doc_id as string))
 
     size = texts.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     batches = max(1, -(-size.docs // BATCH_DOCS), -(-size.bytes // BATCH_BYTES))
-    dealt = texts.withColumn("batch", F.expr(f"cast(pmod(xxhash64(doc_id), {batches}) as int)")).repartition(n, "batch")
+    # by the row's number, which a table's rows have again whenever it is read: null and repeated ids are spread like others
+    dealt = texts.withColumn("batch", F.expr(f"cast(pmod(xxhash64(doc_id, monotonically_increasing_id()), {batches}) as int)")).repartition(n, "batch")
     asked = dealt.sortWithinPartitions("batch").mapInArrow(_batch_keys(order), "batch int, word boolean, key long, n long").repartition(n, "word", "key")
     summed = asked.groupBy("word", "key").agg(F.sum("n").alias("n"))
     words = summed.where("word")

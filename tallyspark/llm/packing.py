@@ -114,7 +114,8 @@ def pack(lengths: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: f
     """
     rows = lengths.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("length").cast("long").alias("length")).where("length >= 0")
     shards = max(1, -(-rows.count() // shard_rows))
-    dealt = rows.withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id, length), {shards}) as int)"))
+    # by the row's number too: rows without doc_id, or that repeat one, are spread like others
+    dealt = rows.withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id, length, monotonically_increasing_id()), {shards}) as int)"))
     return dealt.repartitionById(shards, "shard").mapInArrow(_pack(capacities, overhead, attention), _SCHEMA)
 
 

@@ -127,6 +127,33 @@ def test_components_alone_of_long_groups(spark, monkeypatch):
         assert got == brute(docs, 3, 90, 100)
 
 
+def test_chains_between_settled_documents(spark, monkeypatch):
+    """Documents that different first ones settle may be linked with each other: no chain falls apart."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 1)
+    monkeypatch.setattr(jaccard_join, "LONG_BLOCKS", 1)
+    rng = random.Random(21)
+    docs = []
+    for c in range(12):
+        words = [f"c{c}w{i}" for i in range(130)]
+        docs += [" ".join(words[10 * i : 10 * i + 100]) for i in range(4)]
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, 3, 80, 100)
+    assert len({c for _, c in want.values()}) == 12
+    for rounds in (1, 2, 3, 4):
+        monkeypatch.setattr(jaccard_join, "SETTLE_ROUNDS", rounds)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(frame, 3, 80, 100, count_links=False).collect()}
+        assert got == want
+
+
+def test_another_text_under_the_id_of_a_copy_stays(spark):
+    one, two, three = ("a b c d e f g h i j k l", "p q r s t u v w x y z", "one two three four five six seven")
+    rows = [(1, one), (9, one), (9, two), (4, two + " "), (9, three), (9, three)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, drop_near_duplicates(frame).collect())) == sorted([(1, one), (4, two + " "), (9, three), (9, three)])
+
+
 def test_null_and_repeated_ids_and_clashing_columns(spark):
     one, two = "a b c d e f g h i j k l", "p q r s t u v w x y z"
     rows = [(5, one, 1), (5, two, 2), (5, two, 2), (9, one, 3), (None, one, 4), (None, None, 5), (7, two + " ", 6), (8, None, 7), (3, "other text here", 8)]

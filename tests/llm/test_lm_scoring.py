@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyspark.sql.functions as F
 import pytest
 
 from tallyspark.llm.lm_scoring import AdaptivePpm, LowOrders, code_table, gram_probabilities, score_adaptive, score_documents
@@ -78,3 +79,16 @@ def test_gram_probabilities_sum_to_one():
     count = np.bincount(where, n)
     log = gram_probabilities(codes, n, 4, LowOrders(kinds[count > 0], count[count > 0]))
     assert np.allclose((10.0**log).reshape(-1, 256).sum(1), 1, atol=1e-4)
+
+
+def test_null_and_repeated_ids_fill_no_batch_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr("tallyspark.llm.lm_scoring.BATCH_DOCS", 20)
+    docs = [(None, f"text {i}") for i in range(60)] + [(7, "same text again")] * 60 + [(7, "another " * 3000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).select("*", F.lit(1).alias("batch"), F.lit("k").alias("key"), F.lit(0.5).alias("value"))
+    scored = score_documents(frame)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" in plan
+    got = sorted((r.doc_id is None, r.n_tokens, round(r.score, 3)) for r in scored.collect())
+    want = brute(docs)
+    assert len(got) == 121 and sum(null for null, _, _ in got) == 60
+    assert {n for null, n, _ in got if not null} == {4, 3001} and want[7][1] == 3001

@@ -93,3 +93,14 @@ def test_edges(spark):
     assert pack_documents(empty).collect() == []
     docs = spark.createDataFrame([(1, None, 3), (2, "é", 4)], "doc_id long, text string, shard int")
     assert {r.doc_id: r.length for r in pack_documents(docs).collect()} == {1: 1, 2: 3}
+
+
+def test_rows_of_one_id_and_length_are_spread_over_shards(spark):
+    for doc in (None, 7):
+        frame = spark.createDataFrame([(doc, 50)] * 5000, "doc_id long, length long")
+        rows = pack(frame, shard_rows=500).collect()
+        assert len(rows) == 5000
+        per_shard = defaultdict(int)
+        for r in rows:
+            per_shard[r.bin_id >> 32] += 1
+        assert len(per_shard) == 10 and max(per_shard.values()) < 1000
