@@ -1,10 +1,16 @@
-"""Matching configuration: defaults, partial overrides, validation."""
+"""Matching configuration: defaults, partial overrides, validation, and each organization's own as columns.
+
+Where a function takes `config`, it may be one MatchingConfig for all, or settings (org, matching_config): then every
+rule reads its organization's values from typed columns, in one plan for all organizations.
+"""
 
 from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field, fields, replace
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: The names that stored configurations use, where they differ from the fields below. Fixed values.
 STORED_NAMES = {
@@ -104,6 +110,62 @@ class MatchingConfig:
         return out
 
 
-def configurations(settings) -> dict[int, MatchingConfig]:
-    """Each organization's configuration, from settings (org, matching_config); one row an organization, on the driver."""
-    return {r["org"]: MatchingConfig.from_json(r["matching_config"]) for r in settings.select("org", "matching_config").toLocalIterator()}
+Config = MatchingConfig | DataFrame
+
+
+def _stored(name: str) -> list[str]:
+    """The names that a field may have in stored settings."""
+    return [*(k for k, v in STORED_NAMES.items() if v == name), name]
+
+
+def _schema() -> str:
+    base, parts = MatchingConfig(), []
+    for part in fields(base):
+        kind = "double"
+        if part.name != "max_candidates":
+            inner = [f"{n}: double" for f in fields(getattr(base, part.name)) for n in _stored(f.name)]
+            kind = f"struct<{', '.join(inner)}>"
+        parts += [f"{n} {kind}" for n in _stored(part.name)]
+    return ", ".join(parts)
+
+
+def _values(given: Column) -> Column:
+    """All values of a configuration, from a parsed text or, where that has none, by default."""
+    base, sections = MatchingConfig(), []
+
+    def value(default: float, found: list[Column]) -> Column:
+        return F.coalesce(*found, F.lit(float(default))).cast("int" if isinstance(default, int) else "double")
+
+    for part in fields(base):
+        old = getattr(base, part.name)
+        if part.name == "max_candidates":
+            sections.append(value(old, [given[n] for n in _stored(part.name)]).alias(part.name))
+            continue
+        # thresholds are written as whole numbers, but need not be
+        inner = [value(float(d) if part.name == "thresholds" else d, [given[part.name][n] for n in _stored(f)]).alias(f) for f, d in asdict(old).items()]
+        sections.append(F.struct(*inner).alias(part.name))
+    return F.struct(*sections)
+
+
+def _parsed(settings: DataFrame) -> DataFrame:
+    return settings.select("org", F.from_json("matching_config", _schema()).alias("given"))
+
+
+def configurations(settings: DataFrame) -> DataFrame:
+    """(org, cfg): each organization's configuration, from settings (org, matching_config), typed and complete. Malformed
+    texts, unknown keys and values that are no numbers give way to the defaults."""
+    return _parsed(settings).select("org", _values(F.col("given")).alias("cfg"))
+
+
+def with_rules(rows: DataFrame, config: Config) -> tuple[DataFrame, MatchingConfig]:
+    """`rows` with what the rules read, and the rules: values, or columns of `cfg`, which is added for settings."""
+    if isinstance(config, MatchingConfig):
+        return rows, config
+    # defaults are filled in after the join: organizations without settings have none of the values
+    joined = rows.join(_parsed(config), "org", "left").withColumn("cfg", _values(F.col("given"))).drop("given")
+    base, parts = MatchingConfig(), {}
+    for part in fields(base):
+        old = getattr(base, part.name)
+        names = [] if part.name == "max_candidates" else list(asdict(old))
+        parts[part.name] = replace(old, **{f: F.col(f"cfg.{part.name}.{f}") for f in names}) if names else F.col(f"cfg.{part.name}")
+    return joined, replace(base, **parts)

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.config import MatchingConfig
+from tallyspark.config import Config, MatchingConfig
 from tallyspark.functions.money import number_text
 from tallyspark.functions.tables import SYSTEM_CATEGORIES
 from tallyspark.operators import runs
+from tallyspark.session import cut
 from tallyspark.operators.lists import IN_PROGRESS
 from tallyspark.operators.reads import OFFERED
 
@@ -71,20 +72,27 @@ def unlink(matches: DataFrame, receipts: DataFrame, chosen: DataFrame, actor: st
     return {"matches": runs.unlink(matches, mine), "receipts": set_status(receipts, _states(mine, "completed")), "audit": audit_rows(mine, "match.unlinked", "match", match_key(), None, actor)}
 
 
-def matching_run(receipts: DataFrame, transactions: DataFrame, matches: DataFrame, config: MatchingConfig = MatchingConfig(), similarity=None, provider=None) -> dict[str, DataFrame]:
+def matching_run(receipts: DataFrame, transactions: DataFrame, matches: DataFrame, config: Config = MatchingConfig(), similarity=None, provider=None) -> dict[str, DataFrame]:
     """A run over all unlocked receipts: matches, receipts (best pairs: completed or needs_review, without pair:
-    unmatched), audit of the best pairs, and stats by organization (receipts, considered, pairs, semantic, auto,
-    review, unmatched)."""
-    proposals = runs.propose(receipts, transactions, matches, config, similarity, provider)
+    unmatched), audit of the best pairs, and stats by organization: receipts and transactions considered, pairs scored
+    (of any class, before the assignment), pairs kept, semantic (receipts whose undecided names were asked for), best
+    pairs by class (auto, review, possible), and receipts left unmatched."""
+    considered = runs.unlocked(receipts, transactions, matches)
+    scored = runs.score_run(*considered, config, similarity, provider)
+    proposals = cut(runs.assign_run(scored, matches))
     locked = matches.where("status in ('confirmed', 'auto')").select("org", F.col("r_id").alias("id")).distinct()
     run = receipts.where("not is_duplicate").join(locked, ["org", "id"], "left_anti").select("org", "id")
     best = proposals.where("status <> 'alternate'")
     ended = run.join(best.select("org", F.col("r_id").alias("id"), F.when(F.col("status") == "auto", "completed").otherwise("needs_review").alias("status")), ["org", "id"], "left").na.fill("unmatched", ["status"])
     detail = F.concat(number_text(F.col("score")), F.lit("% via "), F.col("method"))
     audit = audit_rows(best, F.concat(F.lit("match."), "status"), "receipt", F.col("r_id"), detail)
-    counts = ended.groupBy("org").agg(F.count(F.lit(1)).alias("receipts"), *(F.count_if(F.col("status") == s).alias(n) for s, n in (("completed", "auto"), ("needs_review", "review"), ("unmatched", "unmatched"))))
-    kept = proposals.groupBy("org").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("method") == "semantic").alias("semantic"))
-    stats = counts.join(kept, "org", "left").na.fill(0, ["pairs", "semantic"])
+    counts = ended.groupBy("org").agg(F.count(F.lit(1)).alias("receipts"), *(F.count_if(F.col("status") == s).alias(n) for s, n in (("unmatched", "unmatched"),)))
+    of_best = [F.count_if((F.col("status") != "alternate") & (F.col("classification") == c)).alias(c) for c in ("auto", "review", "possible")]
+    kept = proposals.groupBy("org").agg(F.count(F.lit(1)).alias("pairs"), *of_best)
+    lines = considered[1].groupBy("org").agg(F.count(F.lit(1)).alias("transactions"))
+    tried = scored.groupBy("org", "r_id").agg(F.count(F.lit(1)).alias("n"), F.max("escalated").alias("asked")).groupBy("org").agg(F.sum("n").alias("scored"), F.count_if("asked").alias("semantic"))
+    stats = counts.join(lines, "org", "left").join(tried, "org", "left").join(kept, "org", "left").na.fill(0)
+    stats = stats.select("org", "receipts", "transactions", "scored", "pairs", "semantic", "auto", "review", "possible", "unmatched")
     return {"matches": runs.write_back(matches, proposals, run), "receipts": set_status(receipts, ended), "audit": audit, "stats": stats, "proposals": proposals}
 
 

@@ -1,4 +1,4 @@
-"""Candidate generation: a band join on day and amount, written as equi-joins."""
+"""Candidate generation: a band join on day and amount, written as equi-joins on the cells of a grid."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.config import MatchingConfig
+from tallyspark.config import Config, MatchingConfig, with_rules
 from tallyspark.functions.money import minor_units
 
 RECEIPT = ("org", "id", "merchant", "date", "total", "currency", "payment")
@@ -34,35 +34,72 @@ def _sides(receipts: DataFrame, transactions: DataFrame) -> tuple[DataFrame, Dat
     return left, right
 
 
-def candidate_pairs(receipts: DataFrame, transactions: DataFrame, config: MatchingConfig = MatchingConfig()) -> DataFrame:
+#: Amounts of one band differ by at most so much; the first band holds all below 1.
+BAND = 1.06
+
+
+def _band(amount: Column) -> Column:
+    return F.floor(F.log(F.greatest(F.abs(amount), F.lit(1.0))) / F.log(F.lit(BAND))).cast("int")
+
+
+def _bands(total: Column, config: MatchingConfig) -> Column:
+    """The bands in which amounts can be plausible and in the bucket span of a total: both bounds, a cent or a few units
+    wider than either."""
+    total, share = F.abs(total), config.amount.max_relative
+    below = total * (F.lit(1.0) - share) - 0.02
+    above = F.when(F.lit(share) < 1, F.least(total / F.greatest(F.lit(1.0) - share, F.lit(1e-9)) + 0.02, total * (F.lit(1.0) + share) + 3)).otherwise(total * (F.lit(1.0) + share) + 3)
+    return F.sequence(_band(F.greatest(below, F.lit(0.0))), _band(above))
+
+
+def first_lines(transactions: DataFrame, config: Config) -> DataFrame:
+    """The transactions that the cap of any receipt can let through: of those equal in organization, day and cents, which
+    no rule before the cap tells apart, the first by id, as many as the cap has."""
+    rows, c = with_rules(transactions, config)
+    order = Window.partitionBy("org", "date", minor_units(F.abs("amount"))).orderBy("id")
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= c.max_candidates).select(transactions.columns)
+
+
+def candidate_pairs(receipts: DataFrame, transactions: DataFrame, config: Config = MatchingConfig()) -> DataFrame:
     """Pairs worth scoring, before the cap, with r_ and t_ columns.
 
-    Receipts with a date probe the days of their window, so the join hashes on (org, day). Where a date is missing
-    on either side the amount is the key, in bands on a logarithmic scale: receipts without date against all
+    Days and logarithmic amount bands make a grid: a transaction lies in one cell (org, day, band), and a receipt
+    probes the days of its window times the bands that its total allows, two or three. Receipts without total probe
+    days alone. Where a date is missing on either side the band alone is the key: receipts without date against all
     transactions, dated ones against transactions without date only, so that no pair is made to be dropped.
     Receipts without total meet, where they have no date, the first transactions of their org, and otherwise the
     first without date, as many as the cap lets through. Null dates of transactions pass the window.
     """
     left, right = _sides(receipts, transactions)
-    dated = left.where("r_date is not null").withColumn("day", F.explode(F.sequence(F.date_sub("r_date", config.date.max_before), F.date_add("r_date", config.date.max_after))))
-    ok = F.col("r_total").isNull() | F.col("t_amount").isNull() | (amount_plausible(F.col("r_total"), F.col("t_amount"), config) & in_bucket_band(F.col("r_total"), F.col("t_amount"), config))
-    by_day = dated.join(right.where("t_date is not null").withColumn("day", F.col("t_date")), ["org", "day"]).where(ok).drop("day")
-    # bands of 6 %, wide enough for the bound of 5 %
-    band = lambda c: F.floor(F.log(F.greatest(F.abs(c), F.lit(1.0))) / F.log(F.lit(1.06)))
-    probes = left.where("r_total is not null").withColumn("band", F.explode(F.sequence(band(F.col("r_total")) - 1, band(F.col("r_total")) + 1)))
-    banded = right.withColumn("band", band(F.col("t_amount")))
-    by_amount = [probes.where(r).join(banded.where(t), ["org", "band"]).where(ok).drop("band") for r, t in (("r_date is null", "true"), ("r_date is not null", "t_date is null"))]
+    mine = left.columns
+    left, c = with_rules(left, config)
+    days = F.sequence(F.date_sub("r_date", c.date.max_before), F.date_add("r_date", c.date.max_after))
+    plausible = amount_plausible(F.col("r_total"), F.col("t_amount"), c) & in_bucket_band(F.col("r_total"), F.col("t_amount"), c)
+    ok = F.col("t_amount").isNull() | plausible
+    out = [*mine, *(x for x in right.columns if x != "org")]
+    cells = left.where("r_date is not null and r_total is not null").withColumn("day", F.explode(days)).withColumn("band", F.explode(_bands(F.col("r_total"), c)))
+    lines = right.where("t_date is not null").withColumn("day", F.col("t_date"))
+    by_cell = cells.join(lines.where("t_amount is not null").withColumn("band", _band(F.col("t_amount"))), ["org", "day", "band"]).where(plausible)
+    # an amount that is missing is in no band, a total that is missing in all
+    unknown = left.where("r_date is not null").withColumn("day", F.explode(days))
+    by_day = [unknown.where("r_total is null").join(lines, ["org", "day"]), unknown.where("r_total is not null").join(lines.where("t_amount is null"), ["org", "day"])]
+    probes = left.where("r_total is not null").withColumn("band", F.explode(_bands(F.col("r_total"), c)))
+    banded = right.where("t_amount is not null").withColumn("band", _band(F.col("t_amount")))
+    sides = (("r_date is null", "true"), ("r_date is not null", "t_date is null"))
+    by_amount = [probes.where(r).join(banded.where(t), ["org", "band"]).where(ok) for r, t in sides]
+    nameless = [left.where("r_total is not null").where(r).join(right.where("t_amount is null").where(t), "org") for r, t in sides]
 
     def few(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("n", F.row_number().over(Window.partitionBy("org").orderBy("t_id"))).where(F.col("n") <= config.max_candidates).drop("n")
+        numbered, own = with_rules(rows.withColumn("n", F.row_number().over(Window.partitionBy("org").orderBy("t_id"))), config)
+        return numbered.where(F.col("n") <= own.max_candidates).select(rows.columns)
 
     neither = left.where("r_total is null and r_date is null").join(few(right), "org")
     undated = left.where("r_total is null and r_date is not null").join(few(right.where("t_date is null")), "org")
-    return reduce(DataFrame.unionByName, [by_day, *by_amount, neither, undated])
+    return reduce(DataFrame.unionByName, [x.select(out) for x in (by_cell, *by_day, *by_amount, *nameless, neither, undated)])
 
 
-def cap_candidates(pairs: DataFrame, config: MatchingConfig = MatchingConfig()) -> DataFrame:
+def cap_candidates(pairs: DataFrame, config: Config = MatchingConfig()) -> DataFrame:
     """The first candidates of each receipt by amount bucket, then transaction; by transaction alone without a total."""
     bucket = F.when(F.col("r_total").isNotNull(), F.floor(F.abs("t_amount") + F.lit(0.5)))
     order = Window.partitionBy("org", "r_id").orderBy(bucket.asc_nulls_first(), "t_id")
-    return pairs.withColumn("position", F.row_number().over(order)).where(F.col("position") <= config.max_candidates)
+    numbered, c = with_rules(pairs.withColumn("position", F.row_number().over(order)), config)
+    return numbered.where(F.col("position") <= c.max_candidates).select(*pairs.columns, "position")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.config import MatchingConfig
+from tallyspark.config import Config, MatchingConfig
 from tallyspark.functions.reasons import duplicate_reason
 from tallyspark.functions.text import normalize_merchant, suggest_category
 from tallyspark.operators.actions import audit_rows, matching_run, processed_status, upsert_merchants, with_category_named
@@ -16,7 +16,7 @@ from tallyspark.session import cut
 from tallyspark.sources.documents import extract_documents
 
 
-def ingest_receipts(documents: DataFrame, receipts: DataFrame, transactions: DataFrame, matches: DataFrame, merchants: DataFrame, categories: DataFrame, config: MatchingConfig = MatchingConfig(), remote: Callable | None = None, similarity=None) -> dict[str, DataFrame]:
+def ingest_receipts(documents: DataFrame, receipts: DataFrame, transactions: DataFrame, matches: DataFrame, merchants: DataFrame, categories: DataFrame, config: Config = MatchingConfig(), remote: Callable | None = None, similarity=None) -> dict[str, DataFrame]:
     """New documents (org, id, file, content, mime, name, created_at) through the whole pipeline.
 
     `receipts` are the earlier ones: org, id, checksum, merchant, date, total, currency, payment, invoice, category,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.config import MatchingConfig
+from tallyspark.config import Config, MatchingConfig, with_rules
 from tallyspark.functions.money import number_text
 from tallyspark.functions.tables import NO_CATEGORY, NO_COLOR
 from tallyspark.functions.text import like_term
@@ -76,7 +76,7 @@ def unmatched_receipts(receipts: DataFrame, matches: DataFrame, *, org: int, num
     return with_total(page(found, [F.desc_nulls_first("created_at"), F.asc("id")], number, size), found)
 
 
-def suggest_transactions(receipt: DataFrame, transactions: DataFrame, search: str | None = None, config: MatchingConfig = MatchingConfig(), similarity=None) -> DataFrame:
+def suggest_transactions(receipt: DataFrame, transactions: DataFrame, search: str | None = None, config: Config = MatchingConfig(), similarity=None) -> DataFrame:
     """The twelve best of the newest 400 transactions (25 with a search) for one receipt, matched or not: score and
     class of the rounded score. `receipt` has one row; `similarity` adds that column to the pairs."""
     mine = transactions.join(F.broadcast(receipt.select("org")), "org", "left_semi")
@@ -86,7 +86,8 @@ def suggest_transactions(receipt: DataFrame, transactions: DataFrame, search: st
     pairs = t.join(F.broadcast(r), "org")
     scored = score_pairs(similarity(pairs) if similarity else pairs.withColumn("similarity", F.lit(None).cast("double")), config)
     best = scored.orderBy(F.desc("score"), F.desc_nulls_first("t_date"), "t_id").limit(12)
-    return best.withColumn("classification", classify(F.col("score"), config))
+    ruled, own = with_rules(best, config)
+    return ruled.withColumn("classification", classify(F.col("score"), own)).select(best.columns)
 
 
 def list_transactions(transactions: DataFrame, categories: DataFrame, accounts: DataFrame, *, org: int, search: str | None = None, sort: str = "newest", number: int = 1, size: int = 25) -> DataFrame:
@@ -122,12 +123,13 @@ def category_breakdown(receipts: DataFrame, categories: DataFrame, org: int, lim
     return sums.orderBy(F.desc_nulls_first("raw"), "name").limit(limit).select("name", "color", F.coalesce("raw", F.lit(0)).alias("cents"), "receipts")
 
 
-def date_span(receipts: DataFrame, config: MatchingConfig = MatchingConfig()) -> DataFrame:
+def date_span(receipts: DataFrame, config: Config = MatchingConfig()) -> DataFrame:
     """(org, first, last): the days that transactions must fall on to meet a receipt of the organization; null bounds,
     which let all pass, where a receipt has no date."""
-    open_ = F.bool_or(F.col("date").isNull())
-    first, last = F.date_sub(F.min("date"), config.date.max_before), F.date_add(F.max("date"), config.date.max_after)
-    return receipts.groupBy("org").agg(F.when(~open_, first).alias("first"), F.when(~open_, last).alias("last"))
+    spans = receipts.groupBy("org").agg(F.bool_or(F.col("date").isNull()).alias("open"), F.min("date").alias("low"), F.max("date").alias("high"))
+    spans, c = with_rules(spans, config)
+    closed = ~F.col("open")
+    return spans.select("org", F.when(closed, F.date_sub("low", c.date.max_before)).alias("first"), F.when(closed, F.date_add("high", c.date.max_after)).alias("last"))
 
 
 def within_span(transactions: DataFrame, span: DataFrame) -> DataFrame:

@@ -5,23 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.config import MatchingConfig
+from tallyspark.config import Config, MatchingConfig
 from tallyspark.functions.dates import backoff_seconds, backup_time
 from tallyspark.operators.assign import greedy_assignment
-from tallyspark.operators.candidates import candidate_pairs, cap_candidates
+from tallyspark.operators.candidates import candidate_pairs, cap_candidates, first_lines
 from tallyspark.operators.score import escalate, score_pairs
 from tallyspark.session import cut
 
 OPEN = ("suggested", "alternate")
 
 
-def propose(receipts: DataFrame, transactions: DataFrame, matches: DataFrame | None = None, config: MatchingConfig = MatchingConfig(), similarity=None, provider=None) -> DataFrame:
-    """A matching run: (org, r_id, t_id, score, classification, method, status) of the kept pairs.
-
-    Duplicates and what is matched already stay out, as do rejected pairs, before the assignment. `similarity`
-    adds the column of that name to the candidate pairs; without it the merchant signal doesn't apply. `provider`
-    escalates undecided pairs. Candidates and scores are worked out once.
-    """
+def unlocked(receipts: DataFrame, transactions: DataFrame, matches: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """What a run considers: receipts that are no duplicates, and on both sides what is not matched already."""
     r, t = receipts, transactions
     if "is_duplicate" in receipts.columns:
         r = r.where("not is_duplicate")
@@ -29,22 +24,46 @@ def propose(receipts: DataFrame, transactions: DataFrame, matches: DataFrame | N
         locked = matches.where("status in ('confirmed', 'auto')")
         r = r.join(locked.select("org", F.col("r_id").alias("id")).distinct(), ["org", "id"], "left_anti")
         t = t.join(locked.select("org", F.col("t_id").alias("id")).distinct(), ["org", "id"], "left_anti")
-    pairs = cap_candidates(candidate_pairs(r, t, config), config)
+    return r, t
+
+
+def score_run(receipts: DataFrame, transactions: DataFrame, config: Config = MatchingConfig(), similarity=None, provider=None) -> DataFrame:
+    """Every scored pair of a run, of any class: (org, r_id, t_id, score, escalated, position, classification, method).
+
+    `similarity` adds the column of that name to the candidate pairs; without it the merchant signal doesn't apply.
+    `provider` escalates undecided pairs. Candidates and scores are worked out once.
+    """
+    pairs = cap_candidates(candidate_pairs(receipts, first_lines(transactions, config), config), config)
     pairs = similarity(cut(pairs)) if similarity else pairs.withColumn("similarity", F.lit(None).cast("double"))
     scored = score_pairs(pairs, config)
     if provider:
         scored = escalate(cut(scored), provider, config)
     else:
         scored = scored.withColumn("escalated", F.lit(False)).withColumn("method", F.lit("deterministic"))
-    # written before the filter, which Spark would otherwise push under the scores by repeating all of their expressions
-    scored = cut(scored.select("org", "r_id", "t_id", "score", "escalated", "position", "classification", "method")).where("classification <> 'none'")
+    # written before any filter, which Spark would otherwise push under the scores by repeating all of their expressions
+    return cut(scored.select("org", "r_id", "t_id", "score", "escalated", "position", "classification", "method"))
+
+
+def assign_run(scored: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """The kept pairs of a run with their status; rejected pairs stay out before the assignment."""
+    kept = scored.where("classification <> 'none'")
     if matches is not None:
-        scored = scored.join(matches.where("status = 'rejected'").select("org", "r_id", "t_id"), ["org", "r_id", "t_id"], "left_anti")
-    best = greedy_assignment(scored, ready=True)
+        kept = kept.join(matches.where("status = 'rejected'").select("org", "r_id", "t_id"), ["org", "r_id", "t_id"], "left_anti")
+    best = greedy_assignment(kept, ready=True)
     status = F.when(F.col("best") & (F.col("classification") == "auto"), "auto").when(F.col("best"), "suggested").otherwise("alternate")
     return best.withColumn("status", status).select("org", "r_id", "t_id", "score", "classification", "method", "status")
 
 
+def propose(receipts: DataFrame, transactions: DataFrame, matches: DataFrame | None = None, config: Config = MatchingConfig(), similarity=None, provider=None) -> DataFrame:
+    """A matching run: (org, r_id, t_id, score, classification, method, status) of the kept pairs.
+
+    Duplicates and what is matched already stay out, as do rejected pairs, before the assignment. Settings (org,
+    matching_config) in the place of `config` give each organization its own rules.
+    """
+    r, t = unlocked(receipts, transactions, matches)
+    return assign_run(score_run(r, t, config, similarity, provider), matches)
+
+
 def write_back(matches: DataFrame, proposals: DataFrame, receipts: DataFrame) -> DataFrame:
     """`matches` after a run over `receipts` (org, id): their open rows are replaced by the proposals; rejections stay."""
     run = receipts.select("org", F.col("id").alias("r_id")).distinct()

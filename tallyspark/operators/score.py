@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.config import MatchingConfig
+from tallyspark.config import Config, MatchingConfig, with_rules
 from tallyspark.functions.money import minor_units, round_up
 from tallyspark.functions.similarity import add_similarity
 
 
+#: What `score_pairs` adds.
+SCORED = ("s_amount", "s_date", "s_merchant", "s_currency", "s_payment", "veto", "raw_score", "score", "classification")
+
+
 def amount_signal(total: Column, amount: Column, config: MatchingConfig) -> Column:
     """1 within tolerance, falling to 0 at the relative bound; null where an amount is missing."""
     a, b = minor_units(F.abs(total)), minor_units(F.abs(amount))
@@ -36,7 +40,7 @@ def merchant_signal(similarity: Column, config: MatchingConfig) -> Column:
     return F.when(similarity.isNull(), None).when(similarity < floor, 0.0).otherwise((similarity - floor) / (1 - floor))
 
 
-def score_pairs(pairs: DataFrame, config: MatchingConfig = MatchingConfig()) -> DataFrame:
+def score_pairs(pairs: DataFrame, config: Config = MatchingConfig()) -> DataFrame:
     """Adds the five signals, score (one decimal), raw_score, classification and veto to `pairs` with r_, t_ and
     `similarity` columns.
 
@@ -44,6 +48,8 @@ def score_pairs(pairs: DataFrame, config: MatchingConfig = MatchingConfig()) ->
     mismatch caps below auto; any veto where amount or date scores 0, or is missing, caps below possible. The
     class follows the unrounded score.
     """
+    kept = pairs.columns
+    pairs, config = with_rules(pairs, config)
     w, t = config.weights, config.thresholds
     same = F.upper("r_currency") == F.upper("t_currency")
     frame = pairs.select(
@@ -53,7 +59,7 @@ def score_pairs(pairs: DataFrame, config: MatchingConfig = MatchingConfig()) ->
     weighted = (("s_amount", w.amount), ("s_date", w.date), ("s_merchant", w.merchant), ("s_currency", w.currency), ("s_payment", w.payment_method))
     zero = F.lit(0.0)
     total = sum((F.coalesce(F.col(c) * weight, zero) for c, weight in weighted), zero)
-    weight = sum((F.when(F.col(c).isNotNull(), F.lit(float(x))).otherwise(zero) for c, x in weighted), zero)
+    weight = sum((F.when(F.col(c).isNotNull(), F.lit(x).cast("double")).otherwise(zero) for c, x in weighted), zero)
     mean = F.when(weight > 0, total / weight * 100).otherwise(zero)
     no_amount, no_date = F.coalesce(F.col("s_amount"), zero) == 0, F.coalesce(F.col("s_date"), zero) == 0
     veto = (
@@ -65,7 +71,8 @@ def score_pairs(pairs: DataFrame, config: MatchingConfig = MatchingConfig()) ->
     capped = F.when(F.col("veto") == "currency", F.least("raw_score", F.lit(t.auto - 1.0))).otherwise(F.col("raw_score"))
     capped = F.when(F.col("veto").isNotNull() & (no_amount | no_date), F.least(capped, F.lit(t.possible - 1.0))).otherwise(capped)
     frame = frame.withColumn("raw_score", F.greatest(zero, F.least(F.lit(100.0), capped)))
-    return frame.withColumn("score", round_up(F.col("raw_score"), 1)).withColumn("classification", classify(F.col("raw_score"), config))
+    frame = frame.withColumn("score", round_up(F.col("raw_score"), 1)).withColumn("classification", classify(F.col("raw_score"), config))
+    return frame.select(*kept, *SCORED)
 
 
 def classify(score: Column, config: MatchingConfig = MatchingConfig()) -> Column:
@@ -86,18 +93,18 @@ def needs_semantics(config: MatchingConfig = MatchingConfig()) -> Column:
     return (F.col("similarity") >= m.semantic_low) & (F.col("similarity") < m.semantic_high) & (F.col("s_amount") > 0.9) & F.col("veto").isNull()
 
 
-def escalate(scored: DataFrame, provider, config: MatchingConfig = MatchingConfig()) -> DataFrame:
+def escalate(scored: DataFrame, provider, config: Config = MatchingConfig()) -> DataFrame:
     """`scored` with undecided pairs scored again by the better of both similarities.
 
     `provider` maps a DataFrame (a, b) of distinct names to (a, b, semantic); what it leaves out or null keeps
     its deterministic score. Adds method and escalated.
     """
-    marked = scored.withColumn("escalated", F.coalesce(needs_semantics(config), F.lit(False)))
+    ruled, own = with_rules(scored, config)
+    marked = ruled.select(*scored.columns, F.coalesce(needs_semantics(own), F.lit(False)).alias("escalated"))
     asked = marked.where("escalated").select(F.col("r_merchant").alias("a"), F.col("t_merchant").alias("b")).distinct()
     answers = provider(asked).select(F.col("a").alias("r_merchant"), F.col("b").alias("t_merchant"), "semantic")
     joined = marked.where("escalated").join(answers, ["r_merchant", "t_merchant"], "left")
     better = F.col("semantic") > F.col("similarity")
     again = joined.withColumn("method", F.when(better, "semantic").otherwise("deterministic")).withColumn("similarity", F.greatest("similarity", "semantic"))
-    added = ["s_amount", "s_date", "s_merchant", "s_currency", "s_payment", "veto", "raw_score", "score", "classification"]
-    again = score_pairs(again.drop("semantic", *added), config)
+    again = score_pairs(again.drop("semantic", *SCORED), config)
     return marked.where("not escalated").withColumn("method", F.lit("deterministic")).unionByName(again)

@@ -166,8 +166,10 @@ def run_states_and_trail(spark, sf_dir):
     return r.unionByName(out["audit"].select("org", F.col("entity_id").alias("entity"), F.col("action").alias("status"), "detail"))
 
 
-@query(ENDED + """, kept_pairs AS (SELECT org, count(*) AS pairs FROM pairs_kept GROUP BY org) SELECT org, count(*) AS receipts, count(*) FILTER (status = 'completed') AS auto, count(*) FILTER (status = 'needs_review') AS review,
-    count(*) FILTER (status = 'unmatched') AS unmatched, any_value(pairs) AS pairs FROM states JOIN kept_pairs USING (org) WHERE NOT is_duplicate GROUP BY org""")
+@query(ENDED + """, kept_pairs AS (SELECT org, count(*) AS pairs, count(*) FILTER (best AND classification = 'auto') AS auto, count(*) FILTER (best AND classification = 'review') AS review, count(*) FILTER (best AND classification = 'possible') AS possible FROM pairs_kept GROUP BY org),
+    lines AS (SELECT org, count(*) AS transactions FROM transactions GROUP BY org), tried AS (SELECT org, count(*) AS scored FROM scored GROUP BY org)
+    SELECT org, count(*) AS receipts, any_value(transactions) AS transactions, any_value(scored) AS scored, any_value(pairs) AS pairs, any_value(auto) AS auto, any_value(review) AS review, any_value(possible) AS possible,
+    count(*) FILTER (status = 'unmatched') AS unmatched FROM states JOIN kept_pairs USING (org) JOIN lines USING (org) JOIN tried USING (org) WHERE NOT is_duplicate GROUP BY org""")
 def run_outcome(spark, sf_dir):
     """What a run did in each organization."""
     return matching_run(receipts(spark, sf_dir), transactions(spark, sf_dir), _no_matches(spark))["stats"].drop("semantic")
@@ -181,6 +183,61 @@ def run_keeps_decisions(spark, sf_dir):
     return out["matches"].join(decided, ["org", "r_id", "t_id"], "left_semi").select("org", "r_id", "t_id", "status")
 
 
+#: Settings of four of five organizations, as stored, and in full; the fifth has none.
+SETTINGS = {
+    1: '{"date": {"maxDaysAfter": 1, "maxDaysBefore": 0}, "amount": {"maxRelativeDelta": 0.02}, "maxCandidatesPerReceipt": 3}',
+    2: '{"weights": {"amount": 0.6, "date": 0.1, "currency": 0.1, "paymentMethod": 0.2}, "thresholds": {"auto": 85, "review": 60, "possible": 30}}',
+    3: '{"date": {"maxDaysAfter": 9, "maxDaysBefore": 4, "exactToleranceDays": 1}, "amount": {"maxRelativeDelta": 0.01}, "maxCandidatesPerReceipt": 10, "else": 1}',
+    4: '{"amount": {"exactToleranceAbs": 1.0}, "thresholds": {"possible": 55}, "weights": "none"}',
+}
+_CFG = """cfg AS (SELECT CAST(org AS BIGINT) AS org, * EXCLUDE (org) FROM (VALUES (0, 2, 5, 0, 0.05::DOUBLE, 1, 0.4::DOUBLE, 0.2::DOUBLE, 0.05::DOUBLE, 0.05::DOUBLE, 90.0::DOUBLE, 70.0::DOUBLE, 40.0::DOUBLE, 50),
+      (1, 0, 1, 0, 0.02, 1, 0.4, 0.2, 0.05, 0.05, 90, 70, 40, 3), (2, 2, 5, 0, 0.05, 1, 0.6, 0.1, 0.1, 0.2, 85, 60, 30, 50), (3, 4, 9, 1, 0.01, 1, 0.4, 0.2, 0.05, 0.05, 90, 70, 40, 10), (4, 2, 5, 0, 0.05, 100, 0.4, 0.2, 0.05, 0.05, 90, 70, 55, 50))
+      c(org, before, after, exact_days, rel, exact, w_amount, w_date, w_currency, w_payment, auto, review, possible, cap)), """
+#: Where the plain SQL has a value that a configuration gives.
+_PLACES = (
+    ("WITH ", "WITH " + _CFG), ("BETWEEN -2 AND 5", "BETWEEN -c.before AND c.after"), ("CAST(0.05 AS DOUBLE) * greatest(cents, t_cents)", "c.rel * greatest(cents, t_cents)"), ("ceil(total * CAST(0.05 AS DOUBLE))", "ceil(total * c.rel)"),
+    ("ON r.org = t.org", "ON r.org = t.org JOIN cfg c ON c.org = r.org"), ("cents, t_cents FROM money", "cents, t_cents, c.* EXCLUDE (org) FROM money"), ("FROM transactions) WHERE n <= 50", "FROM transactions) JOIN cfg USING (org) WHERE n <= cap"), ("WHERE position <= 50", "WHERE position <= cap"),
+    ("abs(cents - t_cents) <= 1 THEN", "abs(cents - t_cents) <= exact THEN"), ("> 0.05::DOUBLE THEN", "> rel THEN"), ("/ 0.05::DOUBLE END", "/ rel END"), ("WHEN t_date = r_date THEN", "WHEN abs(t_date - r_date) <= exact_days THEN"), ("(t_date - r_date)::DOUBLE / 6", "(t_date - r_date)::DOUBLE / (after + 1)"), ("(r_date - t_date)::DOUBLE / 3", "(r_date - t_date)::DOUBLE / (before + 1)"),
+    ("s_amount * 0.4::DOUBLE", "s_amount * w_amount"), ("s_date * 0.2::DOUBLE", "s_date * w_date"), ("s_currency * 0.05::DOUBLE", "s_currency * w_currency"), ("s_payment * 0.05::DOUBLE", "s_payment * w_payment"),
+    ("ELSE 0.4::DOUBLE", "ELSE w_amount"), ("ELSE 0.2::DOUBLE", "ELSE w_date"), (" + 0.05::DOUBLE + ", " + w_currency + "), ("ELSE 0.05::DOUBLE", "ELSE w_payment"), ("89.0::DOUBLE", "auto - 1"), ("39.0::DOUBLE", "possible - 1"), ("raw >= 90", "raw >= auto"), ("raw >= 70", "raw >= review"), ("raw >= 40", "raw >= possible"),
+)
+
+
+def _by_organization(text: str) -> str:
+    for plain, own in _PLACES:
+        if plain not in text:
+            raise ValueError(plain)
+        text = text.replace(plain, own, 1) if plain == "WITH " else text.replace(plain, own)
+    return text
+
+
+OWN_SCORES = _by_organization(SCORED)
+
+
+def _settings(spark, sf_dir):
+    """Stored settings of the organizations that the customers belong to."""
+    org = F.col("c_custkey") % 5
+    stored = F.lit(None).cast("string")
+    for number, text in SETTINGS.items():
+        stored = F.when(org == number, text).otherwise(stored)
+    return table(spark, sf_dir, "customer").select(org.alias("org"), stored.alias("matching_config")).distinct().where("matching_config is not null")
+
+
+@query(OWN_SCORES + " SELECT org, r_id, t_id, CAST(position AS BIGINT) AS position, tenths, classification FROM scored")
+def configured_scores(spark, sf_dir):
+    """Candidates and scores where each organization has its own window, band, weights, thresholds and cap."""
+    config = _settings(spark, sf_dir)
+    pairs = cap_candidates(candidate_pairs(receipts(spark, sf_dir).drop("merchant_raw"), transactions(spark, sf_dir).drop("description"), config), config)
+    return score_pairs(pairs.withColumn("similarity", F.lit(None).cast("double")), config).select("org", "r_id", "t_id", F.col("position").cast("long"), _tenths(), "classification")
+
+
+@query(OWN_SCORES + TAKEN + " SELECT org, r_id, t_id, tenths, classification, CASE WHEN t.r_id IS NULL THEN 'alternate' WHEN classification = 'auto' THEN 'auto' ELSE 'suggested' END AS status FROM scored LEFT JOIN taken t USING (org, r_id, t_id) WHERE classification <> 'none'")
+def configured_run(spark, sf_dir):
+    """A whole run with each organization's own configuration, in one plan."""
+    found = propose(receipts(spark, sf_dir).drop("is_duplicate"), transactions(spark, sf_dir), config=_settings(spark, sf_dir))
+    return found.select("org", "r_id", "t_id", F.floor(F.col("score") * 10 + F.lit(0.5)).cast("long").alias("tenths"), "classification", "status")
+
+
 #: The merchants' keys by their number, whole and, as every fourth bank line has them, without the first letter.
 KEYS = (
     ("carrefour", "arrefour"), ("amazon marketplace", "mazon marketplace"), ("starbucks", "tarbucks"), ("blue bottle coffee", "lue bottle coffee"), ("monoprix", "onoprix"), ("spotify", "potify"), ("uber", "ber trip"),

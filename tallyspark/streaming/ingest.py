@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tallyspark.config import MatchingConfig
+from tallyspark.config import Config, MatchingConfig
 from tallyspark.operators.actions import matching_run
 
 
@@ -23,7 +23,7 @@ def replace_by_key(table: DataFrame, batch: DataFrame, keys: list[str], order: s
     return table.join(once.select(*keys), keys, "left_anti").unionByName(once, allowMissingColumns=True)
 
 
-def rematch(receipts: DataFrame, transactions: DataFrame, matches: DataFrame, changed: DataFrame, config: MatchingConfig = MatchingConfig(), similarity=None) -> DataFrame:
+def rematch(receipts: DataFrame, transactions: DataFrame, matches: DataFrame, changed: DataFrame, config: Config = MatchingConfig(), similarity=None) -> DataFrame:
     """Matches after a run over the unlocked receipts of the organizations in `changed` (org); others' stay as they are."""
     orgs = F.broadcast(changed.select("org").distinct())  # one row an organization
     here = lambda df, how: df.join(orgs, "org", how)
@@ -51,7 +51,7 @@ TRANSACTIONS = "org long, id long, merchant string, date date, amount double, cu
 MATCHES = "org long, r_id long, t_id long, score double, status string"
 
 
-def match_stream(stream: DataFrame, folder: str, config: MatchingConfig = MatchingConfig(), similarity: Callable[[DataFrame], DataFrame] | None = None) -> DataStreamWriter:
+def match_stream(stream: DataFrame, folder: str, config: Config = MatchingConfig(), similarity: Callable[[DataFrame], DataFrame] | None = None) -> DataStreamWriter:
     """A writer that keeps receipts, transactions and matches under `folder` up to date with a stream of both sides (side:
     receipt or transaction, and the columns of both). Start it with a checkpoint location and a trigger.
 

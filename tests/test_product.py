@@ -1,10 +1,11 @@
 import datetime
+from dataclasses import asdict
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.config import MatchingConfig, configurations
+from tallyspark.config import MatchingConfig, configurations, with_rules
 from tallyspark.functions.money import fixed2
 from tallyspark.operators import backup, billing
 from tallyspark.operators.ingest import ingest_receipts
@@ -46,7 +47,11 @@ def test_stored_configurations(spark):
     with pytest.raises(ValueError):
         c.merged({"thresholds": {"auto": 10}})
     rows = spark.createDataFrame([(1, text), (2, None), (3, "{")], "org long, matching_config string")
-    assert configurations(rows)[1] == c and configurations(rows)[2] == configurations(rows)[3] == MatchingConfig()
+    found = {r.org: r.cfg.asDict(recursive=True) for r in configurations(rows).collect()}
+    assert found[1] == asdict(c) and found[2] == found[3] == asdict(MatchingConfig())
+    ruled, own = with_rules(spark.createDataFrame([(1,), (2,), (9,)], "org long"), rows)
+    values = ruled.select("org", own.date.max_after.alias("after"), own.max_candidates.alias("cap"), own.weights.amount.alias("w")).collect()
+    assert sorted(map(tuple, values)) == [(1, 9, 7, 0.1), (2, 5, 50, 0.4), (9, 5, 50, 0.4)]
 
 
 def test_export_is_written_in_order(spark, tmp_path):
