@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tallyspark.config import Config, MatchingConfig
-from tallyspark.operators.actions import matching_run
+from tallyspark.operators.incremental import PAIRS, incremental_run, status_of_pair
+from tallyspark.operators.runs import OPEN
 
 
 def replace_by_key(table: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -23,14 +24,6 @@ def replace_by_key(table: DataFrame, batch: DataFrame, keys: list[str], order: s
     return table.join(once.select(*keys), keys, "left_anti").unionByName(once, allowMissingColumns=True)
 
 
-def rematch(receipts: DataFrame, transactions: DataFrame, matches: DataFrame, changed: DataFrame, config: Config = MatchingConfig(), similarity=None) -> DataFrame:
-    """Matches after a run over the unlocked receipts of the organizations in `changed` (org); others' stay as they are."""
-    orgs = F.broadcast(changed.select("org").distinct())  # one row an organization
-    here = lambda df, how: df.join(orgs, "org", how)
-    found = matching_run(here(receipts, "left_semi"), here(transactions, "left_semi"), here(matches, "left_semi"), config, similarity)["matches"]
-    return here(matches, "left_anti").unionByName(found.select(matches.columns))
-
-
 class Version:
     """A table of Parquet versions under a folder; version n is the state after batch n - 1."""
 
@@ -55,17 +48,24 @@ def match_stream(stream: DataFrame, folder: str, config: Config = MatchingConfig
     """A writer that keeps receipts, transactions and matches under `folder` up to date with a stream of both sides (side:
     receipt or transaction, and the columns of both). Start it with a checkpoint location and a trigger.
 
-    Each batch replaces its rows by (org, id), so one that comes again changes nothing, and matches the unlocked
-    receipts of its organizations again.
+    Each batch replaces its rows by (org, id), so one that comes again changes nothing, and scores the unlocked receipts
+    again that its rows, or transactions locked since the last batch, can meet; `pairs` keeps the run's pairs for the next.
     """
     spark = stream.sparkSession
-    tables = {name: Version(spark, f"{folder}/{name}", schema) for name, schema in (("receipts", RECEIPTS), ("transactions", TRANSACTIONS), ("matches", MATCHES))}
+    tables = {name: Version(spark, f"{folder}/{name}", schema) for name, schema in (("receipts", RECEIPTS), ("transactions", TRANSACTIONS), ("matches", MATCHES), ("pairs", PAIRS))}
 
     def run(batch: DataFrame, number: int) -> None:
         for side, name in (("receipt", "receipts"), ("transaction", "transactions")):
             table = tables[name].read(number)
             tables[name].write(number, replace_by_key(table, batch.where(F.col("side") == side).select(table.columns), ["org", "id"], "created_at"))
-        after = {name: tables[name].read(number + 1) for name in ("receipts", "transactions")}
-        tables["matches"].write(number, rematch(after["receipts"], after["transactions"], tables["matches"].read(number), batch.select("org"), config, similarity))
+        before, after = ({name: tables[name].read(at) for name in ("receipts", "transactions")} for at in (number, number + 1))
+        matches = tables["matches"].read(number)
+        found = incremental_run(before, after, batch.select("side", "org", "id"), tables["pairs"].read(number), matches, config, similarity)
+        tables["pairs"].write(number, found)
+        # open rows of receipts that are locked stay as they were, all others are the run's
+        locked = matches.where("status in ('confirmed', 'auto')").select("org", "r_id").distinct()
+        is_open = F.col("status").isin(*OPEN)
+        stays = matches.where(~is_open).unionByName(matches.where(is_open).join(locked, ["org", "r_id"], "left_semi").select(matches.columns))
+        tables["matches"].write(number, stays.unionByName(tables["pairs"].read(number + 1).withColumn("status", status_of_pair()).select(matches.columns)))
 
     return stream.writeStream.foreachBatch(run)
