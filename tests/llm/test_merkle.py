@@ -77,7 +77,7 @@ def made(n, langs):
     return [(i, f"text {i} é", langs[i % len(langs)], f"s{i % 3}", 7 * i) for i in range(n)]
 
 
-@pytest.mark.parametrize("bits", [2, 3, 12])
+@pytest.mark.parametrize("bits", [2, 12])
 def test_against_brute_force(spark, bits):
     odd = [(None, None, None, None, None), (None, "no id", "en", "", 3), (-5, "", "", "s", 0), (10**15, "long " * 20_000, "zz", None, None), (7, "same id", "en", "s", 1), (7, "same id", "en", "s", 1), (7, "other text", "en", "s", 1)]
     rows = made(101, ["en", "en", "en", "de"]) + odd + [(200, "max", "en", "s", 2**63 - 1)]
@@ -85,7 +85,7 @@ def test_against_brute_force(spark, bits):
     assert digests(frame.repartition(5), bits) == brute(rows)
 
 
-@pytest.mark.parametrize("n", [1, 2, 4, 5, 16, 17])
+@pytest.mark.parametrize("n", [1, 4, 17])
 def test_heights_at_the_edge_of_a_pass(spark, n):
     rows = made(n, ["en"])
     assert digests(spark.createDataFrame(rows, SCHEMA), 2) == brute(rows)
