@@ -6,13 +6,15 @@ Audit rows: org, actor, action, entity_type, entity_id (text), detail.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.config import Config, MatchingConfig
 from tallyspark.functions.money import number_text
 from tallyspark.functions.tables import SYSTEM_CATEGORIES
+from tallyspark.functions.text import normalize_merchant
 from tallyspark.operators import runs
+from tallyspark.operators.assign import duplicate_edges
 from tallyspark.session import cut
 from tallyspark.operators.lists import IN_PROGRESS
 from tallyspark.operators.reads import OFFERED
@@ -141,13 +143,65 @@ def delete_receipts(tables: dict[str, DataFrame], ids: DataFrame, actor: str) ->
     return out | {"files": owned.select("org", "file") if "file" in owned.columns else owned.select("org", "id"), "audit": audit_rows(owned, "receipt.deleted", "receipt", F.col("id"), None, actor)}
 
 
-def edit_receipts(receipts: DataFrame, edits: DataFrame, actor: str, fields: tuple[str, ...] = ("merchant", "date", "total", "currency", "payment")) -> dict[str, DataFrame]:
-    """Receipts after edits by hand (org, id, some of the fields; null: untouched), with the trail and the ids to match again."""
-    given = [f for f in fields if f in edits.columns]
-    new = edits.select("org", "id", *(F.col(f).alias(f"_{f}") for f in given))
-    joined = receipts.join(new, ["org", "id"], "left")
-    touched = F.array_compact(F.array(*(F.when(F.col(f"_{f}").isNotNull(), F.lit(f)) for f in given)))
-    out = joined.withColumn("_touched", touched).withColumns({f: F.coalesce(f"_{f}", f) for f in given}).withColumn("edited_by_user", F.size("_touched") > 0).drop(*(f"_{f}" for f in given))
-    changed = out.where("edited_by_user")
+#: Fields of a receipt that are edited by hand.
+FIELDS = ("merchant", "date", "total", "subtotal", "tax", "currency", "invoice", "payment")
+
+
+def edit_receipts(receipts: DataFrame, edits: DataFrame, actor: str, fields: tuple[str, ...] = FIELDS, transactions: DataFrame | None = None, matches: DataFrame | None = None, config: Config = MatchingConfig(), similarity=None) -> dict[str, DataFrame]:
+    """Receipts after edits by hand, as the product has them: receipts, audit, rematch (org, id), and with `transactions`
+    and `matches` the matches after a run over those.
+
+    An edit (org, id; one a receipt) has some of the fields and category, null where untouched, `cleared`, the names of
+    fields that are emptied, `is_duplicate`, and `rematch`. A merchant is given as it is read: its key is rebuilt, and
+    merchant_raw kept where there is one. A flag that is lowered takes duplicate_of along and is told in the trail.
+    Receipts of which a field was touched have edited_by_user; where the edit says nothing of the flag they are compared
+    with the earlier receipts of their organization again, and they are matched again unless rematch is false.
+    """
+    given = [f for f in fields if f in edits.columns and f in receipts.columns]
+    flags = [c for c in ("category", "is_duplicate", "rematch", "cleared") if c in edits.columns]
+    emptied = F.coalesce(F.col("_cleared"), F.array().cast("array<string>")) if "cleared" in flags else F.array().cast("array<string>")
+    new = edits.select("org", "id", *(F.col(f).alias(f"_{f}") for f in (*given, *flags)), F.lit(True).alias("_hit"))
+    known = [f for f in fields if f in receipts.columns]
+    clears = {f: F.array_contains(emptied, f) for f in known}
+    touched = F.array_compact(F.array(*(F.when(clears[f] | (F.col(f"_{f}").isNotNull() if f in given else F.lit(False)), F.lit(f)) for f in known)))
+    out = receipts.join(new, ["org", "id"], "left").withColumn("_touched", touched)
+    raw = F.col("_merchant") if "merchant" in given else F.lit(None).cast("string")
+    values = {f: F.when(clears[f], F.lit(None)).otherwise(F.coalesce(f"_{f}", f) if f in given else F.col(f)) for f in known}
+    if "merchant" in known:
+        key = F.nullif(normalize_merchant(raw), F.lit(""))
+        values["merchant"] = F.when(clears["merchant"], F.lit(None)).when(raw.isNotNull(), key).otherwise(F.col("merchant"))
+        if "merchant_raw" in receipts.columns:
+            values["merchant_raw"] = F.when(clears["merchant"], F.lit(None)).otherwise(F.coalesce(raw, "merchant_raw"))
+    if "category" in flags:
+        values["category"] = F.coalesce("_category", "category")
+    if "is_duplicate" in flags:
+        values["is_duplicate"] = F.coalesce("_is_duplicate", "is_duplicate")
+        if "duplicate_of" in receipts.columns:
+            values["duplicate_of"] = F.when(~F.coalesce("_is_duplicate", F.lit(True)), F.lit(None)).otherwise(F.col("duplicate_of"))
+    said = F.col("_is_duplicate") if "is_duplicate" in flags else F.lit(None).cast("boolean")
+    wanted = F.coalesce("_rematch", F.lit(True)) if "rematch" in flags else F.lit(True)
+    out = out.withColumns(values | {"edited_by_user": F.size("_touched") > 0, "_said": said, "_again": wanted})
+    keep = [*receipts.columns, *(["edited_by_user"] if "edited_by_user" not in receipts.columns else [])]
+    out = cut(out.select(*keep, "_touched", "_said", "_again", F.coalesce("_hit", F.lit(False)).alias("_hit")))
+    changed = out.where("_hit and edited_by_user")
     detail = F.concat(F.lit("edited "), F.array_join("_touched", ", "))
-    return {"receipts": out.drop("_touched"), "audit": audit_rows(changed, "receipt.edited", "receipt", F.col("id"), detail, actor), "rematch": changed.select("org", "id")}
+    audit = audit_rows(changed, "receipt.edited", "receipt", F.col("id"), detail, actor).unionByName(audit_rows(out.where("_hit and not _said"), "receipt.duplicate_cleared", "receipt", F.col("id"), None, actor))
+
+    compared = ("checksum", "merchant", "date", "total", "invoice", "created_at")
+    if {"is_duplicate", "duplicate_of", *compared} <= set(receipts.columns):
+        open_ = changed.where("_said is null").select("org", "id")
+        candidates = out.where("not is_duplicate or (edited_by_user and _said is null)").select("org", "id", *compared)
+        first = Window.partitionBy("org", "id").orderBy("rule", "original")
+        plain = out.where("not is_duplicate").select("org", F.col("id").alias("original"))
+        edges = duplicate_edges(candidates, config).join(open_, ["org", "id"], "left_semi").join(plain, ["org", "original"], "left_semi")
+        found = edges.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("org", "id", F.col("original").alias("_original"))
+        out = out.join(found, ["org", "id"], "left").withColumn("is_duplicate", F.col("is_duplicate") | F.col("_original").isNotNull()).withColumn("duplicate_of", F.coalesce("_original", "duplicate_of"))
+    again = changed.where("_again").select("org", "id")
+    edited = out.select(keep)
+    done = {"receipts": edited, "audit": audit, "rematch": again}
+    if transactions is not None and matches is not None:
+        run = matching_run(edited.join(again, ["org", "id"], "left_semi"), transactions, matches, config, similarity)
+        states = run["receipts"].where("not is_duplicate").select("org", "id", F.col("status").alias("_ended"))
+        done["receipts"] = edited.join(states, ["org", "id"], "left").withColumn("status", F.coalesce("_ended", "status")).select(keep)
+        done |= {"matches": run["matches"], "audit": audit.unionByName(run["audit"])}
+    return done

@@ -228,16 +228,22 @@ def line_items(receipts: DataFrame) -> DataFrame:
 
 
 def recomputed(extraction: DataFrame, edits: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """Extractions (org, r_id, the fields, confidence) after edits by hand (org, r_id, some of the fields): an edited field
-    is certain, the overall confidence follows, and edited_by_user is set. Null fields of an edit are untouched."""
+    """Extractions (org, r_id, the fields, confidence) after edits by hand (org, r_id, some of the fields, and cleared, the
+    names of fields that are emptied): an edited field is certain, the overall confidence follows (an empty field
+    counts 0, one without confidence a half), and edited_by_user is set. Null fields of an edit are untouched."""
     given = [f for f in fields if f in edits.columns]
-    new = edits.select("org", "r_id", *(F.col(f).alias(f"_{f}") for f in given))
+    emptied = ["cleared"] if "cleared" in edits.columns else []
+    new = edits.select("org", "r_id", *(F.col(f).alias(f"_{f}") for f in (*given, *emptied)))
     joined = extraction.join(new, ["org", "r_id"], "left")
-    touched = {f: F.col(f"_{f}").isNotNull() for f in given}
-    certain = F.struct(*((F.when(touched[f], 1.0).otherwise(F.col("confidence")[f]) if f in touched else F.col("confidence")[f]).alias(f) for f in fields))
+    clears = {f: F.coalesce(F.array_contains("_cleared", f), F.lit(False)) if emptied else F.lit(False) for f in fields}
+    touched = {f: clears[f] | F.col(f"_{f}").isNotNull() if f in given else clears[f] for f in fields}
+    certain = F.struct(*(F.when(touched[f], 1.0).otherwise(F.col("confidence")[f]).alias(f) for f in fields))
     any_touched = F.lit(False)
     for t in touched.values():
         any_touched = any_touched | t
-    out = joined.withColumn("confidence", certain).withColumn("edited_by_user", any_touched)
-    out = out.withColumns({f: F.coalesce(f"_{f}", f) for f in given}).withColumn("overall", F.when(F.col("edited_by_user"), overall_confidence(F.col("confidence"))).otherwise(F.col("overall")))
-    return out.drop(*(f"_{f}" for f in given))
+    values = {f: F.when(clears[f], F.lit(None)).otherwise(F.coalesce(f"_{f}", f) if f in given else F.col(f)) for f in fields}
+    out = joined.withColumns({"confidence": certain, "edited_by_user": any_touched} | values)
+    present = lambda f: F.col(f).isNotNull() & (F.col(f).cast("string") != "")
+    sure = F.struct(*(F.when(present(f), F.coalesce(F.col("confidence")[f], F.lit(0.5))).alias(f) for f in ("total", "date", "merchant", "currency")))
+    out = out.withColumn("overall", F.when(F.col("edited_by_user"), overall_confidence(sure)).otherwise(F.col("overall")))
+    return out.drop(*(f"_{f}" for f in (*given, *emptied)))

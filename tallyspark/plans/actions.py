@@ -68,15 +68,21 @@ def delete_receipts_cascade(spark, sf_dir):
     return named("receipts", out["receipts"], F.col("id")).unionByName(m).unionByName(named("files", out["files"], F.col("id"))).unionByName(trail)
 
 
-@query(sql("receipts") + """ SELECT org, id, CASE WHEN id % 20 = 3 THEN 12.5 ELSE total END AS total, CASE WHEN id % 40 = 3 THEN 'CHF' ELSE currency END AS currency, id % 20 = 3 AS edited,
-    CASE WHEN id % 40 = 3 THEN 'edited total, currency' WHEN id % 20 = 3 THEN 'edited total' END AS detail FROM receipts""")
+@query(sql("receipts") + """, edited AS (SELECT org, id, id % 20 = 3 AS touched, CASE WHEN id % 20 = 3 THEN 12.5 ELSE total END AS total, CASE WHEN id % 40 = 3 THEN 'CHF' WHEN id % 40 = 23 THEN NULL ELSE currency END AS currency,
+      CASE WHEN id % 20 = 3 THEN 'skoda auto' ELSE payment END AS merchant, is_duplicate AND id % 20 <> 7 AS is_duplicate, is_duplicate AS was FROM receipts)
+    SELECT org, id, total, currency, merchant, is_duplicate, touched AS edited, CASE WHEN touched THEN 'edited merchant, total, currency' END AS detail, id % 20 = 7 AS lowered FROM edited""")
 def edit_receipts_effect(spark, sf_dir):
-    """Receipts after edits by hand, with what the trail says of each."""
-    rows = receipts(spark, sf_dir)
-    edits = rows.where("id % 20 = 3").select("org", "id", F.lit(12.5).alias("total"), F.when(F.col("id") % 40 == 3, "CHF").alias("currency"))
-    out = actions.edit_receipts(rows, edits, "ann")
-    trail = out["audit"].select(F.col("entity_id").cast("long").alias("id"), "detail")
-    return out["receipts"].join(trail, "id", "left").select("org", "id", "total", "currency", F.col("edited_by_user").alias("edited"), "detail")
+    """Receipts after edits by hand, values, emptied fields, rebuilt keys and lowered flags, with what the trail says of each."""
+    rows = receipts(spark, sf_dir).select("org", "id", "total", "currency", F.col("payment").alias("merchant"), "is_duplicate")
+    k = F.col("id") % 40
+    hand = rows.where("id % 20 in (3, 7)").select(
+        "org", "id", F.when(k % 20 == 3, 12.5).alias("total"), F.when(k == 3, "CHF").alias("currency"), F.when(k % 20 == 3, "POS ŠKODA AUTO 2391").alias("merchant"),
+        F.when(k == 23, F.array(F.lit("currency"))).alias("cleared"), F.when(k % 20 == 7, False).alias("is_duplicate"),
+    )
+    out = actions.edit_receipts(rows, hand, "ann")
+    said = out["audit"].groupBy(F.col("entity_id").cast("long").alias("id")).agg(F.max("detail").alias("detail"), F.bool_or(F.col("action") == "receipt.duplicate_cleared").alias("lowered"))
+    joined = out["receipts"].join(said, "id", "left")
+    return joined.select("org", "id", "total", "currency", "merchant", "is_duplicate", F.col("edited_by_user").alias("edited"), "detail", F.coalesce("lowered", F.lit(False)).alias("lowered"))
 
 
 @query(sql("receipts") + " SELECT org, id, CASE WHEN id % 3 = 0 AND status = 'processing' THEN 'failed' ELSE status END AS status, CASE WHEN id % 3 = 0 AND status = 'processing' THEN 'processing_failed' END AS failure_code FROM receipts")
