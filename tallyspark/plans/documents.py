@@ -190,19 +190,21 @@ def extracted_references(spark, sf_dir):
 _KIND = "CASE id % 6 WHEN 0 THEN 'exact' WHEN 1 THEN 'later' WHEN 2 THEN 'more' WHEN 3 THEN 'receipt_only' WHEN 4 THEN 'duplicate' ELSE 'bank_only' END"
 
 
-@query(f"""WITH e AS (SELECT CAST(range AS BIGINT) AS id, {_KIND.replace('id %', 'range %')} AS kind FROM range(60)) SELECT id, kind, CASE kind WHEN 'duplicate' THEN 'needs_review' WHEN 'receipt_only' THEN 'unmatched' ELSE 'completed' END AS status,
+@query(f"""WITH e AS (SELECT c_custkey // 60 AS org, c_custkey % 60 AS id, {_KIND.replace('id %', '(c_custkey % 60) %')} AS kind FROM customer) SELECT org, id, kind, CASE kind WHEN 'duplicate' THEN 'needs_review' WHEN 'receipt_only' THEN 'unmatched' ELSE 'completed' END AS status,
     kind = 'duplicate' AS is_duplicate, CASE kind WHEN 'duplicate' THEN id - 1 END AS duplicate_of, CASE WHEN kind IN ('exact', 'later', 'more') THEN 'auto' END AS matched FROM e WHERE kind <> 'bank_only'""")
 def ingested_documents(spark, sf_dir):
-    """PDF receipts and a statement from file to match: extraction, merchants, repeats, scores, assignment, states."""
-    found = demo.entries(spark, 60)
+    """PDF receipts and statements from file to match, sixty customers an organization: extraction, merchants, repeats,
+    scores, assignment, states. All statements are called alike."""
+    k = F.col("c_custkey")
+    found = demo.described(table(spark, sf_dir, "customer").select(F.expr("c_custkey div 60").alias("org"), (k % 60).alias("id")))
     none = lambda schema: spark.createDataFrame([], schema)
-    names = spark.createDataFrame([(1, "Food"), (1, "Software")], "org long, name string")
+    names = found.select("org").distinct().select("org", F.explode(F.array(F.lit("Food"), F.lit("Software"))).alias("name"))
     bank = statements.commit_imports(demo.statement(found), none("org long, checksum string"), none("org long, fingerprint string"), none("org long, account_name string"), names)
     t = bank["transactions"].select("org", F.col("row_number").cast("long").alias("id"), F.col("merchant_norm").alias("merchant"), "date", "amount", "currency", F.col("payment_method").alias("payment"))
     earlier = none("org long, id long, checksum string, merchant string, date date, total double, currency string, payment string, invoice string, category string, is_duplicate boolean, duplicate_of long, status string, created_at timestamp_ntz, overall double")
     out = ingest_receipts(demo.receipts(found), earlier, cut(t), none("org long, r_id long, t_id long, score double, status string"), none("org long, merchant_id string, name string, normalized string"), names, similarity=with_similarity)
-    best = out["matches"].where("status in ('auto', 'suggested')").select(F.col("r_id").alias("id"), F.col("status").alias("matched"))
-    return out["receipts"].join(found.select("id", "kind"), "id").join(best, "id", "left").select("id", "kind", "status", "is_duplicate", "duplicate_of", "matched")
+    best = out["matches"].where("status in ('auto', 'suggested')").select("org", F.col("r_id").alias("id"), F.col("status").alias("matched"))
+    return out["receipts"].join(found.select("org", "id", "kind"), ["org", "id"]).join(best, ["org", "id"], "left").select("org", "id", "kind", "status", "is_duplicate", "duplicate_of", "matched")
 
 
 # reasons

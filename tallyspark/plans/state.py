@@ -69,10 +69,10 @@ def queue_prune(spark, sf_dir):
     return runs.prune(jobs(spark, sf_dir), NOW).select("id", "status")
 
 
-@query("SELECT CAST(range AS BIGINT) AS attempt, least(10.0::DOUBLE * pow(2.0::DOUBLE, range - 1), 600.0::DOUBLE) AS seconds FROM range(1, 13)")
+@query("SELECT event_id AS id, least(10.0::DOUBLE * pow(2.0::DOUBLE, event_id % 6), 600.0::DOUBLE) AS seconds FROM events")
 def backoff_schedule(spark, sf_dir):
-    """Seconds before each attempt."""
-    return spark.range(1, 13).select(F.col("id").alias("attempt"), backoff_seconds(F.col("id")).alias("seconds"))
+    """Seconds that each job waits before its next attempt."""
+    return jobs(spark, sf_dir).select("id", backoff_seconds(F.col("attempts") + 1).alias("seconds"))
 
 
 @query("""WITH RECURSIVE hits AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS moment FROM events),

@@ -145,12 +145,24 @@ def merchant_similarity(spark, sf_dir):
     return pairs.select("id", ppm("jaro_winkler"), ppm("merchant"))
 
 
-@query("SELECT * FROM (VALUES ('aws', 90), ('ibm', 90), ('mono mark', 89), ('ntflx', 90)) t(short, likeness)")
+#: Part names with a short form each: initials, the words' first three letters, or all consonants.
+SHORT = """WITH pairs AS (SELECT p_partkey AS id, p_name AS a, CASE p_partkey % 3 WHEN 0 THEN left(split_part(p_name, ' ', 1), 1) || left(split_part(p_name, ' ', 2), 1)
+    WHEN 1 THEN left(split_part(p_name, ' ', 1), 3) || ' ' || left(split_part(p_name, ' ', 2), 3) ELSE regexp_replace(p_name, '[aeiou ]', '', 'g') END AS b FROM part),
+  np AS (SELECT DISTINCT a, b FROM pairs)"""
+#: What each rule gives, 0 where it doesn't fire.
+LIKENESS = """, ruled AS (SELECT a, b, sim, string_split(a, ' ') AS w, string_split(b, ' ') AS v, regexp_replace(a, '[aeiou ]', '', 'g') AS x, regexp_replace(b, '[aeiou ]', '', 'g') AS y FROM sims),
+  likely AS (SELECT a, b, greatest(sim, CASE WHEN len(v) = 2 AND starts_with(w[1], v[1]) AND starts_with(w[2], v[2]) THEN 0.8::DOUBLE + 0.15::DOUBLE * (length(v[1])::DOUBLE / length(w[1]) + length(v[2])::DOUBLE / length(w[2])) / 2 ELSE 0 END,
+    CASE WHEN replace(b, ' ', '') = left(w[1], 1) || left(w[2], 1) THEN 0.9::DOUBLE ELSE 0 END, CASE WHEN length(y) >= 3 AND starts_with(x, y) THEN 0.75::DOUBLE + 0.15::DOUBLE * length(y)::DOUBLE / length(x) ELSE 0 END) AS best FROM ruled)"""
+
+
+@query(SHORT + f", {SIMS}" + LIKENESS + " SELECT id, b AS short, CAST(floor(least(1.0::DOUBLE, floor(best * 100 + 0.5) / 100) * 100 + 0.5) AS INTEGER) AS likeness FROM pairs JOIN likely USING (a, b)")
 def semantic_similarity(spark, sf_dir):
-    """How alike shop names and short forms of them are, in hundredths."""
-    rows = spark.createDataFrame([("amazon web services", "aws"), ("international business machines", "ibm"), ("monoprix market", "mono mark"), ("netflix", "ntflx")], "a string, b string")
-    found = sim.add_similarity(rows, "a", "b", "likeness", sim.semantic_similarity_column)
-    return found.select(F.col("b").alias("short"), F.floor(F.col("likeness") * 100 + F.lit(0.5)).cast("int").alias("likeness"))
+    """How alike part names and short forms of them are, in hundredths: initials, prefixes and skeletons."""
+    name, k = F.col("p_name"), F.col("p_partkey")
+    word = lambda i, n: F.substring(F.split_part(name, F.lit(" "), F.lit(i)), 1, n)
+    form = F.when(k % 3 == 0, F.concat(word(1, 1), word(2, 1))).when(k % 3 == 1, F.concat(word(1, 3), F.lit(" "), word(2, 3))).otherwise(F.regexp_replace(name, "[aeiou ]", ""))
+    found = sim.add_similarity(table(spark, sf_dir, "part").select(k.alias("id"), name.alias("a"), form.alias("b")), "a", "b", "likeness", sim.semantic_similarity_column)
+    return found.select("id", F.col("b").alias("short"), F.floor(F.col("likeness") * 100 + F.lit(0.5)).cast("int").alias("likeness"))
 
 
 AMOUNTS = """WITH cents AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS c FROM orders),

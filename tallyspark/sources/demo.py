@@ -15,13 +15,18 @@ KINDS = ("exact", "later", "more", "receipt_only", "duplicate", "bank_only")
 
 
 def entries(spark: SparkSession, count: int, org: int = 1) -> DataFrame:
-    """(org, id, kind, merchant, cents, date) of `count` entries; a repeated receipt has what the one before it has."""
+    """`described` entries, `count` of one organization."""
+    return described(spark.range(count).select(F.lit(org).cast("long").alias("org"), "id"))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """(org, id, kind, merchant, cents, date) for rows (org, id); a repeated receipt has what the one before it has."""
     k = F.col("id")
     kind = F.element_at(F.array(*(F.lit(x) for x in KINDS)), (k % len(KINDS) + 1).cast("int"))
     of = F.when(kind == "duplicate", k - 1).otherwise(k)
     name = F.element_at(F.array(*(F.lit(m) for m in MERCHANTS)), (of % len(MERCHANTS) + 1).cast("int"))
     day = F.date_add(F.lit("2026-01-05").cast("date"), (of * 9).cast("int"))
-    return spark.range(count).select(F.lit(org).cast("long").alias("org"), k.alias("id"), kind.alias("kind"), name.alias("merchant"), (of * 735 + 1990).alias("cents"), day.alias("date"))
+    return rows.select("org", k.alias("id"), kind.alias("kind"), name.alias("merchant"), (of * 735 + 1990).alias("cents"), day.alias("date"))
 
 
 def _money(cents) -> str:
