@@ -246,14 +246,14 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
 
 
 def _batch_keys(order: int):
-    """(batch, word, key, n): each batch's distinct words and grams with their counts in its training texts."""
+    """(word, key, packed): each batch's distinct words and grams, packed being the batch << 32 and their count in its
+    training texts."""
 
     def rows(number: int, word: bool, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(keys), 50_000):
             s = slice(i, i + 50_000)
-            size = len(keys[s])
-            columns = [np.full(size, number, np.int32), np.full(size, word), keys[s], n[s].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["batch", "word", "key", "n"])
+            columns = [np.full(len(keys[s]), word), keys[s], (np.int64(number) << 32) | n[s].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["word", "key", "packed"])
 
     def out(number: int, held: dict[bool, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
         for word, parts in held.items():
@@ -343,12 +343,13 @@ def score_documents(docs: DataFrame, train: str = "crc32(cast(doc_id as string))
     batches = max(1, -(-size.docs // BATCH_DOCS), -(-size.bytes // BATCH_BYTES))
     # by the row's number, which a table's rows have again whenever it is read: null and repeated ids are spread like others
     dealt = texts.withColumn("batch", F.expr(f"cast(pmod(xxhash64(doc_id, monotonically_increasing_id()), {batches}) as int)")).repartition(n, "batch")
-    asked = dealt.sortWithinPartitions("batch").mapInArrow(_batch_keys(order), "batch int, word boolean, key long, n long").repartition(n, "word", "key")
-    summed = asked.groupBy("word", "key").agg(F.sum("n").alias("n"))
-    words = summed.where("word")
-    grams = summed.where("not word").select("key", "n").repartition(n, F.shiftright("key", 8 * (order - 2))).sortWithinPartitions("key")
+    asked = dealt.sortWithinPartitions("batch").mapInArrow(_batch_keys(order), "word boolean, key long, packed long").repartition(n, "word", "key")
+    # all that reads this shuffle needs all of its columns, and filters on a maximum, which can't go below it: one shuffle
+    summed = asked.groupBy("word", "key").agg(F.sum(F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF))).alias("n"), F.max("word").alias("is_word"))
+    words = summed.where("is_word")
+    grams = summed.where("not is_word").select("key", "n").repartition(n, F.shiftright("key", 8 * (order - 2))).sortWithinPartitions("key")
     values = words.select("word", "key", F.col("n").cast("double").alias("value")).union(grams.mapInArrow(_learn(low, order), "word boolean, key long, value double"))
-    answers = asked.join(values, ["word", "key"]).select("batch", "word", "key", "value")
+    answers = asked.join(values, ["word", "key"]).select(F.shiftright("packed", 32).cast("int").alias("batch"), "word", "key", "value")
     scored = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
         lambda left, right: _score_batch(order)(left, right), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
     )
