@@ -81,3 +81,64 @@ def _urls() -> str:
 
 
 ORACLES = {"op3_quality_rules": QUALITY, "op4_secrets": _secrets(), "op9_jaccard_join": JACCARD, "op10_url_filter": _urls()}
+
+
+#: CRC-32 (unsigned) of an ASCII text, byte by byte through the table of its polynomial.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL over a relation with `crc_table`."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _encoded(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}, '-')"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes (tree, level, pos, digest, n) of `leaves` (tree, pos, digest, n): two nodes of a level make one of the next."""
+    return f"""{name} AS (SELECT tree, 0 AS level, pos, digest, n FROM {leaves} UNION ALL
+      SELECT tree, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 2, n)"""
+
+
+def _path(leaves: str, tree: str) -> str:
+    """(tree, pos, path) of `leaves`: L or R and the sibling on each level, an empty text where a node is alone."""
+    return f"""(SELECT l.tree, l.pos, coalesce(list(coalesce(CASE WHEN (l.pos >> k.level) & 1 = 1 THEN 'L' ELSE 'R' END || s.digest, '') ORDER BY k.level) FILTER (k.level IS NOT NULL), []) AS path FROM {leaves} l
+      LEFT JOIN (SELECT DISTINCT tree, level FROM {tree} WHERE n > 1) k ON k.tree IS NOT DISTINCT FROM l.tree
+      LEFT JOIN {tree} s ON s.tree IS NOT DISTINCT FROM l.tree AND s.level = k.level AND s.pos = xor(l.pos >> k.level, 1) GROUP BY l.tree, l.pos)"""
+
+
+ORACLES["op13_merkle_manifest"] = f"""WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS crc_table),
+  rows_ AS (SELECT doc_id, lang AS tree, sha256({_encoded('doc_id')} || {_encoded('source')} || {_encoded('lang')} || {_encoded('n_chars')} || {_encoded('text')}) AS digest,
+    CASE WHEN {crc32_sql('doc_id::VARCHAR')} % 7 = 0 THEN sha256({_encoded('doc_id')} || {_encoded('source')} || {_encoded('lang')} || {_encoded('(n_chars + 1)')} || {_encoded('text')}) END AS tampered FROM documents, crc),
+  leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM rows_),
+  {_tree('nodes', 'leaves')},
+  tops AS (SELECT '' AS tree, tree AS lang, digest, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+  {_tree('top_nodes', 'tops')},
+  proved AS (SELECT l.doc_id, l.digest AS leaf, coalesce(l.tampered, l.digest) AS start, t.digest AS subroot, r.digest AS root, list_concat(p.path, q.path) AS path FROM leaves l
+    JOIN {_path('leaves', 'nodes')} p ON p.tree IS NOT DISTINCT FROM l.tree AND p.pos = l.pos
+    JOIN tops t ON t.lang IS NOT DISTINCT FROM l.tree JOIN {_path('tops', 'top_nodes')} q ON q.pos = t.pos CROSS JOIN (SELECT digest FROM top_nodes WHERE n = 1) r),
+  folded AS (SELECT *, list_reduce(list_prepend(start, path), lambda d, s: CASE WHEN s = '' THEN sha256(d) WHEN s[1] = 'L' THEN sha256(s[2:] || d) ELSE sha256(d || s[2:]) END) AS folded_root FROM proved)
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded"""
+
+#: Inserts are left out: whatever has one is cheaper with its neighbour deleted (2 and, for an opening left alone, 2 more, against 5).
+ORACLES["op11_conversation_repair"] = f"""WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS crc_table),
+  given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS harm FROM conversations, crc),
+  damaged AS (SELECT conv_id, turn, CASE harm WHEN 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM given, range(2) c(copy) WHERE harm <> 0 AND (harm = 3 OR copy = 0)),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen FROM damaged),
+  judged AS (SELECT *, seen = '' AS blank, seen <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(seen, 1) NOT IN ('.', '!', '?') AS short,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two FROM placed),
+  faults AS (SELECT *, short AND NOT blank AND NOT again AS cut_short FROM judged),
+  counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (cut_short) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faults GROUP BY conv_id),
+  walked AS (SELECT conv_id, 0::BIGINT AS i, '' AS state, '000000000' AS best, '' AS said FROM counted UNION ALL
+    SELECT conv_id, i, state, min(best), arg_min(said, best) FROM (SELECT w.conv_id, w.i + 1 AS i,
+        CASE letter WHEN 'D' THEN w.state WHEN 'K' THEN left(r.role, 1) WHEN 'R' THEN CASE w.state WHEN 'u' THEN 'a' ELSE 'u' END END AS state,
+        lpad((w.best[:9]::INTEGER + CASE letter WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN letter <> 'D' AND r.cut_short THEN 5 ELSE 0 END)::VARCHAR, 9, '0') || w.best[10:] || letter AS best,
+        CASE letter WHEN 'D' THEN w.said ELSE w.said || CASE w.state WHEN '' THEN '' ELSE chr(10) END || CASE WHEN letter = 'K' THEN r.role WHEN w.state = 'u' THEN 'assistant' ELSE 'user' END || ':' || r.text END AS said
+      FROM walked w JOIN faults r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1, (VALUES ('D'), ('K'), ('R')) e(letter)
+      WHERE letter = 'D' OR (NOT r.blank AND NOT r.again AND (letter = 'R' OR left(r.role, 1) = CASE w.state WHEN 'u' THEN 'a' ELSE 'u' END OR (left(r.role, 1) = 's' AND w.state = '')))) GROUP BY conv_id, i, state),
+  ends AS (SELECT w.conv_id, min(best) AS best, arg_min(said, best) AS said FROM walked w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = c.n WHERE state IN ('', 'a') GROUP BY w.conv_id),
+  every AS (SELECT DISTINCT conv_id FROM conversations)
+  SELECT v.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.best[:9]::BIGINT, 0) AS cost, coalesce(e.best[10:], '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+  FROM every v LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM v.conv_id"""
