@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.operators import lists
+from tallyspark.operators import lists, search
 from tallyspark.plans.adapted import NAMED, SAID
 from tallyspark.plans.matching import CAPPED, SCORED
 from tallyspark.plans.registry import query
+from tallyspark.session import shared_folder
 from tallyspark.sources import adapters
 from tallyspark.sources.adapters import accounts, audit, categories, imports, matches, receipts, sql, transactions
 
@@ -66,6 +68,21 @@ def match_search_page(spark, sf_dir):
     return found.select("r_id", "t_id", "score", "merchant_raw", "description", "total_rows")
 
 
+#: Terms that are searched by postings: plain, in capitals, with wildcards, and one too short for a posting.
+TERMS = ("market", "UBER", "star%cks", "b_e bottle", "aa")
+
+
+@query(sql("transactions") + SAID + " SELECT term, t.id FROM transactions t JOIN said ON t_id = t.id, (VALUES " + ", ".join(f"('{x}')" for x in TERMS) + ") x(term) WHERE t.org = 1 AND lower(description) LIKE '%' || lower(term) || '%'")
+def search_by_postings(spark, sf_dir):
+    """Bank lines of an organization that match five terms, found through the stored trigram index."""
+    rows = transactions(spark, sf_dir).select("org", "id", "description")
+    columns = {"description": F.col("description")}
+    path = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    search.write_index(rows, columns, path)
+    found = [search.search(rows, columns, path, 1, term).select(F.lit(term).alias("term"), "id") for term in TERMS]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(sql("transactions", "matches") + SAID + f""", found AS (SELECT t.id, t.date, t.amount, description FROM transactions t JOIN said ON t_id = t.id WHERE t.org = 1 AND lower(description) LIKE '%uber%'
     AND NOT EXISTS (SELECT 1 FROM matches m WHERE m.org = t.org AND m.t_id = t.id AND m.status IN {LIVE})) SELECT *, (SELECT count(*) FROM found) AS total_rows FROM found ORDER BY date DESC, id LIMIT 10""")
 def unmatched_transactions_page(spark, sf_dir):
