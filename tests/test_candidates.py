@@ -1,18 +1,46 @@
 import datetime
+import json
+import random
 
-from tallyspark.operators.candidates import candidate_pairs
+from pyspark.sql import functions as F
+
+from tallyspark.operators import candidates
+from tallyspark.operators.candidates import candidate_pairs, cap_candidates, capped_pairs
+from tallyspark.plans.catalog import QUERIES
 
 RECEIPTS = "org long, id long, date date, total double, currency string, payment string"
 LINES = "org long, id long, date date, amount double, currency string, payment string"
 
 
 def day(n):
-    return datetime.date(2024, 1, 1) + datetime.timedelta(n)
+    return None if n is None else datetime.date(2024, 1, 1) + datetime.timedelta(n)
 
 
 def test_no_side_goes_whole_through_the_driver(spark):
-    r = spark.createDataFrame([(1, 1, day(0), 10.0, "EUR", None)], RECEIPTS)
-    t = spark.createDataFrame([(1, 2, day(1), -10.0, "EUR", None)], LINES)
-    pairs = candidate_pairs(r, t)
-    assert "Broadcast" not in pairs._jdf.queryExecution().sparkPlan().toString()
-    assert [(p.r_id, p.t_id) for p in pairs.collect()] == [(1, 2)]
+    """Small files may hold many rows; what is sent whole is bounded."""
+    for name in ("candidate_pairs_band_join", "candidate_cap_topk"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") <= (4 if name == "candidate_cap_topk" else 0)
+
+
+def tables(spark, odd):
+    rng = random.Random(5)
+    amount = lambda: rng.choice([0.0, 0.01, 0.5, 1.0, 10.0, 100.0, 104.99, 105.0, round(rng.uniform(90, 112), 2), round(rng.uniform(1, 9e5), 2)])
+    maybe = lambda x, share: None if rng.random() < share else x
+    r = [(i % 3, i, day(maybe(rng.randrange(20), 0.15)), maybe(amount(), 0.15), "EUR", None) for i in range(300)]
+    t = [(i % 3, 1000 + i, day(maybe(rng.randrange(-4, 25), odd)), maybe(-amount(), odd), maybe("EUR", 0.1), "card") for i in range(900)]
+    return spark.createDataFrame(r, RECEIPTS), spark.createDataFrame(t, LINES)
+
+
+def test_walk_leaves_what_the_cap_leaves(spark, monkeypatch):
+    """Also where lines lack date or amount, organizations have their own rules, and a crowded cell is dealt out."""
+    config = spark.createDataFrame([(1, json.dumps({"maxCandidatesPerReceipt": 4, "amount": {"maxRelativeDelta": 1.5}, "date": {"maxDaysAfter": 0}})), (2, json.dumps({"amount": {"maxRelativeDelta": 0}}))], "org long, matching_config string")
+    monkeypatch.setattr(candidates, "CELL_RECEIPTS", 7)
+    for odd, rules in ((0, ()), (0.1, ()), (0.1, (config,)), (0, (config,))):
+        r, t = tables(spark, odd)
+        want = cap_candidates(candidate_pairs(r, t, *rules), *rules)
+        got = capped_pairs(r, t, *rules)
+        key = lambda df: sorted(df.collect(), key=lambda x: (x.org, x.r_id, x.position))
+        assert (rows := key(got.select(want.columns))) == key(want) and len(rows) > 2000
+        one = capped_pairs(r, t, *rules, most=1) if rules else capped_pairs(r, t, most=1)
+        assert sorted(x.r_id for x in one.collect()) == sorted(x.r_id for x in want.where(F.col("position") == 1).collect())
