@@ -167,7 +167,7 @@ def _named_jobs(spark, sf_dir):
     return jobs(spark, sf_dir).withColumn("id", F.col("id").cast("string")).select("id", "type", "status", "attempts", "max_attempts", "run_at", "locked_until")
 
 
-@query(J + f" SELECT CAST(id AS VARCHAR) AS id, status FROM jobs UNION ALL SELECT CAST(id + 5000000 AS VARCHAR), 'queued' FROM jobs WHERE id % 100 = 0 UNION ALL SELECT 'backup_2024-01-16', 'queued'")
+@query(J + f" SELECT CAST(id AS VARCHAR) AS id, status FROM jobs UNION ALL SELECT DISTINCT CAST(id + 5000000 AS VARCHAR), 'queued' FROM jobs n WHERE id % 100 = 0 AND NOT EXISTS (SELECT 1 FROM jobs k WHERE k.id = n.id + 5000000) UNION ALL SELECT 'backup_2024-01-16', 'queued'")
 def queue_enqueue(spark, sf_dir):
     """The queue after jobs are added, some of them known or twice, and the day's backup, asked for twice."""
     known = _named_jobs(spark, sf_dir)
