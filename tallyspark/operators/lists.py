@@ -140,9 +140,10 @@ def within_span(transactions: DataFrame, span: DataFrame) -> DataFrame:
 
 def sole_organizations(memberships: DataFrame, user: Column) -> DataFrame:
     """(org): organizations of the users under `user` that have no other member, which go with their accounts."""
-    mine = memberships.where(user).select("org", "user_id").distinct()
-    others = memberships.withColumnRenamed("user_id", "other").join(mine, "org").where("other <> user_id").select("org", "user_id").distinct()
-    return mine.join(others, ["org", "user_id"], "left_anti").select("org").distinct()
+    # members are counted within each organization: they never meet each other
+    asked, known = F.coalesce(user, F.lit(False)), F.col("user_id").isNotNull()
+    orgs = memberships.groupBy("org").agg(F.max(asked & known).alias("_mine"), F.max(asked & ~known).alias("_unknown"), (F.min("user_id") == F.max("user_id")).alias("_sole"))
+    return orgs.where((F.col("_mine") & (F.col("_sole") | F.col("org").isNull())) | F.col("_unknown")).select("org")
 
 
 def without_organizations(tables: dict[str, DataFrame], orgs: DataFrame) -> dict[str, DataFrame]:
