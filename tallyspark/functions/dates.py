@@ -25,7 +25,8 @@ def full_year(year: Column) -> Column:
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
-    return F.format_string("%04d-%02d-%02d", let(year, full_year), month, day).try_cast("date")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return F.concat(F.lpad(let(year, full_year).cast("string"), 4, "0"), F.lit("-"), two(month), F.lit("-"), two(day)).try_cast("date")
 
 
 def parse_date(raw: Column, order: Column | str = "auto") -> Column:

@@ -16,7 +16,7 @@ from tallyspark.functions.money import is_three_decimal, parse_amount, round_up
 from tallyspark.functions.tables import (
     ADDRESS_WORDS, CAPITALS_ONLY_CODES, CURRENCY_CODES, CURRENCY_SYMBOLS, HEADING_WORDS, INVOICE_WORDS, RECEIPT_PAYMENT_WORDS, STAMP_LABELS, SUBTOTAL_LABELS, TAX_LABELS, TOTAL_LABELS,
 )
-from tallyspark.functions.text import EDGE, SPACE, let, strip_marks
+from tallyspark.functions.text import EDGE, END, SPACE, START, let, strip_marks
 
 _GAP = SPACE[1:-1]
 #: A number with separators and spaces in it.
@@ -35,6 +35,13 @@ def _any(words) -> str:
     return "|".join(re.escape(w).replace(r"\ ", " ") for w in words)
 
 
+def shortest(words: tuple[str, ...], whole: bool = False) -> tuple[str, ...]:
+    """The words that hold no other, with `whole` as a word of its own: one of these stands in a text, or is a word of it,
+    where any of `words` does."""
+    holds = lambda w, o: re.search(rf"\b{re.escape(o)}\b", w, re.ASCII) if whole else o in w
+    return tuple(w for w in dict.fromkeys(words) if not any(other != w and holds(w, other) for other in words))
+
+
 def lines_of(text: Column) -> Column:
     """Lines that are not blank; a tab is two spaces."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.replace(x, F.lit("\t"), F.lit("  "))), lambda x: x.rlike(rf"[^{_GAP}]"))
@@ -42,7 +49,7 @@ def lines_of(text: Column) -> Column:
 
 def _named(text: Column, codes: tuple[str, ...], flags: str) -> Column:
     """The first of the codes, in their order, that stands in the text as a word."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(f"{flags}{EDGE}({'|'.join(codes)}){EDGE}"), F.lit(1)), lambda c: F.upper(c))
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"{flags}(?=[{''.join(sorted({c[0] for c in codes}))}]){START}({'|'.join(codes)}){END}"), F.lit(1)), lambda c: F.upper(c))
     return let(found, lambda f: F.try_element_at(F.array_intersect(F.array(*(F.lit(c) for c in codes)), f), F.lit(1)))
 
 
@@ -52,13 +59,14 @@ def currency_of(text: Column) -> Column:
 
 
 def _currency(text: Column) -> Column:
-    """(code, sure); code is null where none is named."""
+    """(code, sure); code is null where none is named. Signs are looked for where there is no code."""
     word = F.coalesce(_named(text, CURRENCY_CODES, "(?i)"), _named(text, CAPITALS_ONLY_CODES, ""))
     sign = F.lit(None).cast("string")
     sign = F.when(text.rlike(rf"[0-9][{_GAP}]*(?:DT|DTN)(?![A-Za-z0-9_])|(?i:{EDGE}dinars?[{_GAP}]+tunisiens?{EDGE})"), "TND").otherwise(sign)
     for symbol, code in reversed(CURRENCY_SYMBOLS):
         sign = F.when(F.contains(text, F.lit(symbol)), code).otherwise(sign)
-    return let(F.struct(word.alias("word"), sign.alias("sign")), lambda s: F.struct(F.coalesce(s["word"], s["sign"]).alias("code"), F.when(s["word"].isNotNull(), SURE["code"]).when(s["sign"].isNotNull(), SURE["symbol"]).alias("sure")))
+    found = lambda code, sure: F.struct(code.alias("code"), F.when(code.isNotNull(), sure).alias("sure"))
+    return let(word, lambda w: F.when(w.isNotNull(), found(w, SURE["code"])).otherwise(let(sign, lambda s: found(s, SURE["symbol"]))))
 
 
 def page_three_decimal(text: Column) -> Column:
@@ -78,7 +86,7 @@ def labelled(rows: Column, labels: tuple[str, ...]) -> Column:
     """(value, exact) of the lowest of `rows` (folded, nums, below) that has one of the labels and a number: its last;
     exact if the line begins with its longest label. Else the number on the line below the lowest label; null without.
     """
-    hits = F.filter(rows, lambda r: r["folded"].rlike(_any(labels)))
+    hits = F.filter(rows, lambda r: r["folded"].rlike(_any(shortest(labels))))
     longest_first = F.array(*(F.lit(x) for x in sorted(labels, key=len, reverse=True)))
 
     def on_line(r: Column) -> Column:
@@ -96,28 +104,33 @@ def labelled(rows: Column, labels: tuple[str, ...]) -> Column:
 def receipt_date(folded: Column, currency: Column) -> Column:
     """(date, sure) of the first date of a folded text, by the least ambiguous form; ambiguous numeric dates are month
     first with dollars. Null without."""
-    start, end = r"(?<![a-z0-9_])", r"(?![a-z0-9_])"
+    start, end = rf"(?=[0-9]){START}", END
     forms = {
         "iso": rf"{start}([0-9]{{4}})-([0-9]{{2}})-([0-9]{{2}}){end}", "first": rf"{start}([0-9]{{4}})[/.]([0-9]{{1,2}})[/.]([0-9]{{1,2}}){end}",
-        "dmy": rf"{start}([0-9]{{1,2}})[{_GAP}.\-]+([a-z]{{3,12}})\.?[{_GAP}.,\-]+([0-9]{{2,4}}){end}", "mdy": rf"{start}([a-z]{{3,12}})\.?[{_GAP}]+([0-9]{{1,2}})(?:st|nd|rd|th)?[{_GAP},]+([0-9]{{2,4}}){end}",
+        "dmy": rf"{start}([0-9]{{1,2}})[{_GAP}.\-]+([a-z]{{3,12}})\.?[{_GAP}.,\-]+([0-9]{{2,4}}){end}", "mdy": rf"(?=[a-z]){START}([a-z]{{3,12}})\.?[{_GAP}]+([0-9]{{1,2}})(?:st|nd|rd|th)?[{_GAP},]+([0-9]{{2,4}}){end}",
         "numeric": rf"{start}([0-9]{{1,2}})[/.\-]([0-9]{{1,2}})[/.\-]([0-9]{{2,4}}){end}",
     }
 
     def found(form: str, body) -> Column:
-        parts = F.struct(*(F.regexp_extract(folded, forms[form], i).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c"))))
-        return let(parts, body)
+        # the text is searched once for a form, and its parts are taken where it has it
+        parts = lambda m: F.struct(*(F.regexp_extract(m, forms[form], i).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c"))))
+        return let(F.regexp_extract(folded, forms[form], 0), lambda m: F.when(m != "", let(parts(m), body)))
 
     def dated(year: Column, month: Column, day: Column, sure) -> Column:
-        date = F.when(year.between(1990, 2100), F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date"))
+        two = lambda c: F.lpad(c.cast("string"), 2, "0")
+        date = let(year, lambda y: F.when(y.between(1990, 2100), F.concat(y.cast("string"), F.lit("-"), two(month), F.lit("-"), two(day)).try_cast("date")))
         return let(date, lambda d: F.when(d.isNotNull(), F.struct(d.alias("date"), (F.lit(sure) if isinstance(sure, float) else sure).alias("sure"))))
 
     num = lambda c: c.try_cast("int")
 
     def numeric(p: Column) -> Column:
-        a, b = num(p["a"]), num(p["b"])
-        settled = ((a > 12) & (b <= 12)) | ((b > 12) & (a <= 12))
-        american = F.when(settled, b > 12).otherwise(F.coalesce(currency == "USD", F.lit(False)))
-        return dated(full_year(num(p["c"])), F.when(american, a).otherwise(b), F.when(american, b).otherwise(a), F.when(settled, 0.96).otherwise(0.72))
+        def read(n: Column) -> Column:
+            a, b = n["a"], n["b"]
+            settled = ((a > 12) & (b <= 12)) | ((b > 12) & (a <= 12))
+            american = F.when(settled, b > 12).otherwise(F.coalesce(currency == "USD", F.lit(False)))
+            return dated(full_year(n["c"]), F.when(american, a).otherwise(b), F.when(american, b).otherwise(a), F.when(settled, 0.96).otherwise(0.72))
+
+        return let(F.struct(*(num(p[n]).alias(n) for n in "abc")), read)
 
     return F.coalesce(
         found("iso", lambda p: dated(num(p["a"]), num(p["b"]), num(p["c"]), 0.99)), found("first", lambda p: dated(num(p["a"]), num(p["b"]), num(p["c"]), 0.97)),
@@ -135,7 +148,8 @@ def merchant_line(lines: Column) -> Column:
 
     trimmed = F.transform(F.slice(lines, 1, 8), lambda x: F.regexp_replace(x, rf"^[{_GAP}]+|[{_GAP}]+\z", ""))
     shouted = lambda x: (x == F.upper(x)) & x.rlike("(?:[A-Za-z][^A-Za-z]*){3}")
-    first = F.try_element_at(F.filter(trimmed, plausible), F.lit(1))
+    # the lines behind the first are not judged
+    first = F.aggregate(trimmed, F.lit(None).cast("string"), lambda found, x: F.when(found.isNotNull(), found).when(plausible(x), x))
     return let(first, lambda x: F.when(x.isNotNull(), F.struct(F.regexp_replace(x, rf"[{_GAP}]{{2,}}", " ").alias("name"), F.when(shouted(x), SURE["capitals"]).otherwise(SURE["name"]).alias("sure"))))
 
 
@@ -149,21 +163,20 @@ def invoice_number(text: Column) -> Column:
 
 def payment_of(folded: Column) -> Column:
     """(method, sure) by the first group of words of which one stands in the folded text; null without."""
-    return F.coalesce(*(F.when(folded.rlike(f"{EDGE}(?:{words}){EDGE}"), F.struct(F.lit(method).alias("method"), F.lit(sure).alias("sure"))) for method, words, sure in RECEIPT_PAYMENT_WORDS))
+    return F.coalesce(*(F.when(folded.rlike(f"{START}(?:{words}){END}"), F.struct(F.lit(method).alias("method"), F.lit(sure).alias("sure"))) for method, words, sure in RECEIPT_PAYMENT_WORDS))
 
 
 def items_of(rows: Column, three: Column) -> Column:
     """Up to 40 line items (description, quantity, unit_price): `n x name  price` or `name  price`, off the label lines."""
-    labels = f"{EDGE}(?:{_any((*TOTAL_LABELS, *SUBTOTAL_LABELS, *TAX_LABELS))}){EDGE}"
+    labels = f"{EDGE}(?:{_any(shortest((*TOTAL_LABELS, *SUBTOTAL_LABELS, *TAX_LABELS), whole=True))}){EDGE}"
     many = rf"^[{_GAP}]*([0-9]{{1,3}})[{_GAP}]*[xX*][{_GAP}]*(.+?)[{_GAP}]{{2,}}([0-9.,]+)[{_GAP}]*\z"
     plain = rf"^[{_GAP}]*(.{{2,40}}?)[{_GAP}]{{2,}}([0-9.,]+)[{_GAP}]*\z"
 
     def item(r: Column) -> Column:
         x = r["line"]
         several = x.rlike(many)
-        n = F.regexp_extract(x, many, 1).try_cast("int")
-        total = parse_amount(F.regexp_extract(x, many, 3), three)
-        of_many = F.struct(F.trim(F.regexp_extract(x, many, 2)).alias("description"), n.alias("quantity"), F.when(n > 0, round_up(total / n, 2)).alias("unit_price"))
+        parts = F.struct(F.regexp_extract(x, many, 1).try_cast("int").alias("n"), F.trim(F.regexp_extract(x, many, 2)).alias("name"), parse_amount(F.regexp_extract(x, many, 3), three).alias("total"))
+        of_many = let(parts, lambda p: F.struct(p["name"].alias("description"), p["n"].alias("quantity"), F.when(p["n"] > 0, round_up(p["total"] / p["n"], 2)).alias("unit_price")))
         one = F.struct(F.trim(F.regexp_extract(x, plain, 1)).alias("description"), F.lit(1).alias("quantity"), parse_amount(F.regexp_extract(x, plain, 2), three).alias("unit_price"))
         named = let(one, lambda o: F.when(o["description"].rlike("[a-zA-Z]{2}") & (o["unit_price"] > 0), o))
         return F.when(several, of_many).otherwise(named)

@@ -220,7 +220,10 @@ def fingerprint_sha256(spark, sf_dir):
 
 def _receipt_texts(spark, sf_dir) -> DataFrame:
     """(id, text): a receipt for each order, in one of four layouts by its key."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.format_string("%d x Part %s  %.2f", F.col("l_quantity").cast("int"), F.col("l_returnflag"), F.col("l_extendedprice")).alias("t")))).alias("rows"), F.sum(F.floor(F.col("l_extendedprice") * 100 + F.lit(0.5)).cast("long")).alias("c"))
+    cents = F.floor(F.col("l_extendedprice") * 100 + F.lit(0.5)).cast("long")
+    price = F.concat(F.expr("_c div 100").cast("string"), F.lit("."), F.lpad((F.col("_c") % 100).cast("string"), 2, "0"))
+    line = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" x Part "), "l_returnflag", F.lit("  "), price)
+    lines = table(spark, sf_dir, "lineitem").withColumn("_c", cents).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("t")))).alias("rows"), F.sum("_c").alias("c"))
     o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     k, day = F.col("o_orderkey").cast("string"), F.col("o_orderdate")
 

@@ -141,3 +141,11 @@ def test_config_defaults(text):
 def test_config_overrides():
     c = MatchingConfig.from_json('{"weights": {"amount": 0.1, "merchant": 0.6}, "extra": 1}')
     assert c.weights.amount == 0.1 and c.weights.date == 0.2 and not c.problems()
+
+
+def test_labels_that_others_hold_are_not_sought():
+    from tallyspark.operators.extract import shortest
+
+    assert shortest(("total ttc", "grand total", "total", "totale", "sous-total", "paid")) == ("total", "paid")
+    # as words of their own: total is none in totale
+    assert shortest(("total ttc", "grand total", "total", "totale", "sous-total", "paid"), whole=True) == ("total", "totale", "paid")
