@@ -89,3 +89,14 @@ def test_names_in_capitals(spark):
     frame = spark.createDataFrame([(s,) for s in said], "s string").select("s", normalize_description(F.col("s")).alias("d"), normalize_merchant(F.col("s")).alias("m")).collect()
     # L with a stroke has no decomposition
     assert [r.d for r in frame] == ["skoda auto", "bsc tara", "zabka odz", "pho ha noi", "epicerie ca", "izmir cay", "orseg ur"]
+
+
+def test_rows_brought_in_are_stored_without_what_follows_from_their_descriptions(spark):
+    out = bring_in(spark, [(1, "statement.csv", "date,description,amount\n2026-01-02,CARD SHOP ref 77A12,-5.00\n", None)])["transactions"]
+    row = out.first()
+    assert (row.description_norm, row.merchant_norm, row.payment_method, row.reference) == ("card shop", "card", "card", "77A12")
+    # a count and a sum compute none of it, as the stored rows have none
+    plan = out.groupBy("org").agg(F.sum("amount"))._jdf.queryExecution().executedPlan().toString()
+    assert "merchant_norm" not in plan and "description_norm" not in plan and "amount" in plan
+    kept = out._jdf.queryExecution().analyzed().collectLeaves().toString()
+    assert "fingerprint" in kept and "merchant_norm" not in kept
