@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tallyspark import config
 from tallyspark.operators import candidates
 from tallyspark.operators.candidates import candidate_pairs, cap_candidates, capped_pairs
 from tallyspark.plans.catalog import QUERIES
@@ -44,3 +45,17 @@ def test_walk_leaves_what_the_cap_leaves(spark, monkeypatch):
         assert (rows := key(got.select(want.columns))) == key(want) and len(rows) > 2000
         one = capped_pairs(r, t, *rules, most=1) if rules else capped_pairs(r, t, most=1)
         assert sorted(x.r_id for x in one.collect()) == sorted(x.r_id for x in want.where(F.col("position") == 1).collect())
+
+
+def test_few_settings_do_not_deal_the_pairs_by_organization(spark, monkeypatch):
+    """Rows stay where they are while their organizations' settings are few; organizations without any have the defaults."""
+    settings = spark.createDataFrame([(1, json.dumps({"maxCandidatesPerReceipt": 4})), (2, "no settings")], "org long, matching_config string")
+    rows = spark.createDataFrame([(0,), (1,), (2,), (None,)], "org long")
+    plans = []
+    for few in (config.FEW_SETTINGS, 1):
+        monkeypatch.setattr(config, "FEW_SETTINGS", few)
+        ruled, rules = config.with_rules(rows, settings)
+        plans.append(ruled._jdf.queryExecution().sparkPlan().toString())
+        found = {r.org: (r.most, r.auto) for r in ruled.select("org", rules.max_candidates.alias("most"), rules.thresholds.auto.alias("auto")).collect()}
+        assert found == {0: (50, 90.0), 1: (4, 90.0), 2: (50, 90.0), None: (50, 90.0)}
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" in plans[1]
