@@ -1,6 +1,8 @@
 import datetime
 import json
+import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -47,6 +49,27 @@ def test_walk_leaves_what_the_cap_leaves(spark, monkeypatch):
         assert sorted(x.r_id for x in one.collect()) == sorted(x.r_id for x in want.where(F.col("position") == 1).collect())
 
 
+def test_pairs_before_the_cap_are_all_pairs(spark):
+    """Also of receipts without total or date, which meet more lines than a cap lets through."""
+    r, t = tables(spark, 0.1)
+    cents = lambda x: math.floor(abs(x) * 100 + 0.5)
+
+    def fits(a, b):
+        if a.org != b.org or (a.date and b.date and not -2 <= (b.date - a.date).days <= 5):
+            return False
+        if a.total is None or b.amount is None:
+            return True
+        gap, units = abs(cents(a.total) - cents(b.amount)), abs(math.floor(abs(b.amount) + 0.5) - math.floor(a.total + 0.5))
+        return (gap <= 1 or gap <= 0.05 * max(cents(a.total), cents(b.amount))) and units <= max(1, math.ceil(a.total * 0.05) + 1)
+
+    lines = t.collect()
+    want = sorted((a.org, a.id, b.id) for a in r.collect() for b in lines if fits(a, b))
+    got = sorted(tuple(x) for x in candidate_pairs(r, t).select("org", "r_id", "t_id").collect())
+    assert got == want
+    nothing = {x.id for x in r.where("date is null and total is null").collect()}
+    assert nothing and all(n == 300 for n in Counter(x[1] for x in got if x[1] in nothing).values())
+
+
 def test_few_settings_do_not_deal_the_pairs_by_organization(spark, monkeypatch):
     """Rows stay where they are while their organizations' settings are few; organizations without any have the defaults."""
     settings = spark.createDataFrame([(1, json.dumps({"maxCandidatesPerReceipt": 4})), (2, "no settings")], "org long, matching_config string")
