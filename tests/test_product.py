@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.config import MatchingConfig, configurations, with_rules
 from tallyspark.functions.money import fixed2
+from tallyspark.functions.reasons import parse_breakdown, translate_reason
 from tallyspark.operators import backup, billing
 from tallyspark.operators.ingest import ingest_receipts
 from tallyspark.operators.reads import export_header, write_export
@@ -169,3 +170,16 @@ def test_an_organization_is_a_partition(spark, tmp_path):
     assert mine.count() == 20
     plan = mine._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(org" in plan and "ReadSchema: struct<id:bigint>" in plan
+
+
+def test_breakdowns_are_read_once_and_rules_tried_by_their_start(spark):
+    """A stored text is parsed once; words of a sentence are cut out once each; texts that are none give null."""
+    texts = spark.createDataFrame([('{"score": 1.5, "signals": [{"name": "date", "reason": "x"}]}',), ("nothing",), ("",), ("{}",), (None,)], "text string")
+    read = texts.select(parse_breakdown(F.col("text")).alias("b"))
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [r.b and (r.b.score, r.b.signals[0].reason) for r in read.collect()] == [(1.5, "x"), None, None, None, None]
+    said = spark.createDataFrame([("Amounts differ by day",), ("Amounts differ",), ("Same date",), ("Transaction 2 days after receipt",), ("3 days before receipt, outside tolerance",), ("Merchant similarity 7%, too low",), ("Same date.",), (None,)], "s string")
+    french = said.select(translate_reason(F.col("s")).alias("s"))
+    plan = french._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") < 30 and plan.count("RLIKE") <= 14
+    assert [r.s for r in french.collect()] == ["Les montants diffèrent de jour", "Amounts differ", "Même date", "Opération 2 jours après le justificatif", "3 jours avant le justificatif, hors tolérance", "Similarité du commerçant 7 %, trop faible", "Same date.", None]
