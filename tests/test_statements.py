@@ -4,6 +4,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import MARKED, normalize_description, normalize_merchant, strip_marks
+from tallyspark.sources import statements
 from tallyspark.sources.documents import extract_documents, receipt_pdf
 from tallyspark.sources.statements import commit_imports, parse_files, preview_statements, read_layouts
 
@@ -100,3 +101,20 @@ def test_rows_brought_in_are_stored_without_what_follows_from_their_descriptions
     assert "merchant_norm" not in plan and "description_norm" not in plan and "amount" in plan
     kept = out._jdf.queryExecution().analyzed().collectLeaves().toString()
     assert "fingerprint" in kept and "merchant_norm" not in kept
+
+
+def test_imported_rows_are_dealt_once(spark, monkeypatch):
+    """By organization and what they repeat; a row that repeats one of its file leaves the first of the batch fresh, and a
+    known fingerprint is known as it is written."""
+    text = "Date;Libelle;Montant\n2024-01-02;x;-1,00\n2024-01-02;x;-1,00\n2024-01-03;y;-2,00\nbad;z;-1,00\n"
+    files = spark.createDataFrame([(1, "a", text, None), (1, "b", text + "\n", None), (2, "a", text, None)], "org long, file string, content string, account_name string")
+    known = [statements.fingerprint(F.lit("2024-01-03").cast("date"), F.lit(-2.0), F.lit("y"), "Main account").alias("f")]
+    print_ = spark.range(1).select(*known).first().f
+    rows, plans = spark.createDataFrame([(1, print_.upper()), (2, print_), (2, "bad"), (2, "34")], "org long, fingerprint string"), []
+    real = statements.stored
+    monkeypatch.setattr(statements, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]) or real(df))
+    none = spark.createDataFrame([], "org long, checksum string, account_name string, name string")
+    out = statements.commit_imports(files, none, rows, none, none)
+    assert plans[1].count("Exchange hashpartitioning") <= 2
+    assert sorted(tuple(r) for r in out["imports"].select("org", "file", "row_count", "imported").collect()) == [(1, "a", 2, 2), (1, "b", 2, 0), (2, "a", 2, 1)]
+    assert {r.fingerprint for r in out["transactions"].where("description_raw = 'y'").collect()} == {print_}
