@@ -70,3 +70,13 @@ def test_pairs_are_never_checkpointed(spark, monkeypatch, name):
     monkeypatch.setattr("tallyspark.plans.matching.cut", counted, raising=False)
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 800
     assert max(written, default=0) < 400
+
+
+def test_pairs_are_stored_and_their_scores_are_not(spark, monkeypatch):
+    """Escalation stores both named sides and the capped pairs, once each; scores would take twice the pairs' room."""
+    from tallyspark.plans import matching
+
+    real, columns = matching.stored, []
+    monkeypatch.setattr(matching, "stored", lambda df: columns.append(df.columns) or real(df))
+    matching.escalated_scores(spark, "/root/testdata/sf0.001")
+    assert len(columns) == 3 and "position" in columns[2] and not any({"score", "s_amount", "similarity"} & set(c) for c in columns)
